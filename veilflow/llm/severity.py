@@ -1,10 +1,11 @@
 """Toxicity as ordered grades: a cumulative-link (proportional odds) regression on sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector ``w`` for all thresholds theta_0 < theta_1 < ...; the severity of a
-document is its expected grade.  Features are log(1 + count) of lower-cased words.  The fit runs on the driver over a bounded sample
-of labelled rows (``max_rows``, documented and constant whatever the corpus holds): an L1-penalised pass by accelerated proximal
-gradient selects words, a second pass without shrinkage fits the selected ones.  Scoring touches every document with the few weights
-that remain, so what is sent to tasks is bounded by the sample.
+document is its expected grade.  Features are log(1 + count) of lower-cased words and of their beginnings (3 to 7 letters, written
+with a ``*``), since insults in inflected languages are stems.  The fit uses a bounded sample of labelled rows (``max_rows``,
+documented and constant whatever the corpus holds): executors count features, those that stand in toxic rows far above chance stay,
+an L1-penalised pass by accelerated proximal gradient selects among them, and a second pass without shrinkage fits the selected ones.
+Scoring touches every document with the few weights that remain, so what is sent to tasks is bounded by the sample.
 
 Defined results: null and empty texts have no features and get the base rate; texts are read whole whatever their length; rows are
 scored one by one, so repeated rows get equal scores; an empty table gives an empty result; without labelled rows every document has
@@ -25,11 +26,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.llm.scratch import small_batches
+from veilflow.llm.scratch import Scratch, small_batches
 
 _find_words = re.compile(r"[^\W_]+").findall
-#: A toxic row is graded by how often words that mark toxic rows occur in it: fewer than 2, fewer than 5, or more.
+_STEMS = (3, 4, 5, 6, 7)
+_KNOWN_WORDS = 500_000
+
+
+def features_of(word: str) -> list[str]:
+    """The word itself and its proper beginnings."""
+    return [word, *(word[:k] + "*" for k in _STEMS if len(word) > k)]
+
+
+def feature_counts(text: str | None) -> Counter:
+    counts: Counter = Counter()
+    for word, c in Counter(_find_words((text or "").lower())).items():
+        for f in features_of(word):
+            counts[f] += c
+    return counts
+
+
+class _Known(dict):
+    """Word -> the features of it that have a weight; filled as words come."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        self[word] = found = tuple(f for f in features_of(word) if f in self.weights)
+        return found
+
+
+#: A toxic row is graded by its number of words that mark toxic rows: fewer than 2, fewer than 5, or more.
 GRADE_STEPS = (2, 5)
+_MOST_FEATURES = 20_000
 
 
 @dataclass
@@ -37,11 +70,19 @@ class SeverityModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: tuple[float, ...] = (50.0,)
 
+    def __post_init__(self):
+        self.known = _Known(self.weights)
+
+    def __getstate__(self):
+        return {"weights": self.weights, "thresholds": self.thresholds}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
     def score(self, text: str | None) -> tuple[float, list[float]]:
         """Expected grade, and P(grade >= k) for k = 1, 2, ..."""
-        weights = self.weights
-        counts = Counter(w for w in _find_words((text or "").lower()) if w in weights)
-        z = sum(weights[w] * float(np.log1p(c)) for w, c in sorted(counts.items()))
+        counts = Counter(f for found in map(self.known.__getitem__, _find_words((text or "").lower())) if found for f in found)
+        z = sum(self.weights[f] * float(np.log1p(c)) for f, c in sorted(counts.items()))
         above = [1.0 / (1.0 + float(np.exp(np.clip(t - z, -50, 50)))) for t in self.thresholds]
         return sum(above), above
 
@@ -82,6 +123,8 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nd
         w = at - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         theta = np.maximum.accumulate(at_theta - step * by_theta + 1e-6 * np.arange(grades - 1))
+        if float((at - w) @ (w - old)) > 0:  # momentum against the gradient: start it anew
+            t = 1.0
         new_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
         at, at_theta = w + (t - 1) / new_t * (w - old), theta + (t - 1) / new_t * (theta - old_theta)
         at_theta = np.maximum.accumulate(at_theta)
@@ -89,26 +132,42 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nd
     return w / scale, theta
 
 
-def _features(sample: DataFrame) -> list[tuple[int, int, list[str], list[int]]]:
-    """(grade or label, text hash, words, counts) of each row of a bounded sample."""
-    small_batches(sample.sparkSession)
+def _document_counts(sample: DataFrame, min_df: int, least_z: float) -> tuple[int, int, set[str]]:
+    """Rows, toxic rows, and the features that stand in at least ``min_df`` toxic rows and in 1 % of them, ``least_z`` deviations above chance."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                counts = Counter(_find_words((text or "").lower()))
-                out.append((xxhash.xxh64_intdigest(text or "") >> 1, " ".join(counts), " ".join(map(str, counts.values()))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())],
-                names=["label", "text_hash", "words", "counts"],
-            )
+            every, toxic = Counter(), Counter()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = feature_counts(text).keys()
+                every.update(found)
+                if label > 0:
+                    toxic.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[f] for f in every], pa.int64())], names=["feature", "df", "df_toxic"])
+
+    total = sample.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("toxic")).first()
+    n, n_toxic = total["n"], total["toxic"]
+    if not 0 < n_toxic < n:
+        return n, n_toxic, set()
+    rate = n_toxic / n
+    z = (F.col("df_toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
+    counts = sample.mapInArrow(work, "feature string, df long, df_toxic long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_toxic").alias("df_toxic"))
+    kept = counts.where((F.col("df_toxic") >= max(min_df, n_toxic // 100)) & (z >= least_z)).orderBy(F.desc("df_toxic"), "feature").limit(_MOST_FEATURES).collect()
+    return n, n_toxic, {r["feature"] for r in kept}
+
 
-    rows = sample.select(F.col("label").cast("int").alias("label"), F.col("text")).mapInArrow(work, "label int, text_hash long, words string, counts string").collect()
-    out = {}
-    for r in sorted(rows, key=lambda r: (r["text_hash"], r["label"])):
-        out.setdefault(r["text_hash"], (r["label"], r["text_hash"], r["words"].split(), [int(c) for c in r["counts"].split()]))
-    return list(out.values())
+def _rows(sample: DataFrame, kept: set[str]) -> list[tuple[int, list[str], list[int], int]]:
+    """(label, features, counts, number of words with a kept feature) of each row of the bounded sample, for the kept features."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [{f: c for f, c in feature_counts(t).items() if f in kept} for t in batch.column(1).to_pylist()]
+            marked = [sum(any(f in kept for f in features_of(w)) for w in _find_words((t or "").lower())) for t in batch.column(1).to_pylist()]
+            texts = pa.array([xxhash.xxh64_intdigest(t or "") >> 1 for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([" ".join(x) for x in out], pa.string()), pa.array([" ".join(map(str, x.values())) for x in out], pa.string()), pa.array(marked, pa.int64())], names=["label", "text_hash", "features", "counts", "marked"])
+
+    rows = sample.mapInArrow(work, "label int, text_hash long, features string, counts string, marked long").collect()
+    return [(r["label"], r["features"].split(), [int(c) for c in r["counts"].split()], r["marked"]) for r in sorted(rows, key=lambda r: (r["text_hash"], r["label"]))]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, seed: int = 11) -> DataFrame:
@@ -124,54 +183,57 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     return texts.join(F.broadcast(drawn), "_id").select("label", "text")
 
 
-def fit_severity(sample: DataFrame, graded: bool = False, min_df: int = 5, max_df: float = 0.3) -> SeverityModel:
-    """Fit on ``label`` and ``text``.
+def _most_specific(rows: list[tuple[int, list[str], list[int], int]], kept: set[str]) -> list[str]:
+    """Of features that stand in exactly the same rows, as a word and its beginnings often do, the longest alone."""
+    at: dict[str, list[int]] = {f: [] for f in kept}
+    for i, (_, found, _, _) in enumerate(rows):
+        for f in found:
+            at[f].append(i)
+    best: dict[tuple[int, ...], str] = {}
+    for f in sorted(kept, key=lambda f: (len(f.rstrip("*")), f)):
+        best[tuple(at[f])] = f
+    return sorted(best.values())
+
+
+def fit_severity(sample: DataFrame, graded: bool = False, min_df: int = 5, least_z: float = 6.0) -> SeverityModel:
+    """Fit on ``label`` and ``text``; equal texts count once, with their highest label.
 
-    ``graded``: labels are grades 0, 1, 2, ...  Otherwise they are 0 and 1, and rows with 1 are graded by GRADE_STEPS: by how often
-    words occur that stand in at least ``min_df`` rows labelled 1 and are ten times as frequent there as in rows labelled 0.
+    ``graded``: labels are grades 0, 1, 2, ...  Otherwise they are 0 and 1, and rows with 1 are graded by GRADE_STEPS: by how many
+    of their words have a feature that the screening kept.
     """
-    rows = _features(sample)
-    if not rows or len({r[0] > 0 for r in rows}) < 2:
-        return SeverityModel()
-    n = len(rows)
-    df, df_toxic = Counter(), Counter()
-    for label, _, words, _ in rows:
-        df.update(words)
-        if label > 0:
-            df_toxic.update(words)
-    n_toxic = sum(r[0] > 0 for r in rows)
+    small_batches(sample.sparkSession)
+    scratch = Scratch(sample.sparkSession)
+    sample = scratch.cut(sample.groupBy("text").agg(F.max("label").cast("int").alias("label")).select("label", "text"), "sample")
+    try:
+        n, n_toxic, kept = _document_counts(sample, min_df, least_z)
+        if not kept:
+            return SeverityModel()
+        rows = _rows(sample, kept)
+    finally:
+        scratch.drop("sample")
     if graded:
-        y = np.array([r[0] for r in rows])
+        y = np.array([max(r[0], 0) for r in rows])
     else:
-        ratio = n_toxic / (n - n_toxic)
-        marks = {w for w, c in df_toxic.items() if c >= min_df and c >= 10 * ratio * (df[w] - c + 1)}
         steps = np.array(GRADE_STEPS)
-        y = np.array([0 if r[0] <= 0 else 1 + int(np.searchsorted(steps, sum(c for w, c in zip(r[2], r[3], strict=True) if w in marks), side="right")) for r in rows])
+        y = np.array([0 if r[0] <= 0 else 1 + int(np.searchsorted(steps, r[3], side="right")) for r in rows])
     y = np.unique(y, return_inverse=True)[1]
-    vocabulary = sorted(w for w, c in df.items() if min_df <= c <= max_df * n)
+    vocabulary = _most_specific(rows, kept)
     index = {w: i for i, w in enumerate(vocabulary)}
-    where, cols, values = [], [], []
-    for i, (_, _, words, counts) in enumerate(rows):
-        for w, c in zip(words, counts, strict=True):
-            if w in index:
-                where.append(i)
-                cols.append(index[w])
-                values.append(c)
-    if not cols:
-        return SeverityModel()
-    where, cols, values = np.array(where), np.array(cols), np.log1p(np.array(values, dtype=float))
+    cells = [(i, index[f], c) for i, r in enumerate(rows) for f, c in zip(r[1], r[2], strict=True) if f in index]
+    where, cols = (np.array([c[k] for c in cells], dtype=np.int64) for k in (0, 1))
+    values = np.log1p(np.array([c[2] for c in cells], dtype=float))
     rate = n_toxic / n
-    # Below this a weight's gradient is what chance alone gives the best of so many words.
-    l1 = (2 * np.log(max(len(vocabulary), 2)) * rate * (1 - rate) / n) ** 0.5 * 1.3
-    w, _ = fit_ordinal(where, cols, values, y, len(vocabulary), l1, 0.0, 150)
-    kept = np.flatnonzero(w > 0)
-    if not len(kept):
+    # The gradient that chance alone gives the best of so many features, halved: screening has already asked for more than chance.
+    l1 = 0.5 * (2 * np.log(max(len(vocabulary), 2)) * rate * (1 - rate) / n) ** 0.5
+    w, _ = fit_ordinal(where, cols, values, y, len(vocabulary), l1, 0.0, 400)
+    chosen = np.flatnonzero(w > 1e-3)
+    if not len(chosen):
         return SeverityModel()
     renumber = np.full(len(vocabulary), -1)
-    renumber[kept] = np.arange(len(kept))
+    renumber[chosen] = np.arange(len(chosen))
     use = renumber[cols] >= 0
-    w, theta = fit_ordinal(where[use], renumber[cols[use]], values[use], y, len(kept), 0.0, 1e-4, 600)
-    return SeverityModel({vocabulary[k]: round(float(x), 6) for k, x in zip(kept, w, strict=True) if x > 0}, tuple(round(float(t), 6) for t in theta))
+    w, theta = fit_ordinal(where[use], renumber[cols[use]], values[use], y, len(chosen), 0.0, 1e-5, 3000)
+    return SeverityModel({vocabulary[k]: round(float(x), 6) for k, x in zip(chosen, w, strict=True) if x > 0}, tuple(round(float(t), 6) for t in theta))
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
