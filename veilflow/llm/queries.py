@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import decontamination, sentencepiece_bpe, severity, sharding
+from veilflow.llm import decontamination, sentencepiece_bpe, severity, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"), length=35)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = severity.fit_severity(severity.labelled_sample(docs, table(spark, sf_dir, "labels")))
@@ -64,7 +68,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleaved": op1_shard_interleaved,
     "op2_sentencepiece": op2_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL}
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35
+), rep AS (
+  SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM win JOIN rep USING (h), unnest(range(i, i + 35)) AS u(p)
+), g AS (
+  SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id
+), words AS (
+  SELECT d.doc_id, p, d.w[p] AS word FROM d, unnest(range(1, len(d.w) + 1)) AS u(p)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}
