@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import decontamination, sentencepiece_bpe, severity, sharding, substrings
+from veilflow.llm import decontamination, near_dedup, sentencepiece_bpe, severity, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"), length=35)
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleaved": op1_shard_interleaved,
     "op2_sentencepiece": op2_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
+    "op7_near_dedup": op7_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
