@@ -7,8 +7,10 @@ nodes branch again, each with coordinates of its own: unlike points part company
 
 Points that stay together are alike, and only what they are linked to matters, not every pair of them: a large node first ties its
 points to a few pivots; links found join components; a node whose points are one component is done; a node with at most ``leaf``
-points outside its largest component compares those with all others and is done too.  What still stands after ``max_level`` levels is
-compared exhaustively in blocks, so no pair is lost to a cap.
+points outside its largest component compares those with all others and is done too.  A node whose points are so alike that two
+children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching: it is
+compared exhaustively at once, in pairs of blocks, on full sets, and so is what still stands after ``max_level`` levels.  No pair is
+lost to a cap, and a task emits links that join components, never all pairs.
 
 A pair of similarity s survives a level with probability 1 - (1 - s p)**2, p being its chance below; for s = 0.8 that tends to 0.94,
 for s = 0.85 to 0.97, so five trees miss fewer than one such pair in a million.  Sketches of 128 bytes pick pairs within six standard
@@ -126,28 +128,80 @@ def _pairs_within(groups: DataFrame, num: int, den: int, least: float) -> DataFr
     return groups.select("points").mapInArrow(work, "a long, b long")
 
 
-def _pairs_with_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
-    """``a``, ``b`` for a row and its node's pivots: the most alike in an open node, all that may reach the threshold in a narrow one."""
+def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
+    """For each row of a large node, ``a``, ``b`` with its pivots of other components (all that may reach the threshold in a narrow node, the
+    most alike in another), and one row with ``near``, its mean similarity to the pivots."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, comps, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)
-            narrow = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
-            sizes, x = _struct_list(batch.column(5))
+            node, ids, comps, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDS)
+            narrow = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            sizes, x = _struct_list(batch.column(6))
             row = np.repeat(np.arange(len(ids)), sizes)
+            near = (sketch[row] == x["sketch"]).mean(axis=1)
             low, high = np.minimum(n[row], x["n"]), np.maximum(n[row], x["n"])
-            at = np.flatnonzero((comps[row] != x["comp"]) & (low * den >= high * num))
-            near = (sketch[row[at]] == x["sketch"][at]).mean(axis=1)
-            at, near = at[near >= least], near[near >= least]
-            order = np.lexsort((x["id"][at], -near, row[at]))
-            at = at[order]
-            first = np.diff(row[at], prepend=-1) != 0
-            at = at[first | narrow[row[at]]]
+            at = np.flatnonzero((comps[row] != x["comp"]) & (low * den >= high * num) & (near >= least))
+            at = at[np.lexsort((x["id"][at], -near[at], row[at]))]
+            at = at[(np.diff(row[at], prepend=-1) != 0) | narrow[row[at]]]
             a, b = ids[row[at]], x["id"][at]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            other = np.bincount(row, near * (ids[row] != x["id"]), len(ids)) / np.maximum(np.bincount(row, ids[row] != x["id"], len(ids)), 1)
+            none = np.full(len(ids), -1, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([node[row[at]], node])),
+                    pa.array(np.concatenate([np.minimum(a, b), none])),
+                    pa.array(np.concatenate([np.maximum(a, b), none])),
+                    pa.array(np.concatenate([np.zeros(len(at)), other])),
+                ],
+                names=["node", "a", "b", "near"],
+            )
 
-    return rows.select("id", "comp", "n", "sketch", "narrow", "pivots").mapInArrow(work, "a long, b long")
+    return rows.select("node", "id", "comp", "n", "sketch", "narrow", "pivots").mapInArrow(work, "node long, a long, b long, near double")
+
+
+def _links_in_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Links on full sets between the components of each cell (a pair of blocks of one node), as many as it takes to join them."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, comps, own = (table.column(c).to_numpy() for c in ("id", "comp", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        left = np.flatnonzero(own == own.min())
+        right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(own != own.min())
+        values, index, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(seen > 1) - 1
+        shared = seen[index] > 1
+        point, column = np.repeat(np.arange(len(n)), n)[shared], column[index[shared]]
+        order = np.argsort(column, kind="stable")
+        point, column = point[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, [first, first + 4096])
+            width = int(column[b - 1]) - first + 1
+            dense = np.zeros((len(n), width), np.float32)
+            dense[point[a:b], column[a:b] - first] = 1
+            both += dense[left] @ dense[right].T
+        both = both.astype(np.int64)
+        linked = den * both >= num * (n[left][:, None] + n[right][None, :] - both)
+        linked &= comps[left][:, None] != comps[right][None, :]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            p, q = int(left[i]), int(right[j])
+            u, v = root(int(comps[p])), root(int(comps[q]))
+            if u != v:
+                parent[u] = v
+                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return cells.groupBy("node", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,6 +229,8 @@ def near_duplicates(
     trees: int = 5,
     leaf: int = 24,
     max_level: int = 8,
+    block_points: int = 1024,
+    block_shingles: int = 1_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -200,55 +256,65 @@ def near_duplicates(
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
 
-    sets, links, comps, checked, level = None, None, None, None, 0
+    mine = base.join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary"), "sets")
+    links, comps, level = None, None, 0
+    point = F.struct("id", "comp", "n", "sketch")
+
+    def with_components(rows: DataFrame) -> DataFrame:
+        if comps is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def several(rows: DataFrame) -> DataFrame:
+        """Rows (node, id, comp) of the nodes that hold several components, with the size of the node."""
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return rows.join(sizes.select("node", "size"), "node")
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, comps
+        found = scratch.step(found, "links")
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            comps = components(links, scratch)
+
     while True:
-        known = frontier if comps is None else frontier.join(comps, "id", "left")
-        known = known.withColumn("comp", F.col("id") if comps is None else F.coalesce("component", "id")).select("node", "id", "comp")
-        sizes = known.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node", "size")
-        open_rows = scratch.step(known.join(sizes, "node"), "open")
-        point = F.struct("id", "comp", "n", "sketch")
-        full = open_rows.join(sketch, "id")
-
-        small = full.where(F.col("size") <= leaf).groupBy("node").agg(F.collect_list(point).alias("points"))
+        rows = scratch.step(several(with_components(frontier)), "open")
+        small = rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
         pairs = _pairs_within(small, num, den, least)
-        large = open_rows.where(F.col("size") > leaf)
-        next_rows = None
-        if large.limit(1).count():
-            per_comp = large.groupBy("node", "comp").agg(F.count("*").alias("c"))
-            top = per_comp.groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
-            rows = scratch.step(large.join(top, "node").withColumn("narrow", F.col("size") - F.col("most") <= leaf), "large")
-            if level >= max_level:
-                # exhaustive: all blocks of a node meet in pairs
-                blocks = F.ceil(F.col("size") / 256).cast("int")
-                own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-                cells = rows.where("not narrow").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                cells = cells.join(sketch, "id").groupBy("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(point).alias("points"))
-                pairs = pairs.unionByName(_pairs_within(cells, num, den, least))
-                rows = rows.where("narrow")
-            outside = rows.where("narrow and comp <> top").select("node", "id")
+        large = rows.where(F.col("size") > leaf)
+        dense = None
+        if any_large := large.limit(1).count() > 0:
+            top = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
+            large = scratch.step(large.join(top, "node").withColumn("narrow", F.col("size") - F.col("most") <= leaf), "large")
+            outside = large.where("narrow and comp <> top").select("node", "id")
             seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"))).alias(f"p{s}") for s in range(4)]
-            drawn = rows.where("not narrow").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{s}.id") for s in range(4)]))).alias("id"))
-            pivots = outside.unionByName(drawn).join(rows.select("node", "id", "comp"), ["node", "id"]).join(sketch, "id")
+            drawn = large.where("not narrow").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{s}.id") for s in range(4)]))).alias("id"))
+            pivots = outside.unionByName(drawn).join(large.select("node", "id", "comp"), ["node", "id"]).join(sketch, "id")
             pivots = pivots.groupBy("node").agg(F.collect_list(point).alias("pivots"))
-            pairs = pairs.unionByName(_pairs_with_pivots(rows.join(sketch, "id").join(pivots, "node"), num, den, least))
-            next_rows = rows.where("not narrow").select("node", "id")
-        pairs = pairs.distinct()
-        pairs = scratch.step(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
+            near = scratch.step(_against_pivots(large.join(sketch, "id").join(pivots, "node"), num, den, least), "near")
+            pairs = pairs.unionByName(near.where("a >= 0").select("a", "b"))
+            dense = scratch.step(near.where("a < 0").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense")), "dense")
+        pairs = scratch.step(pairs.distinct(), "pairs")
         if pairs.limit(1).count():
-            if sets is None:
-                mine = base.join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-                sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary"), "sets")
-            found = scratch.step(_confirm(pairs, sets, num, den), "links")
-            links = found if links is None else links.unionByName(found)
-            comps = components(links, scratch)
-        if next_rows is None or not next_rows.limit(1).count():
+            add(_confirm(pairs, sets, num, den))
+        if not any_large:
             break
+        rest = scratch.step(several(with_components(large.where("not narrow").select("node", "id"))).join(dense, "node"), "rest")
+        if rest.where("dense").limit(1).count():
+            heavy = rest.where("dense").join(sketch.select("id", "n"), "id")
+            blocks = heavy.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / block_points, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+            cells = heavy.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64(F.lit(9), F.col("id")), F.col("blocks")).cast("int"))
+            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+            add(_links_in_blocks(cells.join(sets, "id"), num, den))
+        sparse = rest.where("not dense").select("node", "id")
         byte = lambda c: F.substring("sketch", c + 1, 1)
         first = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(COORDS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
         child = F.explode(F.array(*[F.xxhash64("node", c, byte(c)) for c in (first, second)]))
-        frontier = scratch.step(next_rows.join(sketch, "id").select(child.alias("node"), "id"), "frontier")
+        frontier = scratch.step(sparse.join(sketch, "id").select(child.alias("node"), "id"), "frontier")
+        if not frontier.limit(1).count():
+            break
         level += 1
 
     of_point = points.select("id", "n", "s1", "s2")
