@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import decontamination, near_dedup, sentencepiece_bpe, severity, sharding, substrings
+from veilflow.llm import decontamination, near_dedup, neighbours, sentencepiece_bpe, severity, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -72,6 +76,7 @@ FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items x USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleaved": op1_shard_interleaved,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dedup": op7_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
