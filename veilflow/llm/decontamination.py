@@ -127,6 +127,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadc
     )
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that no rule of the optimiser copies into the expressions that use it, lambdas above all."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.8, max_broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the hit words, each with what follows it up to the next word, cut out; documents with ``drop_share`` of their words hit go.
 
@@ -140,14 +145,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share:
         marked = docs.withColumn("_t", F.xxhash64(F.col(text_col))).join(found.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("spans").alias("_spans")).withColumnRenamed("_id", id_col), [id_col, "_t"], "left")
         marked = marked.withColumn("_spans", F.coalesce("_spans", none)).withColumn("_w", plain_words(F.col(text_col)))
     else:
-        marked = docs.withColumn("_w", plain_words(F.col(text_col)))
+        marked = _once(docs, "_w", plain_words(F.col(text_col)))
 
         def hit(k: int) -> Column:
             at = _starts(F.col("_w"), k, lambda i: F.xxhash64(F.slice("_w", i, k)).isin(sets[k][0]) & F.array_join(F.slice("_w", i, k), " ").isin(sets[k][1]))
             return F.transform(at, lambda i: F.struct((i - 1).alias("s"), (i - 1 + k).alias("e"))).cast("array<struct<s:int,e:int>>")
 
         hits = F.array_sort(F.concat(*[hit(k) for k in sets])) if sets else none
-        marked = marked.withColumn("_hits", hits).withColumn("_spans", merge_spans(F.col("_hits"))).drop("_hits")
+        marked = _once(_once(marked, "_hits", hits), "_spans", merge_spans(F.col("_hits"))).drop("_hits")
     inside = F.aggregate("_spans", F.lit(0), lambda acc, x: acc + (x["e"] - x["s"]))
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"({_ANY_WORD}{_BETWEEN}*)"), 1)
     kept = F.filter(parts, lambda part, i: ~F.exists("_spans", lambda x: (x["s"] <= i) & (i < x["e"])))

@@ -86,7 +86,7 @@ def _merged(lists: DataFrame, n: int, k: int) -> DataFrame:
     return _bucketed(lists, "id", n, lambda t: _lists(*_top(*_flat(t), k)), GRAPH)
 
 
-def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 6, descents: int = 2, cell: int = 2500, seed: int = 3) -> DataFrame:
+def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 12, descents: int = 2, cell: int = 5000, seed: int = 3) -> DataFrame:
     """``id``, its best ``degree`` others (packed longs, best first) and their scores (packed 32-bit floats).
 
     ``vertices``: unique ``id`` and ``v``, a vector of 16-bit floats as bytes.
@@ -188,7 +188,7 @@ def _worst(degree: int):
     return work
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24, rounds: int = 6, descents: int = 2, hops: int = 2, width: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24, rounds: int = 12, descents: int = 2, hops: int = 2, width: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the ``k`` nearest found among all other rows for each row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import decontamination, near_dedup, neighbours, sentencepiece_bpe, severity, sharding, substrings
+from veilflow.llm import decontamination, licenses, near_dedup, neighbours, sentencepiece_bpe, severity, sharding, substrings, token_rollups, warc
+from veilflow.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,33 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def capture_log(pages: DataFrame) -> DataFrame:
+    """Two crawls of every page: a full response at time page_id, and an hour later (0.5) an answer that it has not changed.
+
+    The second one names an entity tag where the page came by https, else only when it was last modified (told by its length).
+    """
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    secure = F.col("url").startswith("https")
+    modified = F.length("html").cast("string")
+    full = F.map_from_arrays(F.array(F.lit("etag"), F.lit("last-modified"), F.lit("content-type"), F.lit("age")), F.array(tag, modified, F.lit("text/html"), F.lit("0")))
+    short = F.map_filter(
+        F.map_from_arrays(F.array(F.lit("etag"), F.lit("last-modified"), F.lit("age"), F.lit("content-length")), F.array(F.when(secure, tag), modified, F.lit("3600"), F.lit("0"))),
+        lambda k, v: v.isNotNull(),
+    )
+    first = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").cast("double").alias("date"), full.alias("headers"), F.md5("html").alias("digest"), F.lit(200).alias("status"))
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + 0.5).alias("date"), short.alias("headers"), F.md5("html").alias("digest"), F.lit(304).alias("status"))
+    return first.unionByName(again)
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(capture_log(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical_url", "refers_to", "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["age"].alias("age"), F.col("headers")["content-type"].alias("content_type"), F.size("headers").alias("n_headers"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -43,6 +71,23 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"), length=35)
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, toxic ones are deleted, low-quality ones are counted anew without repeated lines."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rollups = token_rollups.Rollups(spark, Scratch(spark).path("rollups"))
+    arrived = token_rollups.count_tokens(docs).select(F.lit("insert").alias("op"), "*")
+    rollups.commit("0001", arrived)
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    gone = docs.join(toxic, "doc_id").select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("piece_bpe_32k").alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"))
+    rollups.commit("0002", gone)
+    low = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 0 and toxic = 0").select("doc_id")
+    lines = F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")
+    revised = token_rollups.count_tokens(docs.join(low, "doc_id").withColumn("text", lines)).select(F.lit("revise").alias("op"), "*")
+    rollups.commit("0003", revised)
+    rollups.commit("0002", gone)  # delivered twice, counted once
+    return rollups.totals()
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = severity.fit_severity(severity.labelled_sample(docs, table(spark, sf_dir, "labels")))
@@ -77,9 +122,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_interleaved": op1_shard_interleaved,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op5_license_scan": op5_license_scan,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dedup": op7_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_rollups": op9_token_rollups,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -103,4 +151,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_remo
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, '"' || substr(md5(html), 1, 16) || '"' AS tag, length(html)::VARCHAR AS modified, regexp_replace(trim(url), '#.*$', '') AS u0 FROM pages
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u0, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(u0, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(index)?\.html?$', ''), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(u0, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS q
+  FROM p
+), k AS (
+  SELECT page_id, tag, modified, starts_with(url, 'https') AS secure, CASE WHEN host <> '' THEN 'https://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS cu FROM c
+), m AS (
+  SELECT a.page_id, a.cu, max(b.page_id) AS hit FROM k a JOIN k b ON a.cu = b.cu AND b.page_id <= a.page_id AND CASE WHEN a.secure THEN a.tag = b.tag ELSE a.modified = b.modified END GROUP BY ALL
+)
+SELECT m.page_id * 2 + 1 AS record_id, m.cu AS canonical_url, m.hit * 2 AS refers_to, 200 AS status, CASE WHEN k.secure THEN k.tag ELSE h.tag END AS etag, '3600' AS age, 'text/html' AS content_type, 4 AS n_headers
+FROM m JOIN k ON k.page_id = m.page_id JOIN k h ON h.page_id = m.hit
+"""
+
+ORACLES: dict[str, str] = {"op4_warc_revisits": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}

@@ -76,12 +76,17 @@ class Rollups:
             return False
         seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
         latest = Window.partitionBy("doc_id", "tokenizer").orderBy(F.col("_seq").desc(), F.col("n_tokens").desc_nulls_last(), "op")
-        last = changes.withColumn("_seq", seq).withColumn("_r", F.row_number().over(latest)).where("_r = 1")
+        last = changes.withColumn("n_tokens", F.col("n_tokens").cast("long")).withColumn("_seq", seq).withColumn("_r", F.row_number().over(latest)).where("_r = 1").select("op", "doc_id", *KEYS, "n_tokens")
+        arrived = f"{self.folder}/_arrived-{batch_id}"
+        last.write.mode("overwrite").parquet(arrived)
+        last = self.spark.read.schema(last.schema).parquet(arrived)
         after = last.select("doc_id", *KEYS, F.when(F.col("op") == "delete", 0).otherwise(1).cast("long").alias("docs"), F.when(F.col("op") == "delete", 0).otherwise(F.coalesce("n_tokens", F.lit(0))).cast("long").alias("tokens"))
         touched = last.select("doc_id", "tokenizer")
         before = self.standing().join(touched, ["doc_id", "tokenizer"], "left_semi").select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         signed = before.unionByName(after).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
         self._publish(signed, batch_id)
+        path, fs = self._fs()
+        fs.delete(path(arrived), True)
         return True
 
     def _publish(self, signed: DataFrame, batch_id: str) -> None:
