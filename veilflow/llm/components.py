@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilflow.llm.scratch import Scratch
+from veilflow.llm.scratch import Scratch, drop_frame
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
-    """``id`` and ``component`` (the smallest id reachable) for every id in ``links`` (columns ``a``, ``b``).
+    """``id`` and ``component`` (the smallest id reachable) for every id in ``links`` (columns ``a``, ``b``) but those smallest ones.
 
     Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the smallest node that it sees.  Paths shrink
     by a constant factor a round; a hub with very many neighbours is only ever grouped by, and a minimum is combined before shuffling.
@@ -27,6 +27,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataF
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = scratch.step(small, name)
         same = new.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0 and edges.count() == new.count()
+        drop_frame(scratch, edges)
+        drop_frame(scratch, large)
         edges = new
         if same:
             break

@@ -13,7 +13,7 @@ compared exhaustively at once, in pairs of blocks, on full sets, and so is what
 lost to a cap, and a task emits links that join components, never all pairs.
 
 A pair of similarity s survives a level with probability 1 - (1 - s p)**2, p being its chance below; for s = 0.8 that tends to 0.94,
-for s = 0.85 to 0.97, so five trees miss fewer than one such pair in a million.  Sketches of 128 bytes pick pairs within six standard
+for s = 0.85 to 0.97, so four trees miss about one such pair in 80,000, or in a million.  Sketches of 128 bytes pick pairs within six standard
 deviations of the threshold, and each is confirmed on full shingle sets, in whole numbers.
 
 Defined results: a null text, an empty one or one without words has no shingles and is linked with nothing; a text with fewer words
@@ -89,9 +89,24 @@ def _sketch(docs: DataFrame, k: int, trees: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sketch binary, roots array<long>")
 
 
-def _alike(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
-    """Whether the sketches in the same row of both leave the similarity ``least`` or more possible."""
-    return (left == right).mean(axis=1) >= least
+def _likeliest(left: np.ndarray, right: np.ndarray, near: np.ndarray, comp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each list, taken by similarity, those that join components not yet joined in that list."""
+    group = np.searchsorted(begin, left, side="right")
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(c: tuple[int, int]) -> tuple[int, int]:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    kept = []
+    for k in np.lexsort((right, left, -near)).tolist():
+        g = int(group[k])
+        u, v = root((g, int(comp[left[k]]))), root((g, int(comp[right[k]])))
+        if u != v:
+            parent[u] = v
+            kept.append(k)
+    return left[kept], right[kept]
 
 
 def _struct_list(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -104,8 +119,11 @@ def _struct_list(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return sizes, out
 
 
-def _pairs_within(groups: DataFrame, num: int, den: int, least: float) -> DataFrame:
-    """``a``, ``b`` for all pairs of different components in ``points`` (list of structs) that may reach the threshold."""
+def _pairs_within(groups: DataFrame, num: int, den: int, least: float, forest: bool = False) -> DataFrame:
+    """``a``, ``b`` for all pairs of different components in ``points`` (list of structs) that may reach the threshold.
+
+    ``forest``: only the likeliest pairs that join the components of a list, one less than there are components at most.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +139,11 @@ def _pairs_within(groups: DataFrame, num: int, den: int, least: float) -> DataFr
                     low, high = np.minimum(x["n"][left], x["n"][right]), np.maximum(x["n"][left], x["n"][right])
                     ok = (x["comp"][left] != x["comp"][right]) & (low * den >= high * num)
                     left, right = left[ok], right[ok]
-                    ok = _alike(x["sketch"][left], x["sketch"][right], least)
-                    a, b = x["id"][left[ok]], x["id"][right[ok]]
+                    near = (x["sketch"][left] == x["sketch"][right]).mean(axis=1)
+                    left, right, near = left[near >= least], right[near >= least], near[near >= least]
+                    if forest and size > 2:
+                        left, right = _likeliest(left, right, near, x["comp"], begin)
+                    a, b = x["id"][left], x["id"][right]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return groups.select("points").mapInArrow(work, "a long, b long")
@@ -161,11 +182,14 @@ def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFr
 
 
 def _links_in_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Links on full sets between the components of each cell (a pair of blocks of one node), as many as it takes to join them."""
+    """Pairs between the components of each cell (a pair of blocks of one node) that reach the threshold, as many as it takes to join them.
+
+    Sets travel as the upper halves of their hashes here; the pairs are confirmed on full sets afterwards.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         ids, comps, own = (table.column(c).to_numpy() for c in ("id", "comp", "own"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
         n = np.array([len(x) for x in sets], np.int64)
         left = np.flatnonzero(own == own.min())
         right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(own != own.min())
@@ -176,8 +200,8 @@ def _links_in_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
         order = np.argsort(column, kind="stable")
         point, column = point[order], column[order]
         both = np.zeros((len(left), len(right)), np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            a, b = np.searchsorted(column, [first, first + 4096])
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+            a, b = np.searchsorted(column, [first, first + 1024])
             width = int(column[b - 1]) - first + 1
             dense = np.zeros((len(n), width), np.float32)
             dense[point[a:b], column[a:b] - first] = 1
@@ -226,11 +250,11 @@ def near_duplicates(
     k: int = 5,
     num: int = 80,
     den: int = 100,
-    trees: int = 5,
+    trees: int = 4,
     leaf: int = 24,
     max_level: int = 8,
-    block_points: int = 1024,
-    block_shingles: int = 1_000_000,
+    block_points: int = 2048,
+    block_shingles: int = 3_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -254,10 +278,12 @@ def near_duplicates(
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "set"])
+            full = shingle_sets(batch.column(1), k)
+            short = [np.unique((s >> _U(32)).astype(np.uint32)).tobytes() for s in full]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in full], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "short"])
 
     mine = base.join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary"), "sets")
+    sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary, short binary"), "sets")
     links, comps, level = None, None, 0
     point = F.struct("id", "comp", "n", "sketch")
 
@@ -271,6 +297,9 @@ def near_duplicates(
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return rows.join(sizes.select("node", "size"), "node")
 
+    def in_leaves(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
+
     def add(found: DataFrame) -> None:
         nonlocal links, comps
         found = scratch.step(found, "links")
@@ -280,8 +309,7 @@ def near_duplicates(
 
     while True:
         rows = scratch.step(several(with_components(frontier)), "open")
-        small = rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
-        pairs = _pairs_within(small, num, den, least)
+        pairs = _pairs_within(in_leaves(rows), num, den, least, forest=True)
         large = rows.where(F.col("size") > leaf)
         dense = None
         if any_large := large.limit(1).count() > 0:
@@ -298,15 +326,24 @@ def near_duplicates(
         pairs = scratch.step(pairs.distinct(), "pairs")
         if pairs.limit(1).count():
             add(_confirm(pairs, sets, num, den))
+            # What the likeliest pairs have not joined: every other pair of different components.
+            again = several(with_components(rows.where(F.col("size") <= leaf).select("node", "id")))
+            more = scratch.step(_pairs_within(in_leaves(again), num, den, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+            if more.limit(1).count():
+                add(_confirm(more, sets, num, den))
+        scratch.release()
         if not any_large:
             break
         rest = scratch.step(several(with_components(large.where("not narrow").select("node", "id"))).join(dense, "node"), "rest")
-        if rest.where("dense").limit(1).count():
-            heavy = rest.where("dense").join(sketch.select("id", "n"), "id")
-            blocks = heavy.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / block_points, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-            cells = heavy.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64(F.lit(9), F.col("id")), F.col("blocks")).cast("int"))
-            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-            add(_links_in_blocks(cells.join(sets, "id"), num, den))
+        for wave in range(2):  # links that one half of the nodes gives spare the other half work
+            heavy = rest.where(F.col("dense") & (F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(2)) == wave)).select("node", "id")
+            heavy = scratch.step(several(with_components(heavy)).join(sketch.select("id", "n"), "id"), "heavy")
+            if heavy.limit(1).count():
+                blocks = heavy.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / block_points, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+                cells = heavy.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64(F.lit(9), F.col("id")), F.col("blocks")).cast("int"))
+                cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+                add(_confirm(scratch.step(_links_in_blocks(cells.join(sets.select("id", "short"), "id"), num, den).distinct(), "pairs"), sets, num, den))
+            scratch.release()
         sparse = rest.where("not dense").select("node", "id")
         byte = lambda c: F.substring("sketch", c + 1, 1)
         first = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(COORDS)).cast("int")

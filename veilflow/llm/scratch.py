@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,11 @@ class Scratch:
         self._n += 1
         return self.cut(df, f"{name}-{self._n}")
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that written tables have replaced; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def last(self, df: DataFrame) -> DataFrame:
         """Write the final rows and drop every other table of this scratch folder."""
         out = self.cut(df, "result")
