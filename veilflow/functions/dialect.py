@@ -149,7 +149,7 @@ class Dialect:
         short, long = f"(CASE WHEN length({x}) <= length({y}) THEN {x} ELSE {y} END)", f"(CASE WHEN length({x}) <= length({y}) THEN {y} ELSE {x} END)"
         cap = f"cast(greatest(1, ceil(length({short}) / 4.0)) AS INT)"
         near = self.edit_distance(short, f"left({long}, length({short}))", cap)
-        return f"(length({short}) >= 6 AND (contains({long}, {short}) OR (length({short}) >= 8 AND length({short}) >= 0.6 * length({long}) AND {near} <= {cap})))"
+        return f"(length({short}) >= 6 AND (contains({long}, {short}) OR (length({short}) >= 8 AND length({short}) <= 0.6 * length({long}) AND {near} <= {cap})))"
 
     def dots(self, n: str) -> str:
         return f"repeat('{DOT}', cast({n} AS INT))"
