@@ -284,7 +284,7 @@ def near_duplicates(
 
     mine = base.join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary, short binary"), "sets")
-    links, comps, level = None, None, 0
+    comps, level = None, 0
     point = F.struct("id", "comp", "n", "sketch")
 
     def with_components(rows: DataFrame) -> DataFrame:
@@ -301,11 +301,19 @@ def near_duplicates(
         return rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
 
     def add(found: DataFrame) -> None:
-        nonlocal links, comps
+        """Join the components that new links connect; only links between components are looked at."""
+        nonlocal comps
         found = scratch.step(found, "links")
-        if found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            comps = components(links, scratch)
+        if not found.limit(1).count():
+            return
+        if comps is None:
+            comps = components(found, scratch)
+            return
+        of_a = found.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+        of_b = of_a.join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        merged = components(of_b.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+        moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+        comps = scratch.step(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(merged), "comps")
 
     while True:
         rows = scratch.step(several(with_components(frontier)), "open")
