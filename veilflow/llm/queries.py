@@ -74,16 +74,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents come in, toxic ones are deleted, low-quality ones are counted anew without repeated lines."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rollups = token_rollups.Rollups(spark, Scratch(spark).path("rollups"))
-    arrived = token_rollups.count_tokens(docs).select(F.lit("insert").alias("op"), "*")
-    rollups.commit("0001", arrived)
+    scratch = Scratch(spark)
+    rollups = token_rollups.Rollups(spark, scratch.path("rollups"))
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    # Both counts come from one pass over the texts; only ids and numbers are joined.
+    counts = scratch.cut(token_rollups.count_tokens(docs, revised=lines), "counts")
+    rollups.commit("0001", counts.select(F.lit("insert").alias("op"), "doc_id", *token_rollups.KEYS, "n_tokens"))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id").select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("piece_bpe_32k").alias("tokenizer"), F.lit(None).cast("long").alias("n_tokens"))
+    gone = counts.join(toxic, "doc_id").select(F.lit("delete").alias("op"), "doc_id", *token_rollups.KEYS, F.lit(None).cast("long").alias("n_tokens"))
     rollups.commit("0002", gone)
     low = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 0 and toxic = 0").select("doc_id")
-    lines = F.array_join(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n")), "\n")
-    revised = token_rollups.count_tokens(docs.join(low, "doc_id").withColumn("text", lines)).select(F.lit("revise").alias("op"), "*")
-    rollups.commit("0003", revised)
+    rollups.commit("0003", counts.join(low, "doc_id").select(F.lit("revise").alias("op"), "doc_id", *token_rollups.KEYS, F.col("n_revised").alias("n_tokens")))
     rollups.commit("0002", gone)  # delivered twice, counted once
     return rollups.totals()
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilflow.llm import sentencepiece_bpe
@@ -28,19 +28,26 @@ KEYS = ("source", "lang", "tokenizer")
 DELTA = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k", model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, source, lang, ``tokenizer`` and ``n_tokens`` (begin and end ids not counted) of each whole text."""
+def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k", model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text", revised: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, ``tokenizer`` and ``n_tokens`` (begin and end ids not counted) of each whole text.
+
+    ``revised``: another text of the same row, counted in the same pass as ``n_revised`` (once, where both texts are equal).
+    """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    other = text if revised is None else revised
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", text.alias("text"), F.when(~other.eqNullSafe(text), F.coalesce(other, F.lit(""))).alias("other"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sentencepiece_bpe.codec(model_file or sentencepiece_bpe.default_model())
+        size = lambda t: sum(len(own.runs[r][0]) for r in own.marked(t or "")) // 4
         for batch in batches:
-            n = [sum(len(own.runs[r][0]) for r in own.marked(t or "")) // 4 for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "n_tokens"])
+            n = [size(t) for t in batch.column(3).to_pylist()]
+            again = [x if t is None else size(t) for x, t in zip(n, batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(again, pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_revised"])
 
-    counted = base.mapInArrow(work, "doc_id long, source string, lang string, n_tokens long")
-    return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
+    counted = base.mapInArrow(work, "doc_id long, source string, lang string, n_tokens long, n_revised long")
+    return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_tokens", *([] if revised is None else ["n_revised"]))
 
 
 class Rollups:
