@@ -78,7 +78,10 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Most words of the template that stand in ``words`` in order within ``band`` of a diagonal; first and last of them (exclusive)."""
+    """Most words of the template that stand in ``words`` in order within ``band`` of a diagonal; first and last of them (exclusive).
+
+    Of alignments with as many words the one that ends nearest to the diagonal holds.
+    """
     width = 2 * band + 1
     none = (0, -1, -1)
     before = [none] * (width + 1)
@@ -86,16 +89,17 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
         now = [none] * (width + 1)
         for d in range(width):
             j = i + diagonal + d - band
-            best = before[d + 1]  # the template's word is missing
-            if d and (now[d - 1][0], -now[d - 1][2]) > (best[0], -best[2]):
-                best = now[d - 1]  # the document has a word more
+            best = none
             if 0 <= j < len(words) and int(words[j]) == t:
                 n, s, _ = before[d]
-                if n + 1 > best[0]:
-                    best = (n + 1, j if s < 0 else s, j + 1)
+                best = (n + 1, j if s < 0 else s, j + 1)
+            if before[d + 1][0] > best[0]:
+                best = before[d + 1]  # the template's word is missing
+            if d and now[d - 1][0] > best[0]:
+                best = now[d - 1]  # the document has a word more
             now[d] = best
         before = now
-    return max(before, key=lambda x: (x[0], -x[2]))
+    return before[max(range(width), key=lambda d: (before[d][0], -abs(d - band)))]
 
 
 class LicenseIndex:
