@@ -176,6 +176,19 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("false"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_a_dense_cluster_in_many_cells(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([5 + 0.2 * rng.standard_normal((1600, 24)), rng.standard_normal((200, 24))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    vertices = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, v binary").cache()
+    graph = neighbours.build_graph(vertices, Scratch(spark), degree=20, rounds=2, cell=40).collect()
+    scores = x.astype(np.float32) @ x.astype(np.float32).T
+    np.fill_diagonal(scores, -np.inf)
+    worst = np.sort(scores, axis=1)[:, -20]
+    hits = sum((scores[r["id"]][np.frombuffer(r["ids"], np.int64)] >= worst[r["id"]] - 1e-6).sum() for r in graph)
+    assert hits >= 0.9 * 20 * len(x)
+
+
 def test_severity(spark):
     rng = np.random.default_rng(2)
     rows = []

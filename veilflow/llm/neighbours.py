@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries search it greedily.
 
-Start: a few rounds deal the vectors into cells by the signs of random projections about their medians; inside a cell (split where it
-is large) every vector keeps its best ``degree`` others.  Descent: for each vertex its neighbours, and as many vertices that name it,
-meet in one row by Spark joins and are compared with each other; a pair becomes a candidate where it beats the worst neighbour that a
-vertex has.  Search: a query walks from its own vertex, expands the best unexpanded vertices, scores their neighbours, and keeps the
-best; the last list is scored in double precision on the original vectors.
+Start: a few rounds deal the vectors into cells by random projections, each cell halved about its own median, so that dense clusters
+are divided as finely as they are full; inside a cell every vector keeps its best ``degree`` others.  Only what medians cannot divide
+(more than two cells of vectors equal in 16 bits, or what a bounded sample misses) is split by a hash of the id.  Descent: for each
+vertex its neighbours, and as many vertices that name it, meet in one row by Spark joins and are compared with each other; a pair
+becomes a candidate where it beats the worst neighbour that a vertex has; this is repeated until fewer than a share ``delta`` of all
+edges are new.  Search: a query walks from its own vertex, expands the best unexpanded vertices, scores their neighbours, and keeps the
+best, until none of the best is unexpanded; the last list is scored in double precision on the original vectors.
 
 Equal vectors are one vertex with its ``k + 1`` least ids, which is all that any answer can name.  Nothing is broadcast but the random
 projections and their medians (from a bounded sample).  Sizes of joined rows are bounded by ``degree``; vectors travel as 16-bit
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilflow.llm.scratch import Scratch
+from veilflow.llm.scratch import Scratch, drop_frame
 
 GRAPH = "id long, ids binary, scores binary"
 
@@ -82,11 +84,56 @@ def _bucketed(df: DataFrame, key: str, n: int, work: Callable[[pa.Table], pa.Tab
     return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).groupBy("_bucket").applyInArrow(lambda t: work(t.drop_columns(["_bucket"])), schema)
 
 
+def _halvings(total: int, cell: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(total / cell, 1)))))
+
+
+def _leaves(heights: np.ndarray, medians: list[np.ndarray]) -> np.ndarray:
+    """The leaf that each row of ``heights`` (one column for each level) falls to, if every node is halved about its own median."""
+    leaf = np.zeros(len(heights), np.int64)
+    for level, cuts in enumerate(medians):
+        leaf = 2 * leaf + (heights[:, level] > cuts[leaf])
+    return leaf
+
+
+def _medians(heights: np.ndarray) -> list[np.ndarray]:
+    """For each level the medians of its nodes, by node; an empty node has that of all rows."""
+    medians: list[np.ndarray] = []
+    for level in range(heights.shape[1]):
+        leaf, at = _leaves(heights, medians), heights[:, level]
+        cuts = np.full(1 << level, np.median(at), np.float32)
+        order = np.argsort(leaf, kind="stable")
+        nodes, first = np.unique(leaf[order], return_index=True)
+        for node, rows in zip(nodes, np.split(order, first[1:]), strict=True):
+            cuts[node] = np.median(at[rows])
+        medians.append(cuts)
+    return medians
+
+
 def _merged(lists: DataFrame, n: int, k: int) -> DataFrame:
     return _bucketed(lists, "id", n, lambda t: _lists(*_top(*_flat(t), k)), GRAPH)
 
 
-def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 12, descents: int = 2, cell: int = 5000, seed: int = 3) -> DataFrame:
+def _merged_anew(old: DataFrame, found: DataFrame, n: int, k: int) -> DataFrame:
+    """As _merged(), with the number of each list's entries that ``old`` does not have."""
+
+    def work(table: pa.Table) -> pa.Table:
+        known = table.filter(table.column("known"))
+        owner, other, score = _top(*_flat(table), k)
+        before, named, _ = _flat(known)
+        a, b, late = np.concatenate([before, owner]), np.concatenate([named, other]), np.repeat([0, 1], [len(before), len(owner)])
+        order = np.lexsort((late, b, a))
+        again = (np.diff(a[order], prepend=-1) == 0) & (np.diff(b[order], prepend=-1) == 0) & (np.arange(len(order)) > 0)
+        ids, at = np.unique(a[order[(late[order] == 1) & ~again]], return_counts=True)
+        lists = _lists(owner, other, score)
+        counts = dict(zip(ids.tolist(), at.tolist(), strict=True))
+        return lists.append_column("fresh", pa.array([counts.get(i, 0) for i in lists.column("id").to_pylist()], pa.int64()))
+
+    both = old.withColumn("known", F.lit(True)).unionByName(found.withColumn("known", F.lit(False)))
+    return _bucketed(both, "id", n, work, GRAPH + ", fresh long")
+
+
+def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 12, delta: float = 0.001, cell: int = 5000, seed: int = 3) -> DataFrame:
     """``id``, its best ``degree`` others (packed longs, best first) and their scores (packed 32-bit floats).
 
     ``vertices``: unique ``id`` and ``v``, a vector of 16-bit floats as bytes.
@@ -96,18 +143,20 @@ def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds:
     if first is None or total < 2:
         return scratch.spark.createDataFrame([], GRAPH)
     dim = len(first["v"]) // 2
-    bits = max(0, int(np.ceil(np.log2(max(total / cell, 1)))))
+    bits = _halvings(total, cell)
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((rounds, bits, dim)).astype(np.float32)
-    sample = [np.frombuffer(r["v"], np.float16).astype(np.float32) for r in vertices.orderBy(F.xxhash64(F.lit(seed), "id")).limit(4000).select("v").collect()]
-    medians = np.median(np.stack(sample) @ planes.reshape(-1, dim).T, axis=0).reshape(rounds, bits) if bits else np.zeros((rounds, 0))
+    room = min(max(4000, 32 << bits), max(4000, (64 << 20) // (4 * dim)))  # a few vectors of each last cell, 64 MB at most
+    sample = [np.frombuffer(r["v"], np.float16).astype(np.float32) for r in vertices.orderBy(F.xxhash64(F.lit(seed), "id")).limit(room).select("v").collect()]
+    sample = np.stack(sample)
+    medians = [_medians(sample @ planes[r].T) for r in range(rounds)]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
             for r in range(rounds):
-                signs = (x @ planes[r].T > medians[r]) @ (1 << np.arange(bits)) if bits else np.zeros(len(x))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs.astype(np.int64) * rounds + r), batch.column(1)], names=["id", "cell", "v"])
+                leaf = _leaves(x @ planes[r].T, medians[r])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf * rounds + r), batch.column(1)], names=["id", "cell", "v"])
 
     dealt = vertices.select("id", "v").mapInArrow(code, "id long, cell long, v binary")
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("parts"))  # a cell for each few thousand vectors and round
@@ -159,7 +208,8 @@ def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds:
         owner, other, score = (np.concatenate([o[i] for o in out]) for i in range(3))
         return _lists(*_top(owner, other, score, degree))
 
-    for _ in range(descents):
+    fresh, edges = 1, 0
+    while fresh > delta * edges:  # lists only get better, so that this ends
         named = graph.mapInArrow(edges_of, "a long, b long, s double")
         forward = named.select(F.col("a").alias("v"), F.col("b").alias("u"))
         # A vertex that very many name is cut to its nearest namers in two steps, so that no task gets them all.
@@ -170,7 +220,11 @@ def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds:
         own = graph.mapInArrow(_worst(degree), "id long, worst float")
         loaded = vertices.select("id", "v").join(own, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")).cast("float")))
         found = _bucketed(near.join(loaded, "id").select("at", "id", "worst", "v"), "at", 4 * n, local_join, GRAPH)
-        graph = scratch.step(_merged(graph.unionByName(found), n, degree), "graph")
+        better = scratch.step(_merged_anew(graph, found, n, degree), "graph")
+        fresh, edges = better.agg(F.coalesce(F.sum("fresh"), F.lit(0)), F.coalesce(F.sum(F.length("scores") / 4), F.lit(0))).first()
+        drop_frame(scratch, graph)
+        graph = better.select("id", "ids", "scores")
+        scratch.release()
     return graph
 
 
@@ -188,7 +242,7 @@ def _worst(degree: int):
     return work
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24, rounds: int = 12, descents: int = 2, hops: int = 2, width: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24, rounds: int = 12, delta: float = 0.001, width: int = 48, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = 5000) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the ``k`` nearest found among all other rows for each row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -209,7 +263,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "members", "x", "v"])
 
     vertices = scratch.cut(vertices.mapInArrow(half, "id long, members array<long>, x array<double>, v binary"), "vertices")
-    graph = build_graph(vertices, scratch, degree, rounds, descents)
+    graph = build_graph(vertices, scratch, degree, rounds, delta, cell)
+    width += 16 * _halvings(vertices.count(), cell)  # the more vectors, the more lists a query has to walk through
 
     asks = rows.where("asks").select("vec_id", "x").join(vertices.select("x", "id"), "x").select(F.col("vec_id").alias("q"), "id").distinct()
     homes = scratch.cut(asks.select("id").distinct().join(vertices.select("id", F.col("v").alias("qv")), "id"), "homes")
@@ -247,11 +302,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24,
 
     frontier = homes.select(F.col("id").alias("h"), "id")
     found = None
-    for _ in range(hops + 1):
+    while not frontier.isEmpty():  # the worst of the best never falls, so that no vertex is expanded twice
         new = score(expand(frontier)).withColumn("done", F.lit(False))
         pool = new if found is None else found.withColumn("done", F.lit(True)).unionByName(new)
-        found = scratch.step(_bucketed(pool.select("h", "id", "s", "done"), "h", n, keep_best, "h long, id long, s double, done boolean"), "found")
+        last, found = found, scratch.step(_bucketed(pool.select("h", "id", "s", "done"), "h", n, keep_best, "h long, id long, s double, done boolean"), "found")
+        if last is not None:
+            drop_frame(scratch, last)
         frontier = found.where("not done").select("h", "id")
+    if found is None:
+        return scratch.last(spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
     final = found.select("h", "id").unionByName(homes.select(F.col("id").alias("h"), "id"))
     scored = final.join(vertices.select("id", "members", "x"), "id").join(vertices.select(F.col("id").alias("h"), F.col("x").alias("qx")), "h")
     dot = F.aggregate(F.zip_with("x", "qx", lambda a, b: a * b), F.lit(0.0), lambda acc, z: acc + z)
