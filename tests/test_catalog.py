@@ -40,6 +40,24 @@ def test_same_rows(spark, duck, name):
     assert left == right and left
 
 
+def test_words_of_long_lines(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect()
+    lines = [(r["doc_id"], n, s) for r in docs for n, s in enumerate(r["text"].split("\n"), 1) if s.strip(" ")] + list(catalog.FIXTURE_LINES)
+    assert any(len(s) >= 400 for _, _, s in lines)
+    want, built = set(), {}
+    for doc, n, s in lines:
+        at = 0
+        for i, w in enumerate(s.split(" "), 1):
+            if w:
+                want.add((doc, n, i, w, 8.0 * at))
+            at += len(w) + 1
+        kept = [w for w in s.split(" ") if w]
+        built[doc, n] = (" ".join(kept), [sum(map(len, kept[:i])) + i for i in range(len(kept))])
+    got = [tuple(r) for r in catalog.QUERIES["ocr_words"](spark, SMALL).select("doc_id", "line_no", "idx", "text", "x").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {(r["doc_id"], r["line_no"]): (r["line"], r["word_starts"]) for r in catalog.QUERIES["build_line"](spark, SMALL).collect()} == built
+
+
 def test_covered_lines_have_no_findings_left(spark):
     assert catalog.QUERIES["redacted_rescan"](spark, SMALL).count() == 0
 

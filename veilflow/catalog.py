@@ -125,7 +125,8 @@ _q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_bytes(d,
 
 # ------------------------------------------------------------------ lines
 
-_q("build_line", lambda d: f"SELECT doc_id, line_no, {d.join('ws', ' ')} AS line, {d.map(d.range('1', d.size('ws')), 'i', G.word_start(d, 'ws', 'i'))} AS word_starts FROM (SELECT doc_id, line_no, {d.keep(d.split('line', ' '), 'w', 'w <> ' + chr(39) * 2)} AS ws FROM {lines(d)} l WHERE length(line) < 400) q")
+_KEPT = lambda d: d.keep(d.split("line", " "), "w", "w <> ''")
+_q("build_line", lambda d: f"SELECT l.doc_id, l.line_no, {d.join(_KEPT(d), ' ')} AS line, s.word_starts FROM {lines(d)} l JOIN (SELECT doc_id, line_no, {d.sorted('collect_list(start)' if d.spark else 'list(start)')} AS word_starts FROM {G.words_at(d, lines(d), _KEPT(d))} w GROUP BY doc_id, line_no) s ON l.doc_id = s.doc_id AND l.line_no = s.line_no")
 _q("despace", lambda d: f"SELECT doc_id, line_no, {G.despaced(d, 'line')} AS result FROM {lines(d)} l")
 _q("variants", lambda d: f"SELECT doc_id, line_no, 'original' AS kind, line AS text FROM {lines(d)} l UNION ALL SELECT doc_id, line_no, 'despaced' AS kind, {G.despaced(d, 'line')} AS text FROM {lines(d)} l WHERE {G.despaced(d, 'line')} <> line")
 _q("category_filter", lambda d: f"SELECT * FROM {found(d)} f WHERE category IN ('personal', 'financial')")
