@@ -40,6 +40,10 @@ def test_same_rows(spark, duck, name):
     assert left == right and left
 
 
+def test_findings_of_every_rule_arrive(spark):
+    assert {r["detector_id"] for r in catalog.QUERIES["detector_dim"](spark, SMALL).collect()} == {r.id for r in catalog.RULES}
+
+
 def test_words_of_long_lines(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect()
     lines = [(r["doc_id"], n, s) for r in docs for n, s in enumerate(r["text"].split("\n"), 1) if s.strip(" ")] + list(catalog.FIXTURE_LINES)
