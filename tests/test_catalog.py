@@ -2,6 +2,7 @@
 
 import math
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -44,6 +45,18 @@ def test_findings_of_every_rule_arrive(spark):
     assert {r["detector_id"] for r in catalog.QUERIES["detector_dim"](spark, SMALL).collect()} == {r.id for r in catalog.RULES}
 
 
+def test_sightings_pair_by_time_and_no_sample_is_lost(spark, tmp_path):
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    rows = [(1, day(0), 7, "a"), (1000, day(0), 7, "b"), (2, day(40), 7, "a")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    for name in ("box_math", "face_match"):
+        assert [(r["a_id"], r["b_id"]) for r in run(name)] == [(1, 1000)]
+    assert sorted((r["start_t"], r["end_t"]) for r in run("findings_time")) == [(0.0, 0.5), (0.0, 0.5), (39.5, 40.0)]
+    frames = {r["i"]: (r["frame_t"], r["ok"]) for r in run("nearest_frame")}
+    assert len(frames) == len(run("sample_grid")) and frames[0] == (0.0, True) and frames[30] == (0.0, False) and frames[50] == (40.0, False)
+
+
 def test_words_of_long_lines(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect()
     lines = [(r["doc_id"], n, s) for r in docs for n, s in enumerate(r["text"].split("\n"), 1) if s.strip(" ")] + list(catalog.FIXTURE_LINES)

@@ -156,21 +156,25 @@ _q("qr_corroborate", lambda d: f"SELECT event_id, video, k, t FROM {hits(d)} a W
 _q("qr_window", lambda d: f"SELECT event_id, count(*) OVER (PARTITION BY video, k ORDER BY t RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS n FROM {hits(d)} a")
 _SESSION = lambda d: f"(SELECT *, sum(fresh) OVER (PARTITION BY video, k ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video, k ORDER BY t, event_id) <= 1.25 THEN 0 ELSE 1 END AS fresh FROM {hits(d)} a) q)"
 _q("sessions", lambda d: f"SELECT video, k, s, min(t) AS first_t, max(t) AS last_t, max(conf) AS conf, count(*) AS n FROM {_SESSION(d)} q GROUP BY video, k, s")
-_q("findings_time", lambda d: f"SELECT video, k, s, greatest(0.0, min(t) - 0.5) AS start_t, least(31.0, max(t) + 0.5) AS end_t FROM {_SESSION(d)} q GROUP BY video, k, s")
+_q("findings_time", lambda d: f"SELECT q.video, k, s, greatest(0.0, min(t) - 0.5) AS start_t, least(max(v.dur), max(t) + 0.5) AS end_t FROM {_SESSION(d)} q JOIN (SELECT video, max(t) AS dur FROM {hits(d)} a GROUP BY video) v ON v.video = q.video GROUP BY q.video, k, s")
 _q("established", lambda d: f"SELECT video, k, s, max(conf) AS conf FROM {_SESSION(d)} q WHERE conf >= 0.45 GROUP BY video, k, s HAVING max(conf) >= 0.7")
 _q("strongest_hit", lambda d: f"SELECT video, event_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY video, floor(t) ORDER BY conf DESC, event_id) AS r FROM {hits(d)} a) q WHERE r = 1")
 _q("face_stitch", lambda d: f"SELECT video, k, event_id, t, {G.face_match('lx', 'ly', 'lw', 'lh', 'x', 'y', 'w', 'h')} AND lt < t AND t - lt <= 1.25 AS stitches FROM (SELECT *, lag(t) OVER w1 AS lt, lag(x) OVER w1 AS lx, lag(y) OVER w1 AS ly, lag(w) OVER w1 AS lw, lag(h) OVER w1 AS lh FROM {hits(d)} a WINDOW w1 AS (PARTITION BY video, k ORDER BY t, event_id)) q WHERE lt IS NOT NULL")
 _q("reach", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, {CLOSE} <= 3 * greatest(a.w, a.h, b.w, b.h) + 40 AS near, {CLOSE} AS dist FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.k = b.k AND a.event_id < b.event_id AND abs(a.t - b.t) <= 0.2")
 _q("dup_pairs", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.event_id < b.event_id AND abs(a.t - b.t) <= 1.5 AND {G.overlap('a', 'b')} > 0.3 AND {d.same_secret('a.k', 'b.k')}")
 _q("iou_pairs", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, round({G.iou('a', 'b')}, 6) AS iou FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.event_id < b.event_id AND floor(a.t * 2) = floor(b.t * 2) AND {G.iou('a', 'b')} > 0.3")
-_q("box_math", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, round({CLOSE}, 6) AS dist, round({G.overlap('a', 'b')}, 6) AS ratio, round({G.iou('a', 'b')}, 6) AS iou, {G.moved('a', 'b')} AS moved FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND b.event_id > a.event_id AND b.event_id <= a.event_id + 300")
-_q("face_match", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, {G.face_match('a.x', 'a.y', 'a.w', 'a.h', 'b.x', 'b.y', 'b.w', 'b.h')} AS result FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND b.event_id > a.event_id AND b.event_id <= a.event_id + 300")
+_q("box_math", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, round({CLOSE}, 6) AS dist, round({G.overlap('a', 'b')}, 6) AS ratio, round({G.iou('a', 'b')}, 6) AS iou, {G.moved('a', 'b')} AS moved FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND b.event_id > a.event_id AND abs(b.t - a.t) <= 1.25")
+_q("face_match", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, {G.face_match('a.x', 'a.y', 'a.w', 'a.h', 'b.x', 'b.y', 'b.w', 'b.h')} AS result FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND b.event_id > a.event_id AND abs(b.t - a.t) <= 1.25")
 _q("qr_dedupe", lambda d: f"SELECT a.event_id FROM {hits(d)} a WHERE NOT EXISTS (SELECT 1 FROM {hits(d)} b WHERE b.video = a.video AND b.k = a.k AND floor(b.t * 2) = floor(a.t * 2) AND b.event_id < a.event_id AND {G.overlap('a', 'b')} > 0)")
 
 _VIDEOS = lambda d: f"(SELECT video, max(t) AS dur FROM {hits(d)} a GROUP BY video HAVING max(t) > 0)"
 GRID = lambda d: "(" + d.explode("video, i, least(dur - 0.001, i * 0.5) AS t", f"{_VIDEOS(d)} v", d.range("0", "greatest(1, floor(dur / 0.5))"), "i") + ")"
 _q("sample_grid", lambda d: f"SELECT video, i, round(t, 6) AS t FROM {GRID(d)} g")
-_q("nearest_frame", lambda d: f"SELECT video, i, round(t, 6) AS t, frame_t, ok FROM (SELECT g.video, g.i, g.t, f.t AS frame_t, abs(f.t - g.t) <= 0.05 AS ok, row_number() OVER (PARTITION BY g.video, g.i ORDER BY abs(f.t - g.t), f.t, f.event_id) AS r FROM {GRID(d)} g JOIN {hits(d)} f ON f.video = g.video AND f.t BETWEEN g.t - 2 AND g.t + 2) q WHERE r = 1")
+_AROUND = lambda d: (
+    "(SELECT video, i, t, max(f) OVER (PARTITION BY video ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before_t, min(f) OVER (PARTITION BY video ORDER BY t RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after_t"
+    f" FROM (SELECT video, i, t, cast(NULL AS DOUBLE) AS f FROM {GRID(d)} g UNION ALL SELECT video, NULL AS i, t, t AS f FROM {hits(d)} h) u)"
+)
+_q("nearest_frame", lambda d: f"SELECT video, i, round(t, 6) AS t, frame_t, coalesce(abs(frame_t - t) <= 0.05, FALSE) AS ok FROM (SELECT video, i, t, CASE WHEN before_t IS NULL OR after_t - t < t - before_t THEN after_t ELSE before_t END AS frame_t FROM {_AROUND(d)} w WHERE i IS NOT NULL) q")
 _FINDINGS = lambda d: f"(SELECT video, k, s, greatest(0.0, min(t) - 0.5) AS start_t, max(t) + 0.5 AS end_t, max(conf) AS conf FROM {_SESSION(d)} q GROUP BY video, k, s)"
 _q("active_at", lambda d: f"SELECT g.video, g.i, count(*) AS n FROM {GRID(d)} g JOIN {_FINDINGS(d)} f ON f.video = g.video AND f.start_t <= g.t AND g.t <= f.end_t GROUP BY g.video, g.i")
 _BRACKET = lambda d: (
