@@ -6,19 +6,23 @@ value there, so a child gathers points that share a chosen token.  Nodes of at m
 nodes branch again, each with coordinates of its own: unlike points part company within a level or two.
 
 Points that stay together are alike, and only what they are linked to matters, not every pair of them: a large node first ties its
-points to a few pivots; links found join components; a node whose points are one component is done; a node with at most ``leaf``
-points outside its largest component compares those with all others and is done too.  A node whose points are so alike that two
-children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching: it is
-compared exhaustively at once, in pairs of blocks, on full sets, and so is what still stands after ``max_level`` levels.  No pair is
-lost to a cap, and a task emits links that join components, never all pairs.
+points to a few pivots drawn by hash; links found join components; a node whose points are one component is done; a node with at most
+``leaf`` points outside its largest component compares those with all others and is done too.  A node whose points are so alike that
+two children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching.  It is
+tied once more, to the points that are most like the others, and what then stands outside its largest component is compared with all
+of its points, in cells of two blocks and on full sets; so is what still stands after ``max_level`` levels.  No pair is lost to a cap,
+and a task emits links that join components, never all pairs.
 
 A pair of similarity s survives a level with probability 1 - (1 - s p)**2, p being its chance below; for s = 0.8 that tends to 0.94,
-for s = 0.85 to 0.97, so four trees miss about one such pair in 80,000, or in a million.  Sketches of 128 bytes pick pairs within six standard
-deviations of the threshold, and each is confirmed on full shingle sets, in whole numbers.
+for s = 0.85 to 0.97, so four trees miss about one such pair in 80,000, or in a million, by this estimate.  Sketches of 128 bytes pick
+pairs within six standard deviations of the threshold.  Every link is decided on full shingle sets, in whole numbers.  The sets are
+written once, in buckets by id, so that a decision shuffles the sets of its pairs only; the set of a pivot goes to several places.
 
 Defined results: a null text, an empty one or one without words has no shingles and is linked with nothing; a text with fewer words
-than a shingle is one shingle; rows that repeat an id and text are one document; ties cannot arise, as the least id names a group; an
-empty table gives an empty result; other columns are kept or ignored, whatever their names (those that begin with ``_`` are reserved).
+than a shingle is one shingle; rows that repeat an id and text are one row; an id that comes with several texts is one document that
+is linked through any of them, with a row for each; a row without an id takes no part and has no component; ties cannot arise, as the
+least id names a group; an empty table gives an empty result; texts of any length are read whole; other columns are kept or ignored,
+whatever their names (those that begin with ``_`` are reserved).  Ids that are no whole numbers are refused.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilflow.llm.components import components
 from veilflow.llm.scratch import Scratch, small_batches
@@ -150,99 +155,137 @@ def _pairs_within(groups: DataFrame, num: int, den: int, least: float, forest: b
 
 
 def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
-    """For each row of a large node, ``a``, ``b`` with its pivots of other components (all that may reach the threshold in a narrow node, the
-    most alike in another), and one row with ``near``, its mean similarity to the pivots."""
+    """For each row of a large node, ``a`` (the row) and ``b`` (a pivot) for its pivots of other components: all that may reach the threshold
+    where ``every`` says so, else the most alike; and one row with ``near``, its mean similarity to the pivots."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, ids, comps, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, COORDS)
-            narrow = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
-            sizes, x = _struct_list(batch.column(6))
+            every = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            salts = batch.column(6).to_numpy(zero_copy_only=False)
+            sizes, x = _struct_list(batch.column(7))
             row = np.repeat(np.arange(len(ids)), sizes)
             near = (sketch[row] == x["sketch"]).mean(axis=1)
             low, high = np.minimum(n[row], x["n"]), np.maximum(n[row], x["n"])
             at = np.flatnonzero((comps[row] != x["comp"]) & (low * den >= high * num) & (near >= least))
             at = at[np.lexsort((x["id"][at], -near[at], row[at]))]
-            at = at[(np.diff(row[at], prepend=-1) != 0) | narrow[row[at]]]
-            a, b = ids[row[at]], x["id"][at]
+            at = at[(np.diff(row[at], prepend=-1) != 0) | every[row[at]]]
             other = np.bincount(row, near * (ids[row] != x["id"]), len(ids)) / np.maximum(np.bincount(row, ids[row] != x["id"], len(ids)), 1)
-            none = np.full(len(ids), -1, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([node[row[at]], node])),
-                    pa.array(np.concatenate([np.minimum(a, b), none])),
-                    pa.array(np.concatenate([np.maximum(a, b), none])),
-                    pa.array(np.concatenate([np.zeros(len(at)), other])),
+                    pa.array(np.concatenate([ids[row[at]], ids])),
+                    pa.array(np.concatenate([x["id"][at], np.full(len(ids), -1, np.int64)])),
+                    pa.array(np.concatenate([salts[row[at]], np.ones(len(ids), np.int64)])),
+                    pa.array(np.concatenate([np.ones(len(at)), other])),
+                    pa.array(np.concatenate([np.ones(len(at), bool), np.zeros(len(ids), bool)])),
                 ],
-                names=["node", "a", "b", "near"],
+                names=["node", "a", "b", "salts", "near", "pair"],
             )
 
-    return rows.select("node", "id", "comp", "n", "sketch", "narrow", "pivots").mapInArrow(work, "node long, a long, b long, near double")
+    return rows.select("node", "id", "comp", "n", "sketch", "every", "salts", "pivots").mapInArrow(work, "node long, a long, b long, salts long, near double, pair boolean")
 
 
-def _links_in_blocks(cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs between the components of each cell (a pair of blocks of one node) that reach the threshold, as many as it takes to join them.
+def _links_in_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """``a``, ``b``: links between components, of each cell as many as it takes to join them, decided on full sets.
 
-    Sets travel as the upper halves of their hashes here; the pairs are confirmed on full sets afterwards.
+    A cell holds one block of the points outside the largest component of a node (``rest``) and one block of all its points.
     """
 
     def work(table: pa.Table) -> pa.Table:
-        ids, comps, own = (table.column(c).to_numpy() for c in ("id", "comp", "own"))
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
-        n = np.array([len(x) for x in sets], np.int64)
-        left = np.flatnonzero(own == own.min())
-        right = left if table.column("i")[0].as_py() == table.column("j")[0].as_py() else np.flatnonzero(own != own.min())
-        values, index, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        column = np.cumsum(seen > 1) - 1
-        shared = seen[index] > 1
-        point, column = np.repeat(np.arange(len(n)), n)[shared], column[index[shared]]
-        order = np.argsort(column, kind="stable")
-        point, column = point[order], column[order]
-        both = np.zeros((len(left), len(right)), np.float32)
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
-            a, b = np.searchsorted(column, [first, first + 1024])
-            width = int(column[b - 1]) - first + 1
-            dense = np.zeros((len(n), width), np.float32)
-            dense[point[a:b], column[a:b] - first] = 1
-            both += dense[left] @ dense[right].T
-        both = both.astype(np.int64)
-        linked = den * both >= num * (n[left][:, None] + n[right][None, :] - both)
-        linked &= comps[left][:, None] != comps[right][None, :]
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.setdefault(c, c) != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        out = []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-            p, q = int(left[i]), int(right[j])
-            u, v = root(int(comps[p])), root(int(comps[q]))
-            if u != v:
-                parent[u] = v
-                out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        ids, comps, rest = (table.column(c).to_numpy() for c in ("id", "comp", "rest"))
+        column = table.column("set").combine_chunks()
+        n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            _, index, seen = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            number = np.cumsum(seen > 1) - 1
+            shared = seen[index] > 1
+            point, number = np.repeat(np.arange(len(n), dtype=np.int32), n)[shared], number[index[shared]].astype(np.int32)
+            order = np.argsort(number, kind="stable")
+            point, number = point[order], number[order]
+            both = np.zeros((len(left), len(right)), np.float32)
+            for first in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
+                a, b = np.searchsorted(number, [first, first + 1024])
+                dense = np.zeros((len(n), int(number[b - 1]) - first + 1), np.float32)
+                dense[point[a:b], number[a:b] - first] = 1
+                both += dense[left] @ dense[right].T
+            linked = (den + num) * both.astype(np.int64) >= num * (n[left][:, None] + n[right][None, :])
+            linked &= comps[left][:, None] != comps[right][None, :]
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for i in np.flatnonzero(linked.any(axis=1)).tolist():
+                for j in np.flatnonzero(linked[i]).tolist():
+                    u, v = root(int(comps[left[i]])), root(int(comps[right[j]]))
+                    if u != v:
+                        parent[u] = v
+                        out.append((int(ids[left[i]]), int(ids[right[j]])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return cells.groupBy("node", "i", "j").applyInArrow(work, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+class _Join:
+    """One run: the points' sketches and full sets as tables, and the components that links have made so far."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def __init__(self, scratch: Scratch, sketch: DataFrame, sets: DataFrame, num: int, den: int):
+        self.scratch, self.sketch, self.sets, self.num, self.den = scratch, sketch, sets, num, den
+        self.comps: DataFrame | None = None
+
+    def with_components(self, rows: DataFrame) -> DataFrame:
+        if self.comps is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(self.comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Rows (node, id, comp) of the nodes that hold several components, with the size of the node."""
+        rows = self.with_components(rows)
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return rows.join(sizes.select("node", "size"), "node")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Add the pairs (``a``, ``b``, ``salts``) whose full sets reach the threshold.
+
+        The set of ``b``, which may stand in very many pairs, is handed to ``salts`` places; the sets themselves lie in buckets by id, so
+        that only those of pairs are shuffled, and each pair is decided in the JVM.
+        """
+        pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+        left = pairs.select("a", "b", "salt").join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+        hubs = pairs.select("b", "salt").distinct().join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        reaches = (self.den + self.num) * F.size(F.array_intersect("x", "y")) >= self.num * (F.size("x") + F.size("y"))
+        self.add(left.join(hubs, ["b", "salt"]).where(reaches).select("a", "b"))
+
+    def add(self, found: DataFrame) -> None:
+        """Join the components that new links connect; only links between components are looked at."""
+        scratch = self.scratch
+        found = scratch.step(found, "links")
+        if not found.limit(1).count():
+            return
+        if self.comps is None:
+            self.comps = components(found, scratch)
+            return
+        comps = self.comps
+        of_a = found.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+        of_b = of_a.join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        merged = components(of_b.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+        moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+        self.comps = scratch.step(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(merged), "comps")
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(work, "a long, b long")
+    def against(self, large: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
+        """Rows of large nodes (node, id, comp, every, salts) held against the pivots (node, id, comp) of their nodes."""
+        lists = pivots.join(self.sketch, "id").groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("pivots"))
+        return self.scratch.step(_against_pivots(large.join(self.sketch, "id").join(lists, "node"), self.num, self.den, least), "near")
+
+
+def _pairs_of(near: DataFrame) -> DataFrame:
+    return near.where("pair").groupBy("a", "b").agg(F.max("salts").alias("salts"))
 
 
 def near_duplicates(
@@ -254,11 +297,14 @@ def near_duplicates(
     leaf: int = 24,
     max_level: int = 8,
     block_points: int = 2048,
-    block_shingles: int = 3_000_000,
+    block_shingles: int = 1_500_000,
+    bucket_shingles: int = 4_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable over links of at least ``num / den``) of every document."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be whole numbers")
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
@@ -267,108 +313,114 @@ def near_duplicates(
     least = num / den - 6 * spread
 
     sketches = scratch.cut(_sketch(base, k, trees), "sketches")
-    members = sketches.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots")).where("n > 0")
+    named = sketches.where("n > 0 and doc_id is not null")
+    members = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     points = scratch.cut(members.select("id", "n", "s1", "s2", "sketch", "roots"), "points")
+    sketches = scratch.cut(sketches.select("doc_id", "n", "s1", "s2"), "named")
+    scratch.drop("sketches")
 
     frontier = points.select(F.explode("roots").alias("node"), "id")
     shared = frontier.groupBy("node").count().where("count > 1").select("node")
     frontier = scratch.step(frontier.join(shared, "node"), "frontier")
     live = frontier.select("id").distinct()
     sketch = scratch.cut(points.select("id", "n", "sketch").join(live, "id", "left_semi"), "live")
+    of_point = scratch.cut(points.select("id", "n", "s1", "s2"), "keys")
+    scratch.drop("points")
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            full = shingle_sets(batch.column(1), k)
-            short = [np.unique((s >> _U(32)).astype(np.uint32)).tobytes() for s in full]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in full], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "short"])
-
-    mine = base.join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.cut(mine.mapInArrow(to_set, "id long, set binary, short binary"), "sets")
-    comps, level = None, 0
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), pa.array(np.concatenate(sets)))], names=["id", "set"])
+
+    total = sketch.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_shingles + 1)
+    mine = base.repartition(buckets, "doc_id").join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    sets = scratch.bucketed(mine.mapInArrow(to_set, "id long, set array<long>"), "sets", buckets, "id")
+    scratch.release()
+    run = _Join(scratch, sketch, sets, num, den)
     point = F.struct("id", "comp", "n", "sketch")
-
-    def with_components(rows: DataFrame) -> DataFrame:
-        if comps is None:
-            return rows.withColumn("comp", F.col("id"))
-        return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-
-    def several(rows: DataFrame) -> DataFrame:
-        """Rows (node, id, comp) of the nodes that hold several components, with the size of the node."""
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return rows.join(sizes.select("node", "size"), "node")
+    level = 0
 
     def in_leaves(rows: DataFrame) -> DataFrame:
         return rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
 
-    def add(found: DataFrame) -> None:
-        """Join the components that new links connect; only links between components are looked at."""
-        nonlocal comps
-        found = scratch.step(found, "links")
-        if not found.limit(1).count():
-            return
-        if comps is None:
-            comps = components(found, scratch)
-            return
-        of_a = found.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        of_b = of_a.join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        merged = components(of_b.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
-        moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
-        comps = scratch.step(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(merged), "comps")
-
     while True:
-        rows = scratch.step(several(with_components(frontier)), "open")
-        pairs = _pairs_within(in_leaves(rows), num, den, least, forest=True)
+        rows = scratch.step(run.open(frontier), "open")
+        small = _pairs_within(in_leaves(rows), num, den, least, forest=True).withColumn("salts", F.lit(1).cast("long"))
         large = rows.where(F.col("size") > leaf)
-        dense = None
-        if any_large := large.limit(1).count() > 0:
+        pairs, near = small, None
+        if large.limit(1).count():
             top = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
-            large = scratch.step(large.join(top, "node").withColumn("narrow", F.col("size") - F.col("most") <= leaf), "large")
-            outside = large.where("narrow and comp <> top").select("node", "id")
-            seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"))).alias(f"p{s}") for s in range(4)]
-            drawn = large.where("not narrow").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{s}.id") for s in range(4)]))).alias("id"))
-            pivots = outside.unionByName(drawn).join(large.select("node", "id", "comp"), ["node", "id"]).join(sketch, "id")
-            pivots = pivots.groupBy("node").agg(F.collect_list(point).alias("pivots"))
-            near = scratch.step(_against_pivots(large.join(sketch, "id").join(pivots, "node"), num, den, least), "near")
-            pairs = pairs.unionByName(near.where("a >= 0").select("a", "b"))
-            dense = scratch.step(near.where("a < 0").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense")), "dense")
+            large = large.join(top, "node").withColumn("every", F.col("size") - F.col("most") <= leaf).withColumn("salts", F.ceil(F.col("size") / 256))
+            large = scratch.step(large, "large")
+            outside = large.where("every and comp <> top").select("node", "id", "comp")
+            seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias(f"p{s}") for s in range(4)]
+            drawn = large.where("not every").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{s}.id").alias("id"), F.col(f"p{s}.comp").alias("comp")) for s in range(4)]))).alias("p"))
+            near = run.against(large, outside.unionByName(drawn.select("node", "p.id", "p.comp")), least)
+            pairs = small.unionByName(_pairs_of(near)).groupBy("a", "b").agg(F.max("salts").alias("salts"))
         pairs = scratch.step(pairs.distinct(), "pairs")
         if pairs.limit(1).count():
-            add(_confirm(pairs, sets, num, den))
-            # What the likeliest pairs have not joined: every other pair of different components.
-            again = several(with_components(rows.where(F.col("size") <= leaf).select("node", "id")))
-            more = scratch.step(_pairs_within(in_leaves(again), num, den, least).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+            run.confirm(pairs)
+            # What the likeliest pairs of leaves have not joined: every other pair of different components.
+            again = run.open(rows.where(F.col("size") <= leaf).select("node", "id"))
+            more = _pairs_within(in_leaves(again), num, den, least).distinct().withColumn("salts", F.lit(1).cast("long"))
+            more = scratch.step(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
             if more.limit(1).count():
-                add(_confirm(more, sets, num, den))
+                run.confirm(more)
         scratch.release()
-        if not any_large:
+        if near is None:
             break
-        rest = scratch.step(several(with_components(large.where("not narrow").select("node", "id"))).join(dense, "node"), "rest")
-        for wave in range(2):  # links that one half of the nodes gives spare the other half work
-            heavy = rest.where(F.col("dense") & (F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(2)) == wave)).select("node", "id")
-            heavy = scratch.step(several(with_components(heavy)).join(sketch.select("id", "n"), "id"), "heavy")
-            if heavy.limit(1).count():
-                blocks = heavy.groupBy("node").agg(F.ceil(F.greatest(F.count("*") / block_points, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-                cells = heavy.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64(F.lit(9), F.col("id")), F.col("blocks")).cast("int"))
-                cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "id", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-                add(_confirm(scratch.step(_links_in_blocks(cells.join(sets.select("id", "short"), "id"), num, den).distinct(), "pairs"), sets, num, den))
+        # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last level.
+        dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense"))
+        left = large.where("not every").select("node", "id", "salts").join(dense, "node")
+        left = scratch.step(left, "left")
+        # The points that are most like others are those that others are linked to: as pivots they join nearly all that can be joined.
+        seen = near.where("not pair").select("node", F.struct("near", F.col("a").alias("id")).alias("c"))
+        quarter = F.pmod(F.xxhash64(F.lit(5), F.col("c.id")), F.lit(4))
+        best = seen.groupBy("node").agg(F.array_compact(F.array(*[F.max(F.when(quarter == q, F.col("c"))) for q in range(4)])).alias("best"))
+        best = best.select("node", F.explode("best.id").alias("id"))
+        heavy = scratch.step(run.open(left.where("dense").select("node", "id")).join(left.select("node", "id", "salts"), ["node", "id"]), "dense")
+        if heavy.limit(1).count():
+            pivots = heavy.select("node", "id", "comp").join(best, ["node", "id"], "left_semi")
+            found = scratch.step(_pairs_of(run.against(heavy.withColumn("every", F.lit(True)), pivots, least)), "pairs")
+            if found.limit(1).count():
+                run.confirm(found)
             scratch.release()
-        sparse = rest.where("not dense").select("node", "id")
+            for wave in range(4):  # the same points share several nodes: what one gives spares the others work
+                mine = left.where(F.col("dense") & (F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(4)) == wave)).select("node", "id")
+                open_ = scratch.step(run.open(mine).join(sketch.select("id", "n"), "id"), "heavy")
+                if open_.limit(1).count():
+                    run.add(_links_in_cells(_cells(open_, block_points, block_shingles).join(sets, "id"), num, den).distinct())
+                    scratch.release()
         byte = lambda c: F.substring("sketch", c + 1, 1)
         first = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(COORDS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
         child = F.explode(F.array(*[F.xxhash64("node", c, byte(c)) for c in (first, second)]))
+        sparse = run.open(left.where("not dense").select("node", "id")).select("node", "id")
         frontier = scratch.step(sparse.join(sketch, "id").select(child.alias("node"), "id"), "frontier")
         if not frontier.limit(1).count():
             break
         level += 1
 
-    of_point = points.select("id", "n", "s1", "s2")
-    if comps is not None:
-        of_point = of_point.join(comps, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
+    if run.comps is not None:
+        of_point = of_point.join(run.comps, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     else:
         of_point = of_point.select("n", "s1", "s2", F.col("id").alias("component"))
-    out = sketches.select("doc_id", "n", "s1", "s2").distinct().join(of_point, ["n", "s1", "s2"], "left")
-    return scratch.last(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    out = sketches.distinct().join(of_point, ["n", "s1", "s2"], "left")
+    return scratch.last(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def _cells(rows: DataFrame, block_points: int, block_shingles: int) -> DataFrame:
+    """node, i, j, id, comp, rest: each block of the points outside a node's largest component beside each block of all its points."""
+    top = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("node")
+    top = top.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("c"), F.sum("c").alias("all_c"), (F.sum("s") - F.max_by("s", F.struct("c", "comp"))).alias("s"), F.sum("s").alias("all_s"))
+    blocks = lambda c, s: F.ceil(F.greatest(F.col(c) / block_points, F.col(s) / block_shingles)).cast("int")
+    top = top.select("node", "top", blocks("c", "s").alias("ni"), blocks("all_c", "all_s").alias("nj"))
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n)).cast("int")
+    each = rows.join(top, "node")
+    every = each.select("node", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), block(9, "nj").alias("j"), "id", "comp", F.lit(False).alias("rest"))
+    rest = each.where("comp <> top").select("node", block(10, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "comp", F.lit(True).alias("rest"))
+    return every.unionByName(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

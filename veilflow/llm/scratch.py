@@ -28,6 +28,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/veilflow-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -42,6 +43,16 @@ class Scratch:
         self._n += 1
         return self.cut(df, f"{name}-{self._n}")
 
+    def bucketed(self, df: DataFrame, name: str, n: int, key: str) -> DataFrame:
+        """As cut(), in ``n`` buckets by ``key``: a join on it then shuffles the other side alone.
+
+        Rows that come dealt by ``key`` into ``n`` partitions are written without another shuffle, one file a bucket.
+        """
+        table = f"veilflow_{uuid.uuid4().hex}"
+        df.write.mode("overwrite").bucketBy(n, key).option("path", self.path(name)).saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that written tables have replaced; it does so when the driver collects garbage."""
         gc.collect()
@@ -50,6 +61,8 @@ class Scratch:
     def last(self, df: DataFrame) -> DataFrame:
         """Write the final rows and drop every other table of this scratch folder."""
         out = self.cut(df, "result")
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.drop(keep="result")
         return out
 
