@@ -2,12 +2,13 @@
 
 A document is the set of its word shingles.  Documents with equal sets are one point.  Each of ``trees`` independent trees starts with
 all points in one node; a node chooses two of 128 min-wise coordinates, and each point goes to the child named by its own min-wise
-value there, so a child gathers points that share a chosen token.  Nodes of at most ``leaf`` points are compared exhaustively.  Larger
+value there, so a child gathers points that share a chosen token.  Nodes of at most ``leaf`` points are compared exhaustively, first by
+the likeliest pairs that would join all of their points, then, on full sets, the points that are still in doubt.  Larger
 nodes branch again, each with coordinates of its own: unlike points part company within a level or two.
 
 Points that stay together are alike, and only what they are linked to matters, not every pair of them: a large node first ties its
 points to a few pivots drawn by hash; links found join components; a node whose points are one component is done; a node with at most
-``leaf`` points outside its largest component compares those with all others and is done too.  A node whose points are so alike that
+MOST_PIVOTS points outside its largest component compares those with all others and is done too.  A node whose points are so alike that
 two children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching.  It is
 tied once more, to the points that are most like the others, and what then stands outside its largest component is compared with all
 of its points, in cells of two blocks and on full sets; so is what still stands after ``max_level`` levels.  No pair is lost to a cap,
@@ -40,6 +41,8 @@ from veilflow.llm.scratch import Scratch, small_batches
 from veilflow.llm.words import LOWER, mix, pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 COORDS = 128
+#: A large node with so few points outside its largest component holds all points against each of these.
+MOST_PIVOTS = 24
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
@@ -124,34 +127,36 @@ def _struct_list(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return sizes, out
 
 
-def _pairs_within(groups: DataFrame, num: int, den: int, least: float, forest: bool = False) -> DataFrame:
-    """``a``, ``b`` for all pairs of different components in ``points`` (list of structs) that may reach the threshold.
-
-    ``forest``: only the likeliest pairs that join the components of a list, one less than there are components at most.
-    """
+def _within(groups: DataFrame, num: int, den: int, least: float, points: bool = False) -> DataFrame:
+    """What small nodes hold (``points``: a list of structs), by sketches: the likeliest pairs ``a``, ``b`` that join the components of a node,
+    one less than there are components at most; or, for ``points``, ``node`` and ``id`` of all points with a likely partner in another component."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, x = _struct_list(batch.column(0))
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            sizes, x = _struct_list(batch.column(1))
             begin = np.cumsum(sizes) - sizes
             for size in np.unique(sizes[sizes > 1]).tolist():
                 i, j = np.triu_indices(size, 1)
-                groups_at_once = max(1, 400_000 // len(i))
-                same = begin[sizes == size]
-                for g in range(0, len(same), groups_at_once):
-                    base = same[g : g + groups_at_once, None]
+                at_once = max(1, 100_000 // len(i))
+                same = np.flatnonzero(sizes == size)
+                for g in range(0, len(same), at_once):
+                    base = begin[same[g : g + at_once], None]
                     left, right = (base + i).ravel(), (base + j).ravel()
                     low, high = np.minimum(x["n"][left], x["n"][right]), np.maximum(x["n"][left], x["n"][right])
                     ok = (x["comp"][left] != x["comp"][right]) & (low * den >= high * num)
                     left, right = left[ok], right[ok]
                     near = (x["sketch"][left] == x["sketch"][right]).mean(axis=1)
                     left, right, near = left[near >= least], right[near >= least], near[near >= least]
-                    if forest and size > 2:
-                        left, right = _likeliest(left, right, near, x["comp"], begin)
-                    a, b = x["id"][left], x["id"][right]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    if points:
+                        at = np.unique(np.concatenate([left, right]))
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes[np.searchsorted(begin, at, side="right") - 1]), pa.array(x["id"][at])], names=["node", "id"])
+                        continue
+                    left, right = _likeliest(left, right, near, x["comp"], begin)
+                    u, v = x["id"][left], x["id"][right]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    return groups.select("points").mapInArrow(work, "a long, b long")
+    return groups.select("node", "points").mapInArrow(work, "node long, id long" if points else "a long, b long")
 
 
 def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
@@ -256,6 +261,8 @@ class _Join:
         The set of ``b``, which may stand in very many pairs, is handed to ``salts`` places; the sets themselves lie in buckets by id, so
         that only those of pairs are shuffled, and each pair is decided in the JVM.
         """
+        if not pairs.limit(1).count():
+            return
         pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
         left = pairs.select("a", "b", "salt").join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
         hubs = pairs.select("b", "salt").distinct().join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -269,7 +276,7 @@ class _Join:
         if not found.limit(1).count():
             return
         if self.comps is None:
-            self.comps = components(found, scratch)
+            self.comps = scratch.step(components(found, scratch), "comps")
             return
         comps = self.comps
         of_a = found.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
@@ -294,7 +301,7 @@ def near_duplicates(
     num: int = 80,
     den: int = 100,
     trees: int = 4,
-    leaf: int = 24,
+    leaf: int = 256,
     max_level: int = 8,
     block_points: int = 2048,
     block_shingles: int = 1_500_000,
@@ -346,58 +353,53 @@ def near_duplicates(
 
     while True:
         rows = scratch.step(run.open(frontier), "open")
-        small = _pairs_within(in_leaves(rows), num, den, least, forest=True).withColumn("salts", F.lit(1).cast("long"))
+        small = _within(in_leaves(rows), num, den, least).distinct().withColumn("salts", F.lit(1).cast("long"))
         large = rows.where(F.col("size") > leaf)
         pairs, near = small, None
         if large.limit(1).count():
             top = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
-            large = large.join(top, "node").withColumn("every", F.col("size") - F.col("most") <= leaf).withColumn("salts", F.ceil(F.col("size") / 256))
+            large = large.join(top, "node").withColumn("every", F.col("size") - F.col("most") <= MOST_PIVOTS).withColumn("salts", F.ceil(F.col("size") / 256))
             large = scratch.step(large, "large")
             outside = large.where("every and comp <> top").select("node", "id", "comp")
             seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias(f"p{s}") for s in range(4)]
             drawn = large.where("not every").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{s}.id").alias("id"), F.col(f"p{s}.comp").alias("comp")) for s in range(4)]))).alias("p"))
             near = run.against(large, outside.unionByName(drawn.select("node", "p.id", "p.comp")), least)
             pairs = small.unionByName(_pairs_of(near)).groupBy("a", "b").agg(F.max("salts").alias("salts"))
-        pairs = scratch.step(pairs.distinct(), "pairs")
-        if pairs.limit(1).count():
-            run.confirm(pairs)
-            # What the likeliest pairs of leaves have not joined: every other pair of different components.
-            again = run.open(rows.where(F.col("size") <= leaf).select("node", "id"))
-            more = _pairs_within(in_leaves(again), num, den, least).distinct().withColumn("salts", F.lit(1).cast("long"))
-            more = scratch.step(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-            if more.limit(1).count():
-                run.confirm(more)
+        run.confirm(scratch.step(pairs, "pairs"))
+        # What the likeliest pairs of small nodes have not joined is decided on full sets, if a sketch leaves it open at all.
+        doubtful = _within(in_leaves(run.open(rows.where(F.col("size") <= leaf).select("node", "id"))), num, den, least, points=True).distinct()
+        sparse = None
+        if near is not None:
+            # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last level.
+            dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense"))
+            left = scratch.step(run.open(large.where("not every").select("node", "id")).join(dense, "node"), "left")
+            sparse = left.where("not dense").select("node", "id")
+            heavy = left.where("dense")
+            if heavy.limit(1).count():
+                # The points that are most like others are those that others are linked to: as pivots they join nearly all that can be joined.
+                seen = near.where("not pair").select("node", F.struct("near", F.col("a").alias("id")).alias("c"))
+                quarter = F.pmod(F.xxhash64(F.lit(5), F.col("c.id")), F.lit(4))
+                best = seen.groupBy("node").agg(F.array_compact(F.array(*[F.max(F.when(quarter == q, F.col("c"))) for q in range(4)])).alias("best"))
+                pivots = heavy.select("node", "id", "comp").join(best.select("node", F.explode("best.id").alias("id")), ["node", "id"], "left_semi")
+                again = heavy.select("node", "id", "comp", F.lit(True).alias("every"), F.ceil(F.col("size") / 256).alias("salts"))
+                run.confirm(scratch.step(_pairs_of(run.against(again, pivots, least)), "pairs"))
+                doubtful = doubtful.unionByName(heavy.select("node", "id"))
+        doubtful = scratch.step(doubtful, "doubtful")
+        for wave in range(2):  # the same points share several nodes: what one gives spares the others work
+            mine = doubtful.where(F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(2)) == wave)
+            cells = scratch.step(run.open(mine).join(sketch.select("id", "n"), "id"), "cells")
+            if cells.limit(1).count():
+                run.add(_links_in_cells(_cells(cells, block_points, block_shingles).join(sets, "id"), num, den).distinct())
         scratch.release()
-        if near is None:
+        if sparse is None:
             break
-        # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last level.
-        dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense"))
-        left = large.where("not every").select("node", "id", "salts").join(dense, "node")
-        left = scratch.step(left, "left")
-        # The points that are most like others are those that others are linked to: as pivots they join nearly all that can be joined.
-        seen = near.where("not pair").select("node", F.struct("near", F.col("a").alias("id")).alias("c"))
-        quarter = F.pmod(F.xxhash64(F.lit(5), F.col("c.id")), F.lit(4))
-        best = seen.groupBy("node").agg(F.array_compact(F.array(*[F.max(F.when(quarter == q, F.col("c"))) for q in range(4)])).alias("best"))
-        best = best.select("node", F.explode("best.id").alias("id"))
-        heavy = scratch.step(run.open(left.where("dense").select("node", "id")).join(left.select("node", "id", "salts"), ["node", "id"]), "dense")
-        if heavy.limit(1).count():
-            pivots = heavy.select("node", "id", "comp").join(best, ["node", "id"], "left_semi")
-            found = scratch.step(_pairs_of(run.against(heavy.withColumn("every", F.lit(True)), pivots, least)), "pairs")
-            if found.limit(1).count():
-                run.confirm(found)
-            scratch.release()
-            for wave in range(4):  # the same points share several nodes: what one gives spares the others work
-                mine = left.where(F.col("dense") & (F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(4)) == wave)).select("node", "id")
-                open_ = scratch.step(run.open(mine).join(sketch.select("id", "n"), "id"), "heavy")
-                if open_.limit(1).count():
-                    run.add(_links_in_cells(_cells(open_, block_points, block_shingles).join(sets, "id"), num, den).distinct())
-                    scratch.release()
         byte = lambda c: F.substring("sketch", c + 1, 1)
         first = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(COORDS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
         child = F.explode(F.array(*[F.xxhash64("node", c, byte(c)) for c in (first, second)]))
-        sparse = run.open(left.where("not dense").select("node", "id")).select("node", "id")
-        frontier = scratch.step(sparse.join(sketch, "id").select(child.alias("node"), "id"), "frontier")
+        children = run.open(sparse).select("node", "id").join(sketch, "id").select(child.alias("node"), "id")
+        frontier = scratch.step(children, "frontier")
+        scratch.sweep(frontier, run.comps)
         if not frontier.limit(1).count():
             break
         level += 1

@@ -29,6 +29,7 @@ class Scratch:
         self.base = f"{shared_folder(spark)}/veilflow-{uuid.uuid4().hex}"
         self._n = 0
         self._tables: list[str] = []
+        self._steps: list[tuple[str, DataFrame]] = []
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -41,7 +42,14 @@ class Scratch:
     def step(self, df: DataFrame, name: str) -> DataFrame:
         """As cut(), under a name of its own for each call."""
         self._n += 1
-        return self.cut(df, f"{name}-{self._n}")
+        out = self.cut(df, f"{name}-{self._n}")
+        self._steps.append((f"{name}-{self._n}", out))
+        return out
+
+    def sweep(self, *keep: DataFrame | None) -> None:
+        """Drop the tables of all steps but those that ``keep`` names."""
+        self.drop(*[name for name, df in self._steps if not any(df is k for k in keep)])
+        self._steps = [x for x in self._steps if any(x[1] is k for k in keep)]
 
     def bucketed(self, df: DataFrame, name: str, n: int, key: str) -> DataFrame:
         """As cut(), in ``n`` buckets by ``key``: a join on it then shuffles the other side alone.
