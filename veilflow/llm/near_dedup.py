@@ -11,7 +11,8 @@ points to a few pivots drawn by hash; links found join components; a node whose
 MOST_PIVOTS points outside its largest component compares those with all others and is done too.  A node whose points are so alike that
 two children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching.  It is
 tied once more, to the points that are most like the others, and what then stands outside its largest component is compared with all
-of its points, in cells of two blocks and on full sets; so is what still stands after ``max_level`` levels.  No pair is lost to a cap,
+of its points, in cells of two blocks and on full sets; so are nodes that fit into one cell from the second level on, and what still
+stands after ``max_level`` levels.  No pair is lost to a cap,
 and a task emits links that join components, never all pairs.
 
 A pair of similarity s survives a level with probability 1 - (1 - s p)**2, p being its chance below; for s = 0.8 that tends to 0.94,
@@ -370,8 +371,9 @@ def near_duplicates(
         doubtful = _within(in_leaves(run.open(rows.where(F.col("size") <= leaf).select("node", "id"))), num, den, least, points=True).distinct()
         sparse = None
         if near is not None:
-            # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last level.
-            dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level)).alias("dense"))
+            # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last
+            # level; and from the second level on, one cell holds the node.
+            dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level) | ((F.count("*") <= block_points) & F.lit(level > 0))).alias("dense"))
             left = scratch.step(run.open(large.where("not every").select("node", "id")).join(dense, "node"), "left")
             sparse = left.where("not dense").select("node", "id")
             heavy = left.where("dense")

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from veilflow.llm.scratch import small_batches
 
 MARK = "▁"
-_WHOLE_CACHE = 500_000
+_WHOLE_CACHE = 120_000
 _LONGEST_CACHED = 64
 
 
@@ -109,7 +109,7 @@ class PieceCodec:
         key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 250_000:
                 self.fits.clear()
             a, b = self.pieces[left] if left >= 0 else "", self.pieces[right]
             known = self.fits[key] = self.remerge(a + b) == ([a, b] if a else [b])
@@ -303,6 +303,25 @@ def decode_ids(table: DataFrame, model_file: str | None = None, ids_col: str = "
     return base.mapInArrow(work, schema)
 
 
+def round_trip(docs: DataFrame, model_file: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of ``docs``, with the ids of the whole text (begin and end included), their number ``n_tokens``, and ``round_trip``: whether
+    decoding them gives the text again.  Columns of these names are refused; null and empty texts have the begin and end ids alone."""
+    if clash := {ids_col, "n_tokens", "round_trip"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    small_batches(docs.sparkSession)
+    more = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
+    schema = T.StructType([*docs.schema.fields, *more])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(model_file or default_model())
+        for batch, texts in _texts(batches, text_col):
+            ids = [own.encode(t or "", True, True) for t in texts]
+            same = [own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int32()), pa.array(same)], names=schema.names)
+
+    return docs.mapInArrow(work, schema)
+
+
 def round_trip_digests(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, number of ids, and digests of the ids and of the text they decode to, without shipping the ids."""
     small_batches(docs.sparkSession)
