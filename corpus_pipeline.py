@@ -7,7 +7,6 @@ reads it again as the next stage's ``docs``.  All stages but the last keep the c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilflow.llm import decontamination, near_dedup, sentencepiece_bpe, severity, substrings
 from veilflow.llm.scratch import Scratch
@@ -37,8 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every text as ids with begin and end, and a check that they decode to the same text."""
-    encoded = sentencepiece_bpe.decode_ids(sentencepiece_bpe.encode_texts(docs))
-    return encoded.withColumn("n_tokens", F.size("ids")).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+    return sentencepiece_bpe.round_trip(docs)
 
 
 STAGES = [
