@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from veilflow.llm.scratch import Scratch, drop_frame
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each upper end (``u``) has one edge and is no lower end."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    return not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up = 1 and low = 1)").limit(1).count()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) for every id in ``links`` (columns ``a``, ``b``) but those smallest ones.
 
     Alternating stars: each node's larger neighbours, then its smaller ones, are tied to the smallest node that it sees.  Paths shrink
-    by a constant factor a round; a hub with very many neighbours is only ever grouped by, and a minimum is combined before shuffling.
-    One table is written a round, and its count and sum of hashes tell whether it still changes.
+    by a constant factor a round, until each component is one star about its least id; a hub with very many neighbours is only ever
+    grouped by, and a minimum is combined before shuffling.
     """
     edges = scratch.step(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    mark = None
-    while True:
+    while not _is_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: neighbours above the node meet its minimum
@@ -26,9 +31,6 @@ def components(links: DataFrame, scratch: Scratch, name: str = "links") -> DataF
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = scratch.step(small, name)
-        row = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
         drop_frame(scratch, edges)
         edges = new
-        if tuple(row) == mark:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = tuple(row)
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -324,16 +324,13 @@ def near_duplicates(
     named = sketches.where("n > 0 and doc_id is not null")
     members = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     points = scratch.cut(members.select("id", "n", "s1", "s2", "sketch", "roots"), "points")
-    sketches = scratch.cut(sketches.select("doc_id", "n", "s1", "s2"), "named")
-    scratch.drop("sketches")
 
     frontier = points.select(F.explode("roots").alias("node"), "id")
     shared = frontier.groupBy("node").count().where("count > 1").select("node")
     frontier = scratch.step(frontier.join(shared, "node"), "frontier")
     live = frontier.select("id").distinct()
     sketch = scratch.cut(points.select("id", "n", "sketch").join(live, "id", "left_semi"), "live")
-    of_point = scratch.cut(points.select("id", "n", "s1", "s2"), "keys")
-    scratch.drop("points")
+    of_point = points.select("id", "n", "s1", "s2")
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -377,6 +374,8 @@ def near_duplicates(
             left = scratch.step(run.open(large.where("not every").select("node", "id")).join(dense, "node"), "left")
             sparse = left.where("not dense").select("node", "id")
             heavy = left.where("dense")
+            doubtful = doubtful.unionByName(heavy.select("node", "id"))
+            heavy = heavy.where(F.col("size") > block_points)
             if heavy.limit(1).count():
                 # The points that are most like others are those that others are linked to: as pivots they join nearly all that can be joined.
                 seen = near.where("not pair").select("node", F.struct("near", F.col("a").alias("id")).alias("c"))
@@ -385,10 +384,10 @@ def near_duplicates(
                 pivots = heavy.select("node", "id", "comp").join(best.select("node", F.explode("best.id").alias("id")), ["node", "id"], "left_semi")
                 again = heavy.select("node", "id", "comp", F.lit(True).alias("every"), F.ceil(F.col("size") / 256).alias("salts"))
                 run.confirm(scratch.step(_pairs_of(run.against(again, pivots, least)), "pairs"))
-                doubtful = doubtful.unionByName(heavy.select("node", "id"))
         doubtful = scratch.step(doubtful, "doubtful")
-        for wave in range(2):  # the same points share several nodes: what one gives spares the others work
-            mine = doubtful.where(F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(2)) == wave)
+        waves = 2 if level == 0 else 1  # the same points share several nodes at first: what one gives spares the others work
+        for wave in range(waves):
+            mine = doubtful.where(F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(waves)) == wave)
             cells = scratch.step(run.open(mine).join(sketch.select("id", "n"), "id"), "cells")
             if cells.limit(1).count():
                 run.add(_links_in_cells(_cells(cells, block_points, block_shingles).join(sets, "id"), num, den).distinct())
@@ -410,7 +409,7 @@ def near_duplicates(
         of_point = of_point.join(run.comps, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     else:
         of_point = of_point.select("n", "s1", "s2", F.col("id").alias("component"))
-    out = sketches.distinct().join(of_point, ["n", "s1", "s2"], "left")
+    out = sketches.select("doc_id", "n", "s1", "s2").distinct().join(of_point, ["n", "s1", "s2"], "left")
     return scratch.last(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
