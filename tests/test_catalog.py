@@ -86,3 +86,19 @@ def test_no_query_shows_the_values_of_findings(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["severity_tally"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "IsNotNull(text)" in plan and "n_chars" not in plan
+
+
+def test_codes_are_judged_by_hand(spark):
+    got = {r["note"]: (r["reject"], r["strength"]) for r in catalog.QUERIES["judge_qr"](spark, SMALL).collect()}
+    assert got["good"] == (None, "strong") and got["short"] == (None, "weak") and got["empty"] == ("empty payload", None)
+    assert got["thin"] == ("not square", None) and got["small"] == ("too small", None) and got["dense"] == ("too few pixels for its module count", None)
+    assert got["unnumbered"] == (None, "strong")  # letters of any script are text, and a code without a version has 21 modules
+    assert got["folded"] == ("too small", None) and got["tilted"][0] == "corners are not a quadrilateral"  # 54.5 degrees, not 55
+
+
+def test_formats(spark):
+    from veilflow.functions.dialect import SPARK
+    from veilflow.operators import geometry as G
+
+    q = f"SELECT {G.fmt_time(SPARK, 't')} a, {G.fmt_timecode(SPARK, 't')} b, {G.fmt_range(SPARK, 't', 't + 1')} c, {G.fmt_bytes(SPARK, 'n')} d FROM VALUES (64.36D, 1023L), (-1D, 1600L), (59.97D, 1572864L) v(t, n)"
+    assert [tuple(r) for r in spark.sql(q).collect()] == [("1:04", "1:04.4", "1:04.4–1:05.4", "1023 B"), ("0:00", "0:00.0", "0:00.0", "2 KB"), ("0:59", "0:60.0", "0:60.0–1:01.0", "1.5 MB")]

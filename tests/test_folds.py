@@ -64,12 +64,13 @@ def test_faces_stitch_only_after_a_gap_and_near():
 
 
 def test_mosaic_holds_few_cells_and_ladder_sides():
-    assert [I.mosaic_grid(*x) for x in ((420, 28), (60, 20), (180, 200), (446, 485), (900, 980), (1620, 1080), (24, 12))] == [(6, 1), (6, 2), (5, 6), (6, 6), (6, 6), (6, 4), (4, 2)]
-    assert [I.mosaic_grid(446, 485, c) for c in (3, 15, 1, 999)] == [(3, 3), (14, 15), (3, 3), (14, 15)]
+    assert [I.mosaic_grid(*x) for x in ((300, 30), (60, 24), (120, 120), (20, 10))] == [(6, 1), (6, 2), (6, 6), (3, 2)]
+    assert [I.mosaic_grid(480, 480, c) for c in (3, 15, 1, 999)] == [(3, 3), (15, 15), (3, 3), (15, 15)]
     image = np.random.default_rng(1).integers(0, 255, (100, 120, 3)).astype(np.uint8)
     out = I.mosaic(image, (10, 10, 60, 60))
     assert len(np.unique(out[10:70, 10:70].reshape(-1, 3), axis=0)) <= 36 and (out[:10] == image[:10]).all()
     assert I.tile_ladder(1280, 720) == [372] and I.tile_ladder(3840, 2160) == [372, 931] and I.tile_ladder(1280, 720, 400) == []
+    assert I.tile_ladder(1620, 1080) == [372] and I.tile_ladder(1920, 1080) == [372] and I.tile_ladder(4000, 700) == [372, 700]
     with pytest.raises(ValueError):
         I.tile_ladder(10, 10, float("nan"))
 

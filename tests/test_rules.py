@@ -2,9 +2,12 @@
 
 import pytest
 
+from veilflow import catalog
 from veilflow.catalog import FIXTURE_LINES
 from veilflow.detect import rules as R
 from veilflow.detect import scan
+from veilflow.detect.rules import DetectorDef, DetectorRegistry
+from veilflow.plans import scans
 
 COMPILED = [(r, r.compiled()) for r in R.RULES]
 
@@ -82,3 +85,27 @@ def test_scanner_and_columns_agree_on_documents(spark):
         scanned = sorted((r["doc_id"], r["line_no"], r["value"], r["masked"]) for r in scan.scan_lines(lines_of(docs), registry).collect())
         native = catalog.QUERIES["det_" + rule.replace("-", "_")](spark, SMALL).where("doc_id >= 0")
         assert scanned == sorted((r["doc_id"], r["line_no"], r["value"], r["masked"]) for r in native.collect())
+
+
+def test_scanner_loses_no_rule(spark):
+    """Every rule by the table and by the line alone, letter-only values and a rule of one's own among them."""
+    registry = DetectorRegistry()
+    registry.register(DetectorDef("own", "Own", "personal", "low", r"\b(zebra)\b"))
+    lines = [line for _, _, line in catalog.FIXTURE_LINES] + ["go to vault.internal now", "Bearer AbcdefGhijKlmnOpqrst", "a zebra here", "arn : aws : iam :: 123456789012 : x", "key sk _live_ abcdefghijkl"]
+    for categories in (None, ["network"], ["personal"]):
+        compiled = [(r, r.compiled()) for r in registry.select(categories)]
+        want = {(i, r.id, s, e) for i, line in enumerate(lines) for r, _, s, e in scan.scan_line(line, compiled)}
+        table = spark.createDataFrame(list(enumerate(lines)), "i int, line string")
+        assert {(r["i"], r["detector_id"], r["start"], r["end"]) for r in scan.scan_lines(table, registry, categories).collect()} == want and want
+
+
+def test_covering_goes_on_over_fragments():
+    line = "token eyJabcdefghijkl dBj9ftJe ZZ4CVPmB92 and words"
+    assert scan.extended_end(line, 6, 21) == len("token eyJabcdefghijkl dBj9ftJe ZZ4CVPmB92")
+    assert scan.extended_end(line, 6, 12) == 12 and scan.extended_end("x" * 20 + "  abc123", 0, 20) == 20
+    assert scan.covering("mail me:jane@host.org, now", 8, 21) == (5, 22)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_nothing_is_found_again(spark, size):
+    assert scans.redacted_rescan(spark, f"/root/testdata/{size}").count() == 0

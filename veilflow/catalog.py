@@ -79,7 +79,7 @@ FIXTURE_LINES = tuple(
 
 def rule_rows(d: Dialect, rule) -> str:
     pattern, more = d.rule_pattern(rule)
-    found = d.explode("doc_id, line_no, line, value", f"(SELECT * FROM {lines(d)} l WHERE {d.like('line', rule.needs, True)}) p", d.every("line", pattern, rule.group, rule.ignore_case), "value")
+    found = d.explode("doc_id, line_no, line, value", f"(SELECT * FROM {lines(d)} l WHERE {d.may('line', 'lower(line)', rule)}) p", d.every("line", pattern, rule.group, rule.ignore_case), "value")
     return f"SELECT doc_id, line_no, '{rule.id}' AS detector_id, '{rule.category}' AS category, '{rule.severity}' AS severity, value, {d.mask_value(rule.id, 'value')} AS masked FROM ({found}) f WHERE value <> '' AND {more} AND {d.validate(rule.id, 'value', 'line')}"
 
 
@@ -88,8 +88,18 @@ for _rule in RULES:
 
 
 def found(d: Dialect) -> str:
-    """Findings of all rules, before overlap resolution."""
-    return "(" + " UNION ALL ".join(rule_rows(d, r) for r in RULES) + ")"
+    """Findings of all rules, before overlap resolution; one pass over the lines in Spark."""
+    if not d.spark:
+        return "(" + " UNION ALL ".join(rule_rows(d, r) for r in RULES) + ")"
+    every = []
+    for r in RULES:
+        pattern, _ = d.rule_pattern(r)
+        every.append(f"CASE WHEN {d.may('line', 'low', r)} THEN transform({d.every('line', pattern, r.group, r.ignore_case)}, v -> named_struct('id', '{r.id}', 'value', v)) ELSE cast(array() AS array<struct<id:string,value:string>>) END")
+    rows = f"SELECT doc_id, line_no, line, m.id AS detector_id, m.value AS value FROM (SELECT *, lower(line) AS low FROM {lines(d)} x) l LATERAL VIEW explode(concat({', '.join(every)})) u AS m"
+    case = lambda each, other: "CASE detector_id " + " ".join(f"WHEN '{r.id}' THEN {each(r)}" for r in RULES) + f" ELSE {other} END"
+    by = lambda field: "CASE " + " ".join(f"WHEN detector_id IN ({', '.join(chr(39) + r.id + chr(39) for r in RULES if getattr(r, field) == x)}) THEN '{x}'" for x in dict.fromkeys(getattr(r, field) for r in RULES)) + " END"
+    right = case(lambda r: d.validate(r.id, "value", "line"), "FALSE")
+    return f"(SELECT doc_id, line_no, detector_id, {by('category')} AS category, {by('severity')} AS severity, value, {case(lambda r: d.mask_value(r.id, 'value'), 'NULL')} AS masked FROM ({rows}) f WHERE value <> '' AND {right})"
 
 
 RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
@@ -118,7 +128,7 @@ _PAIRS = [("sk_live_abcdef123456", "sk_live_abcdef12345"), ("abcdefgh1234", "abc
 _q("edit_distance", lambda d: f"SELECT a, b, cast({d.edit_distance('a', 'b', '4')} AS INT) AS result FROM {values(d, _PAIRS, 'a, b')} q UNION ALL SELECT a.c_name AS a, b.s_name AS b, cast({d.edit_distance('a.c_name', 'b.s_name', '12')} AS INT) AS result FROM {d.table('customer')} a JOIN {d.table('supplier')} b ON a.c_custkey = b.s_suppkey")
 _q("same_secret", lambda d: f"SELECT a, b, {d.same_secret('a', 'b')} AS result FROM {values(d, _PAIRS, 'a, b')} q")
 _q("safe_name", lambda d: "SELECT w, coalesce(nullif(" + d.sub(d.sub("w", "[^A-Za-z0-9._-]+", "-"), "^-+|-+$") + ", ''), 'video') AS result FROM " + WORDS(d) + " q")
-_q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_bytes(d, 'b')} AS bytes FROM (SELECT cast(event_id AS DOUBLE) * 0.37 AS t, cast(event_id * event_id * 37 AS BIGINT) AS b FROM {d.table('events')}) q")
+_q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_timecode(d, 't')} AS timecode, {G.fmt_range(d, 't', 't + 0.04')} AS span, {G.fmt_bytes(d, 'b')} AS bytes FROM (SELECT cast(event_id AS DOUBLE) * 0.37 AS t, cast(event_id * event_id * 37 AS BIGINT) AS b FROM {d.table('events')}) q")
 
 
 # ------------------------------------------------------------------ lines
@@ -130,7 +140,18 @@ _q("variants", lambda d: f"SELECT doc_id, line_no, 'original' AS kind, line AS t
 _q("category_filter", lambda d: f"SELECT * FROM {found(d)} f WHERE category IN ('personal', 'financial')")
 _q("ocr_words", lambda d: f"SELECT doc_id, line_no, idx, text, x, y, w, h, confidence FROM {G.ocr_words(d, lines(d))} q")
 _q("ocr_flatten", lambda d: f"SELECT doc_id, line_no, idx, trim(text) AS text, x / 2 AS x, y / 2 AS y, w / 2 AS w, h / 2 AS h, confidence / 100 AS confidence FROM (SELECT doc_id, line_no, idx, text, x * 2 AS x, y * 2 AS y, w * 2 AS w, h * 2 AS h, confidence * 100 AS confidence FROM {G.ocr_words(d, lines(d))} q) r WHERE trim(text) <> ''")
-_q("match_boxes", lambda d: f"SELECT m.doc_id, m.line_no, m.value, min(w.x) AS x, min(w.y) AS y, max(w.x + w.w) - min(w.x) AS w, max(w.y + w.h) - min(w.y) AS h, round(avg(w.confidence), 6) AS confidence FROM (SELECT f.*, instr(l.line, f.value) - 1 AS s FROM {found(d)} f JOIN {lines(d)} l ON f.doc_id = l.doc_id AND f.line_no = l.line_no) m JOIN {G.ocr_words(d, lines(d))} w ON m.doc_id = w.doc_id AND m.line_no = w.line_no AND m.s < w.start + length(w.text) AND w.start < m.s + length(m.value) GROUP BY m.doc_id, m.line_no, m.value")
+
+
+def places(d: Dialect) -> str:
+    """doc_id, line_no, value, s: every offset at which the value of a finding stands in its line."""
+    cut = "split(l.line, concat('\\\\Q', f.value, '\\\\E'), -1)" if d.spark else "string_split(l.line, f.value)"
+    base = f"(SELECT f.doc_id, f.line_no, f.value, {cut} AS parts FROM (SELECT DISTINCT doc_id, line_no, value FROM {found(d)} x) f JOIN {lines(d)} l ON f.doc_id = l.doc_id AND f.line_no = l.line_no WHERE instr(l.line, f.value) > 0)"
+    each = d.explode("doc_id, line_no, value, parts, i", f"{base} p", d.range("1", d.size("parts")), "i")
+    ends = f"(sum(length({d.at('parts', 'i')}) + length(value)) OVER (PARTITION BY doc_id, line_no, value ORDER BY i) - length(value))"
+    return f"(SELECT doc_id, line_no, value, cast(s AS INT) AS s FROM (SELECT doc_id, line_no, value, i, {d.size('parts')} AS n, {ends} AS s FROM ({each}) e) q WHERE i < n)"
+
+
+_q("match_boxes", lambda d: f"SELECT m.doc_id, m.line_no, m.value, m.s, min(w.x) AS x, min(w.y) AS y, max(w.x + w.w) - min(w.x) AS w, max(w.y + w.h) - min(w.y) AS h, round(avg(w.confidence), 6) AS confidence FROM {places(d)} m JOIN {G.ocr_words(d, lines(d))} w ON m.doc_id = w.doc_id AND m.line_no = w.line_no AND m.s < w.start + length(w.text) AND w.start < m.s + length(m.value) GROUP BY m.doc_id, m.line_no, m.value, m.s")
 
 
 # ------------------------------------------------------------------ aggregates over findings
@@ -143,7 +164,13 @@ _q("rule_counts", lambda d: f"SELECT category, count(*) AS n FROM {values(d, _RU
 _q("review_decisions", lambda d: f"SELECT f.doc_id, f.line_no, f.detector_id, f.masked, coalesce(l.redact, TRUE) AS redact FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("redaction_ratio", lambda d: f"SELECT count(*) AS total, sum(CASE WHEN coalesce(l.redact, TRUE) THEN 1 ELSE 0 END) AS redacted FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("distinct_keys", lambda d: f"SELECT doc_id, count(DISTINCT detector_id || '|' || lower(value)) AS n_keys FROM {found(d)} f GROUP BY doc_id")
-_q("ordered_findings", lambda d: f"SELECT doc_id, line_no, masked, row_number() OVER (ORDER BY {RANK}, doc_id, line_no, detector_id, value) AS place FROM {found(d)} f")
+#: Ranks are counted in up to 4,096 ranges of documents for each severity, so that no task orders all findings.
+_q("ordered_findings", lambda d: (
+    f"WITH f AS (SELECT {RANK} AS rank, doc_id, line_no, detector_id, value, masked FROM {found(d)} x), hi AS (SELECT floor(max(doc_id) / 4096) + 1 AS width FROM {d.table('documents')}),"
+    " b AS (SELECT f.*, floor(doc_id / width) AS bucket FROM f, hi), c AS (SELECT rank, bucket, count(*) AS n FROM b GROUP BY rank, bucket),"
+    " o AS (SELECT rank, bucket, sum(n) OVER (ORDER BY rank, bucket ROWS UNBOUNDED PRECEDING) - n AS before FROM c)"
+    " SELECT b.doc_id, b.line_no, b.masked, cast(o.before + row_number() OVER (PARTITION BY b.rank, b.bucket ORDER BY b.doc_id, b.line_no, b.detector_id, b.value) AS BIGINT) AS place FROM b JOIN o ON o.rank = b.rank AND o.bucket = b.bucket"
+))
 _q("top_finding", lambda d: f"SELECT doc_id, masked FROM (SELECT doc_id, masked, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, line_no, detector_id, value) AS r FROM {found(d)} f) q WHERE r = 1")
 _q("best_identity", lambda d: f"SELECT doc_id, detector_id, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, CASE WHEN detector_id IN ('labeled-secret', 'secret-assignment', 'bearer-token', 'password-assignment') THEN 1 ELSE 0 END, -length(value), line_no, detector_id, value) AS r FROM {found(d)} f) q WHERE r = 1")
 _q("union_hits", lambda d: f"SELECT doc_id AS id, detector_id || '|' || lower(value) AS k, 'ocr' AS source FROM {found(d)} f UNION ALL SELECT event_id AS id, k, 'qr' AS source FROM {hits(d)} h WHERE strong")
@@ -178,15 +205,33 @@ _q("nearest_frame", lambda d: f"SELECT video, i, round(t, 6) AS t, frame_t, coal
 _FINDINGS = lambda d: f"(SELECT video, k, s, greatest(0.0, min(t) - 0.5) AS start_t, max(t) + 0.5 AS end_t, max(conf) AS conf FROM {_SESSION(d)} q GROUP BY video, k, s)"
 _q("active_at", lambda d: f"SELECT g.video, g.i, count(*) AS n FROM {GRID(d)} g JOIN {_FINDINGS(d)} f ON f.video = g.video AND f.start_t <= g.t AND g.t <= f.end_t GROUP BY g.video, g.i")
 _BRACKET = lambda d: (
-    f"(SELECT g.video, g.i, g.t, f.k, f.s, max(CASE WHEN o.t <= g.t THEN o.t END) AS before_t, min(CASE WHEN o.t >= g.t THEN o.t END) AS after_t, min(o.t) AS first_t, max(o.t) AS last_t"
+    f"(SELECT g.video, g.i, g.t, f.k, f.s, coalesce(max(CASE WHEN o.t <= g.t THEN o.t END), min(o.t)) AS before_t, coalesce(min(CASE WHEN o.t >= g.t THEN o.t END), max(o.t)) AS after_t"
     f" FROM {GRID(d)} g JOIN {_FINDINGS(d)} f ON f.video = g.video AND f.start_t <= g.t AND g.t <= f.end_t JOIN {_SESSION(d)} o ON o.video = f.video AND o.k = f.k AND o.s = f.s GROUP BY g.video, g.i, g.t, f.k, f.s)"
 )
-_q("boxes_at", lambda d: (
-    f"SELECT b.video, b.i, b.k, b.s, min(o.x) AS x, min(o.y) AS y, max(o.x + o.w) - min(o.x) AS w, max(o.y + o.h) - min(o.y) AS h FROM {_BRACKET(d)} b JOIN {_SESSION(d)} o"
-    " ON o.video = b.video AND o.k = b.k AND o.s = b.s AND o.t IN (coalesce(b.before_t, b.first_t), coalesce(b.after_t, b.last_t)) GROUP BY b.video, b.i, b.k, b.s"
-))
+
+
+def boxes_at(d: Dialect) -> str:
+    """Boxes of each finding at each sample: those of the observations around it, paired by their nearest corners, each pair as one box if it is in
+    reach; what stands afterwards alone is added unless something covers it."""
+    at = lambda side: f"(SELECT b.video, b.i, b.k, b.s, b.before_t, b.after_t, o.event_id, o.x, o.y, o.w, o.h FROM {_BRACKET(d)} b JOIN {_SESSION(d)} o ON o.video = b.video AND o.k = b.k AND o.s = b.s AND o.t = b.{side}_t)"
+    key = "p.video = q.video AND p.i = q.i AND p.k = q.k AND p.s = q.s"
+    far = "sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))"
+    hull = lambda lo, side: f"CASE WHEN apart THEN {lo} ELSE greatest({lo} + {side}, a{lo} + a{side}) - least({lo}, a{lo}) END AS {side}" if side else f"CASE WHEN apart THEN {lo} ELSE least({lo}, a{lo}) END AS {lo}"
+    return (
+        f"WITH p AS {at('before')}, a AS {at('after')}, m AS (SELECT p.*, q.x AS ax, q.y AS ay, q.w AS aw, q.h AS ah, p.before_t = p.after_t OR {far} > 4 * greatest(p.w, p.h) + 60 AS apart,"
+        f" row_number() OVER (PARTITION BY p.video, p.i, p.k, p.s, p.event_id ORDER BY {far}, q.event_id) AS r FROM p JOIN a q ON {key}),"
+        " one AS (SELECT video, i, k, s, event_id, CASE WHEN apart THEN x ELSE least(x, ax) END AS x, CASE WHEN apart THEN y ELSE least(y, ay) END AS y,"
+        " CASE WHEN apart THEN w ELSE greatest(x + w, ax + aw) - least(x, ax) END AS w, CASE WHEN apart THEN h ELSE greatest(y + h, ay + ah) - least(y, ay) END AS h FROM m WHERE r = 1),"
+        " more AS (SELECT q.video, q.i, q.k, q.s, q.event_id, q.x, q.y, q.w, q.h FROM a q WHERE q.before_t <> q.after_t"
+        f" AND NOT EXISTS (SELECT 1 FROM one p WHERE {key} AND p.x <= q.x AND p.y <= q.y AND p.x + p.w >= q.x + q.w AND p.y + p.h >= q.y + q.h)"
+        f" AND NOT EXISTS (SELECT 1 FROM a p WHERE {key} AND p.event_id < q.event_id AND p.x <= q.x AND p.y <= q.y AND p.x + p.w >= q.x + q.w AND p.y + p.h >= q.y + q.h))"
+        " SELECT video, i, k, s, event_id, x, y, w, h FROM one UNION ALL SELECT video, i, k, s, event_id, x, y, w, h FROM more"
+    )
+
+
+_q("boxes_at", boxes_at)
 _q("active_boxes", lambda d: (
-    f"SELECT g.video, g.i, f.event_id, {G.dilated('f', 640, 360)} FROM {GRID(d)} g JOIN {hits(d)} f ON f.video = g.video AND f.t - 0.5 <= g.t AND g.t <= f.t + 0.5 WHERE f.conf >= 0.7"
+    f"SELECT f.video, f.i, f.k, f.s, f.event_id, {G.dilated('f', 640, 360)} FROM ({boxes_at(d)}) f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON l.doc_id = f.video WHERE coalesce(l.redact, TRUE)"
 ))
 _q("dilate", lambda d: f"SELECT event_id, {G.dilated('f', 320, 200)} FROM {hits(d)} f")
 _q("scan_stats", lambda d: f"SELECT video, count(*) AS sampled, sum(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END) AS analysed, sum(CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END) AS skipped FROM {GRID(d)} g GROUP BY video")
@@ -203,19 +248,22 @@ _q("dark_frames", lambda d: f"SELECT vec_id, {d.total(d.map('c', 'v', d.num('v')
 _q("sig_diff", lambda d: f"SELECT vec_id, cells, round(mean, 6) AS mean, cells >= 8 OR mean >= 1.0 AS changed FROM (SELECT vec_id, {d.size(d.keep(_DIFF(d), 'v', 'v > 14'))} AS cells, {d.total(d.map(_DIFF(d), 'v', d.num('v')))} / {d.size('c')} AS mean FROM (SELECT vec_id, c, lag(c) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM {_CELLS(d, 255)} q) r WHERE p IS NOT NULL) s")
 _q("luma", lambda d: f"SELECT r, g, b, cast(floor((77 * r + 150 * g + 29 * b) / 256.0) AS INT) AS luma FROM (SELECT cast(event_id % 256 AS INT) AS r, cast(event_id * 7 % 256 AS INT) AS g, cast(event_id * 13 % 256 AS INT) AS b FROM {d.table('events')}) q")
 _q("percentile_idx", lambda d: f"SELECT vec_id, {d.at(d.sorted('c'), f'cast(floor(({d.size(chr(99))} - 1) * 0.95 + 0.5) AS INT) + 1')} AS p95, {d.at(d.sorted('c'), f'cast(floor({d.size(chr(99))} / 2.0) AS INT) + 1')} AS upper_median FROM {_CELLS(d, 255)} q")
-_FRAMES = [(1280, 720), (1620, 1080), (1920, 1080), (720, 1280), (3840, 2160), (640, 360), (900, 900)]
+_FRAMES = [(480, 270), (1024, 1024), (1366, 768), (1600, 900), (800, 1280), (2560, 1440), (4096, 2304), (4000, 700)]
 _q("ocr_scale", lambda d: f"SELECT w, h, round(least(2.0, greatest(1.0, least(1600.0 / h, sqrt(2000000.0 / (cast(w AS DOUBLE) * h))))), 6) AS scale FROM {values(d, _FRAMES, 'w, h')} q")
-_q("tile_ladder", lambda d: f"SELECT w, h, m, {d.keep(d.map(d.range('0', '6'), 'i', 'floor(m * 128 / 22.0 * pow(2.5, i) + 0.5)'), 's', 's < floor_side')} AS sides FROM (SELECT w, h, m, CASE WHEN m * 1.0 >= 22.0 * greatest(w, h) / 128 THEN 0 ELSE least(w, h) END AS floor_side FROM {values(d, [(w, h, 64) for w, h in _FRAMES] + [(1280, 720, 400)], 'w, h, m')} q) r")
+_q("tile_ladder", lambda d: (
+    f"SELECT w, h, m, {d.map(d.keep(d.range('0', '20'), 'i', 'm < enough AND first < shortest AND (i = 0 OR least(shortest, first * pow(2.5, i - 1)) < least(enough, shortest))'), 'i', 'cast(floor(least(shortest, first * pow(2.5, i)) + 0.5) AS BIGINT)')} AS sides"
+    f" FROM (SELECT w, h, m, 22.0 * greatest(w, h) / 128 AS enough, m * 128 / 22.0 AS first, cast(least(w, h) AS DOUBLE) AS shortest FROM {values(d, [(w, h, m) for w, h in _FRAMES for m in (64, 20, 400)], 'w, h, m')} q) r"
+))
 _q("tile_rects", lambda d: G.tile_rects(d, values(d, [(w, h, s) for w, h in _FRAMES for s in (372, 931)], "w, h, s")))
 _q("tile_explode", lambda d: f"SELECT w, h, s, x, y, det FROM ({G.tile_rects(d, values(d, [(1280, 720, 372), (1920, 1080, 1080)], 'w, h, s'))}) q, {values(d, [('face',), ('qr',)], 'det')} k")
-_q("mosaic_grid", lambda d: f"SELECT bw, bh, cells, {G.mosaic('bw', 'bh', 'cells')} FROM {values(d, [(420, 28, 6), (60, 20, 6), (180, 200, 6), (446, 485, 6), (900, 980, 6), (1620, 1080, 6), (24, 12, 6), (446, 485, 3), (446, 485, 15), (446, 485, 1), (446, 485, 999)], 'bw, bh, cells')} q")
+_q("mosaic_grid", lambda d: f"SELECT bw, bh, cells, {G.mosaic('bw', 'bh', 'cells')} FROM {values(d, [(w, h, c) for w, h in ((30, 12), (64, 64), (210, 35), (512, 480), (1500, 990)) for c in (1, 3, 6, 9, 15, 40)], 'bw, bh, cells')} q")
 _q("export_params", lambda d: f"SELECT w, h, greatest(2, w - w % 2) AS ew, greatest(2, h - h % 2) AS eh, least(16000000.0, greatest(2000000.0, 0.12 * w * h * 30)) AS bitrate FROM {values(d, [*_FRAMES, (101, 57), (1, 1)], 'w, h')} q")
 _q("scale_pitch", lambda d: f"SELECT pitch, CASE WHEN pitch IS NULL OR pitch <= 0 THEN 2.0 ELSE round(least(6.0, greatest(1.0, 26.0 / (0.48 * pitch))), 6) END AS scale FROM {values(d, [(0.0,), (5.0,), (12.5,), (16.0,), (40.0,), (100.0,), (None,)], 'pitch')} q")
 _q("needs_rebuild", lambda d: f"SELECT density, skew, region, region AND density >= 0.02 AND abs(skew) >= 1.0 AS rebuild FROM {values(d, [(0.02, 1.0, True), (0.019, 3.0, True), (0.3, -2.5, True), (0.3, 0.99, True), (0.3, 5.0, False)], 'density, skew, region')} q")
 _q("strength_label", lambda d: f"SELECT cells, CASE WHEN cells <= 4 THEN 'strongest' WHEN cells <= 6 THEN 'strong' WHEN cells <= 8 THEN 'moderate' WHEN cells <= 13 THEN 'light' ELSE 'weak' END AS label FROM {values(d, [(i,) for i in range(3, 16)], 'cells')} q")
 _q("tick_step", lambda d: f"SELECT dur, coalesce((SELECT min(step) FROM {values(d, [(i,) for i in (1, 2, 5, 10, 15, 30, 60, 120, 300)], 'step')} s WHERE dur / step <= 9), 600) AS step FROM {values(d, [(8.0,), (22.0,), (90.0,), (95.0,), (1000.0,), (2700.0,), (9999.0,)], 'dur')} q")
 _q("affine_box", lambda d: f"SELECT event_id, {G.affine('f', 0.5, -0.25, 10, 0.25, 2, -5)} FROM {hits(d)} f")
-_CORNERS = [("good", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 100.0, 0.0, 100.0), ("thin", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 20.0, 0.0, 20.0), ("small", "x", 1, 0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0), ("skewed", "abcdefghij", 2, 0.0, 0.0, 80.0, 0.0, 110.0, 60.0, 30.0, 60.0), ("short", "abc", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("empty", "", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("dense", "abcdefghij", 40, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0)]
+_CORNERS = [("good", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 100.0, 0.0, 100.0), ("thin", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 20.0, 0.0, 20.0), ("small", "x", 1, 0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0), ("skewed", "abcdefghij", 2, 0.0, 0.0, 80.0, 0.0, 110.0, 60.0, 30.0, 60.0), ("unnumbered", "Zażółć gęślą", 0, 0.0, 0.0, 80.0, 0.0, 80.0, 80.0, 0.0, 80.0), ("folded", "abcdefghij", 1, 0.0, 0.0, 0.0, 0.0, 80.0, 80.0, 0.0, 80.0), ("tilted", "https://a.io/x", 1, 0.0, 0.0, 60.0, 0.0, 95.0, 49.0, 35.0, 49.0), ("short", "abc", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("empty", "", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("dense", "abcdefghij", 40, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0)]
 _QR = lambda d: values(d, _CORNERS, "note, data, version, tlx, tly, trx, try_, brx, bry, blx, bly")
 _q("qr_geometry", lambda d: G.qr_geometry(d, _QR(d)))
 _q("judge_qr", lambda d: G.judge_qr(d, _QR(d)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.detect.rules import SEVERITIES, DetectorDef, DetectorRegistry
+from veilflow.detect.rules import SEVERITIES, DetectorDef, DetectorRegistry, Needs
 
 JOINERS = ":/.@=_-"
 MATCH = "detector_id string, label string, category string, severity string, value string, masked string, start int, end int"
@@ -25,11 +25,13 @@ def fold_confusables(text: str) -> str:
             return run
         return re.sub(r"l(?=[A-Za-z0-9]{3})", "1", re.sub(r"[Oo](?=[A-Za-z0-9]{3})", "0", run))
 
-    return re.sub(r"[A-Za-z0-9_\-.]{8,}", fold, text)
+    return re.sub(r"[A-Za-z0-9_\-.]{8,}", fold, text) if re.search(r"[_\-0-9]", text) else text
 
 
 def despace(text: str) -> tuple[str, list[int]] | None:
     """The text without runs of spaces next to a joiner, with the place of each kept character; None if nothing goes."""
+    if not re.search(r" [:/.@=_-]|[:/.@=_-] ", text):
+        return None
     kept, at, i = [], [], 0
     while i < len(text):
         j = i
@@ -67,10 +69,12 @@ def scan_line(text: str, rules: list[tuple[DetectorDef, re.Pattern]]) -> list[tu
     """All findings of a line: (rule, value, start, end)."""
     if not text.strip():
         return []
-    views = variants(text)
+    views = [(view, offsets, Needs(view)) for _, view, offsets in variants(text)]
     found: list[tuple[DetectorDef, str, int, int]] = []
     for rule, pattern in rules:
-        for _, view, offsets in views:
+        for view, offsets, may in views:
+            if not may(rule):
+                continue
             for m in pattern.finditer(view):
                 value = m[rule.group]
                 if not value or (rule.validate and not rule.validate(value, view)):
@@ -103,5 +107,57 @@ def scan_lines(lines: DataFrame, registry: DetectorRegistry | None = None, categ
             made = [pa.array([o[k] for o in out], pa.string() if k < 6 else pa.int32()) for k in range(8)]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
-    # Lines that no rule can match are few characters of punctuation and letters: one cheap test in the JVM spares them the worker.
-    return lines.where(F.col(line_col).rlike(r"[0-9:=@_-]|://")).mapInArrow(work, schema)
+    return lines.mapInArrow(work, schema)
+
+
+_WRAP, _TOKEN = re.compile(r"^[\"'`(\[{<]+|[\"'`)\]}>,;:]+$"), re.compile(r"[A-Za-z0-9_.=+/-]{4,}")
+
+
+def tokenish(word: str) -> bool:
+    """Whether a word, without quotes and brackets around it, looks like a piece of a token."""
+    core = _WRAP.sub("", word)
+    if not _TOKEN.fullmatch(core):
+        return False
+    return any("0" <= c <= "9" for c in core) or (re.search("[a-z]", core) is not None and re.search("[A-Z]", core) is not None)
+
+
+def extended_end(line: str, start: int, end: int, least: int = 12) -> int:
+    """The end of what must be covered: a span of ``least`` characters or more goes on over token-like words that follow one space apart."""
+    if end - start < least:
+        return end
+    for m in re.finditer(r"[^ ]+", line):
+        if m.start() < end:
+            continue
+        if m.start() > end + 1 or not tokenish(m[0]):
+            break
+        end = m.end()
+    return end
+
+
+def covering(line: str, start: int, end: int) -> tuple[int, int]:
+    """The characters of all words that a finding touches, with the fragments that go on behind it."""
+    end = extended_end(line, start, end)
+    left = line.rfind(" ", 0, start) + 1
+    right = line.find(" ", end) if end > start else end
+    return left, len(line) if right < 0 else right
+
+
+def cover_lines(lines: DataFrame, registry: DetectorRegistry | None = None, categories: list[str] | None = None, line_col: str = "line", cover: str = ";") -> DataFrame:
+    """``lines`` with every word that a finding touches replaced by ``cover``, a character that no rule takes for part of a value."""
+    rules = (registry or DetectorRegistry()).select(categories)
+
+    def hide(text: str, compiled: list) -> str:
+        for _, _, start, end in scan_line(text, compiled):
+            a, b = covering(text, start, end)
+            text = text[:a] + cover * (b - a) + text[b:]
+        return text
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(r, r.compiled()) for r in rules]
+        for batch in batches:
+            at = batch.schema.get_field_index(line_col)
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else hide(t, compiled) for t in columns[at].to_pylist()], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return lines.mapInArrow(work, lines.schema)

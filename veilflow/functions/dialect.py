@@ -210,6 +210,12 @@ class Dialect:
             "private-ipv4": lambda: f"({self.private_ipv4(v)} AND NOT {self.version_context(line, v)})",
         }.get(rule, lambda: "TRUE")()
 
+    def may(self, line: str, low: str, rule: R.DetectorDef) -> str:
+        """Whether a rule can find anything in ``line``; ``low`` is the line in lower case."""
+        if rule.needs.startswith("["):
+            return self.like(line, rule.needs)
+        return "(" + " OR ".join(f"contains({low}, '{w.lower()}')" for w in rule.needs.split("|")) + ")" if rule.needs else "TRUE"
+
     def rule_pattern(self, rule: R.DetectorDef) -> tuple[str, str]:
         """Pattern and a further condition on ``value``."""
         return rule.pattern, "TRUE"

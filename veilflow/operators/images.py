@@ -39,13 +39,17 @@ def mosaic(image: np.ndarray, box: tuple[int, int, int, int], cells: float = 6)
 
 
 def tile_ladder(width: int, height: int, min_face: float = 64) -> list[int]:
-    """Tile sides that bring a face of ``min_face`` pixels to 22 of the 128 that a detector sees; none where the whole frame does."""
+    """Tile sides, each 2.5 times the one before, from the one that brings a face of ``min_face`` pixels to 22 of the 128 that a detector sees up to
+    the first that meets what the whole frame shows, or the frame's shorter side; none where the whole frame does or the first would not fit."""
     if not min_face > 0:
         raise ValueError("the least face must be a positive number")
-    sides, ideal = [], min_face * 128 / 22
-    while ideal < min(width, height) and ideal * 22 / 128 < 22 * max(width, height) / 128:
-        sides.append(math.floor(ideal + 0.5))
-        ideal *= 2.5
+    shortest, floor, side = min(width, height), 22 * max(width, height) / 128, min_face * 128 / 22
+    if min_face >= floor or side >= shortest:
+        return []
+    enough, sides = min(floor, shortest), [math.floor(side + 0.5)]
+    while side < enough:
+        side = min(2.5 * side, shortest)
+        sides.append(math.floor(side + 0.5))
     return sides
 
 

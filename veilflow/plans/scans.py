@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +38,17 @@ def fold_confusables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with findings covered, scanned again: what is still found (nothing should be, but values that masks show on purpose)."""
+    """All lines with the words of findings covered, scanned again: nothing must be found."""
+    return scan.scan_lines(scan.cover_lines(adapters.lines_of(_docs(spark, sf_dir)))).select("doc_id", "line_no", "detector_id")
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as sightings: a key of rule and value, and the characters to cover, over fragments that follow a long value."""
     lines = adapters.lines_of(_docs(spark, sf_dir))
-    spans = scan.scan_lines(lines).groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    cover = F.aggregate("spans", F.col("line"), lambda acc, s: F.concat(F.substr(acc, F.lit(1), s["start"]), F.repeat(F.lit("█"), s["end"] - s["start"]), F.substr(acc, s["end"] + 1)))
-    covered = lines.join(spans, ["doc_id", "line_no"]).select("doc_id", "line_no", cover.alias("line"))
-    return scan.scan_lines(covered).select("doc_id", "line_no", "detector_id")
+    kept = lines.withColumn("text", F.col("line"))
+    found = scan.scan_lines(kept)
+    end = F.pandas_udf(lambda t, s, e: pd.Series([scan.extended_end(x, a, b) for x, a, b in zip(t, s, e, strict=True)]), "int")
+    return found.select("doc_id", "line_no", F.sha2(F.concat_ws("|", "detector_id", F.lower("value")), 256).alias("key_sha256"), "detector_id", "severity", "start", "end", end("text", "start", "end").alias("cover_end"))
 
 
 def change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (findings, findings_by_category, findings_in_pages, fold_confusables, redacted_rescan, change_gate, tracks, merge_dups, face_tracks)
+    f.__name__: f for f in (findings, findings_by_category, findings_in_pages, fold_confusables, redacted_rescan, hits, change_gate, tracks, merge_dups, face_tracks)
 }
 #: The gate in SQL: a recursive walk over the samples of a video, the last analysed one carried along.
 CHANGE_GATE_SQL = """
@@ -83,4 +89,4 @@ WITH RECURSIVE v AS (
 )
 SELECT video, i, i * 0.5::DOUBLE AS t, changed FROM g
 """
-ORACLES = {"change_gate": CHANGE_GATE_SQL}
+ORACLES = {"change_gate": CHANGE_GATE_SQL, "redacted_rescan": "SELECT doc_id, 1 AS line_no, '' AS detector_id FROM documents WHERE false"}
