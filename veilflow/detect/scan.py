@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from veilflow.detect.rules import SEVERITIES, DetectorDef, DetectorRegistry, Needs
 
-JOINERS = ":/.@=_-"
+#: A whole run of spaces behind or before one of : / . @ = _ - with something on either side.
+_BESIDE_JOINER = re.compile(r"(?<=[:/.@=_-]) +(?=[^ ])|(?<=[^ ]) +(?=[:/.@=_-])")
 MATCH = "detector_id string, label string, category string, severity string, value string, masked string, start int, end int"
 
 
@@ -30,21 +31,15 @@ def fold_confusables(text: str) -> str:
 
 def despace(text: str) -> tuple[str, list[int]] | None:
     """The text without runs of spaces next to a joiner, with the place of each kept character; None if nothing goes."""
-    if not re.search(r" [:/.@=_-]|[:/.@=_-] ", text):
-        return None
     kept, at, i = [], [], 0
-    while i < len(text):
-        j = i
-        while j < len(text) and text[j] == " ":
-            j += 1
-        if j > i and kept and j < len(text) and (kept[-1] in JOINERS or text[j] in JOINERS):
-            i = j
-            continue
-        end = j if j > i else i + 1
-        kept.extend(text[i:end])
-        at.extend(range(i, end))
-        i = end
-    return None if len(kept) == len(text) else ("".join(kept), at)
+    for m in _BESIDE_JOINER.finditer(text):
+        kept.append(text[i : m.start()])
+        at.extend(range(i, m.start()))
+        i = m.end()
+    if not kept:
+        return None
+    at.extend(range(i, len(text)))
+    return "".join([*kept, text[i:]]), at
 
 
 def variants(text: str) -> list[tuple[str, str, list[int] | None]]:
