@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilflow.llm.scratch import small_batches
+from veilflow.llm.scratch import small_batches, tidied
 from veilflow.llm.words import pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 #: Notices and texts as their publishers give them, fixed values.
@@ -158,4 +158,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             columns = [pa.array([r[i] for r in rows], t) for i, t in ((1, pa.string()), (2, pa.int32()), (3, pa.float64()), (4, pa.int32()), (5, pa.int32()))]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "license", "matched_words", "coverage", "start_word", "end_word"])
 
-    return base.mapInArrow(work, f"doc_id {kind}, license string, matched_words int, coverage double, start_word int, end_word int")
+    return base.mapInArrow(tidied(work), f"doc_id {kind}, license string, matched_words int, coverage double, start_word int, end_word int")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilflow.llm.components import components
-from veilflow.llm.scratch import Scratch, small_batches
+from veilflow.llm.scratch import Scratch, small_batches, tidied
 from veilflow.llm.words import LOWER, mix, pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 COORDS = 128
@@ -95,7 +95,7 @@ def _sketch(docs: DataFrame, k: int, trees: int) -> DataFrame:
                 names=["doc_id", "n", "s1", "s2", "sketch", "roots"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n long, s1 long, s2 long, sketch binary, roots array<long>")
+    return docs.mapInArrow(tidied(work), "doc_id long, n long, s1 long, s2 long, sketch binary, roots array<long>")
 
 
 def _likeliest(left: np.ndarray, right: np.ndarray, near: np.ndarray, comp: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,7 @@ def _within(groups: DataFrame, num: int, den: int, least: float, points: bool =
                     u, v = x["id"][left], x["id"][right]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    return groups.select("node", "points").mapInArrow(work, "node long, id long" if points else "a long, b long")
+    return groups.select("node", "points").mapInArrow(tidied(work), "node long, id long" if points else "a long, b long")
 
 
 def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
@@ -190,7 +190,7 @@ def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFr
                 names=["node", "a", "b", "salts", "near", "pair"],
             )
 
-    return rows.select("node", "id", "comp", "n", "sketch", "every", "salts", "pivots").mapInArrow(work, "node long, a long, b long, salts long, near double, pair boolean")
+    return rows.select("node", "id", "comp", "n", "sketch", "every", "salts", "pivots").mapInArrow(tidied(work), "node long, a long, b long, salts long, near double, pair boolean")
 
 
 def _links_in_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -340,7 +340,7 @@ def near_duplicates(
     total = sketch.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_shingles + 1)
     mine = base.repartition(buckets, "doc_id").join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.bucketed(mine.mapInArrow(to_set, "id long, set array<long>"), "sets", buckets, "id")
+    sets = scratch.bucketed(mine.mapInArrow(tidied(to_set), "id long, set array<long>"), "sets", buckets, "id")
     scratch.release()
     run = _Join(scratch, sketch, sets, num, den)
     point = F.struct("id", "comp", "n", "sketch")

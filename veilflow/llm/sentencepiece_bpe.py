@@ -13,6 +13,7 @@ once per worker.  These facts are checked when a model is loaded; a text is spli
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 from array import array
@@ -25,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.llm.scratch import small_batches
+from veilflow.llm.scratch import small_batches, tidied
 
 MARK = "▁"
-_WHOLE_CACHE = 120_000
+_WHOLE_CACHE = 100_000
 _LONGEST_CACHED = 64
 
 
@@ -252,6 +253,17 @@ def _utf8(raw: bytes | bytearray) -> str:
 _codecs: dict[str, PieceCodec] = {}
 
 
+@contextlib.contextmanager
+def task_codec(model_file: str | None) -> Iterator[PieceCodec]:
+    """The codec of this worker for one task; what it remembers of the task's texts goes with the task."""
+    own = codec(model_file or default_model())
+    try:
+        yield own
+    finally:
+        own.runs.clear()
+        own.fits.clear()
+
+
 def codec(model_file: str) -> PieceCodec:
     """One codec per worker process and model."""
     if model_file not in _codecs:
@@ -281,12 +293,12 @@ def encode_texts(docs: DataFrame, model_file: str | None = None, text_col: str =
     schema = T.StructType([*base.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file or default_model())
-        for batch, texts in _texts(batches, text_col):
-            ids = pa.array([own.encode(t or "", bos, eos) for t in texts], type=pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+        with task_codec(model_file) as own:
+            for batch, texts in _texts(batches, text_col):
+                ids = pa.array([own.encode(t or "", bos, eos) for t in texts], type=pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
-    return base.mapInArrow(work, schema)
+    return base.mapInArrow(tidied(work), schema)
 
 
 def decode_ids(table: DataFrame, model_file: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -295,12 +307,12 @@ def decode_ids(table: DataFrame, model_file: str | None = None, ids_col: str = "
     schema = T.StructType([*base.schema.fields, T.StructField(text_col, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file or default_model())
-        for batch, ids in _texts(batches, ids_col):
-            text = pa.array([None if x is None else own.decode(x) for x in ids], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, text_col])
+        with task_codec(model_file) as own:
+            for batch, ids in _texts(batches, ids_col):
+                text = pa.array([None if x is None else own.decode(x) for x in ids], type=pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, text_col])
 
-    return base.mapInArrow(work, schema)
+    return base.mapInArrow(tidied(work), schema)
 
 
 def round_trip(docs: DataFrame, model_file: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -313,13 +325,13 @@ def round_trip(docs: DataFrame, model_file: str | None = None, text_col: str = "
     schema = T.StructType([*docs.schema.fields, *more])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file or default_model())
-        for batch, texts in _texts(batches, text_col):
-            ids = [own.encode(t or "", True, True) for t in texts]
-            same = [own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int32()), pa.array(same)], names=schema.names)
+        with task_codec(model_file) as own:
+            for batch, texts in _texts(batches, text_col):
+                ids = [own.encode(t or "", True, True) for t in texts]
+                same = [own.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int32()), pa.array(same)], names=schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidied(work), schema)
 
 
 def round_trip_digests(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,12 +341,12 @@ def round_trip_digests(docs: DataFrame, model_file: str | None = None, id_col: s
     schema = T.StructType([base.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file or default_model())
-        for batch, texts in _texts(batches, "text"):
-            rows = [own.digest(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                names=schema.names,
-            )
-
-    return base.mapInArrow(work, schema)
+        with task_codec(model_file) as own:
+            for batch, texts in _texts(batches, "text"):
+                rows = [own.digest(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
+                    names=schema.names,
+                )
+
+    return base.mapInArrow(tidied(work), schema)

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.llm.scratch import Scratch, small_batches
+from veilflow.llm.scratch import Scratch, small_batches, tidied
 
 _find_words = re.compile(r"[^\W_]+").findall
 _STEMS = (3, 4, 5, 6, 7)
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 100_000
 
 
 def features_of(word: str) -> list[str]:
@@ -151,7 +151,7 @@ def _document_counts(sample: DataFrame, min_df: int, least_z: float) -> tuple[in
         return n, n_toxic, set()
     rate = n_toxic / n
     z = (F.col("df_toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
-    counts = sample.mapInArrow(work, "feature string, df long, df_toxic long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_toxic").alias("df_toxic"))
+    counts = sample.mapInArrow(tidied(work), "feature string, df long, df_toxic long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_toxic").alias("df_toxic"))
     kept = counts.where((F.col("df_toxic") >= max(min_df, n_toxic // 100)) & (z >= least_z)).orderBy(F.desc("df_toxic"), "feature").limit(_MOST_FEATURES).collect()
     return n, n_toxic, {r["feature"] for r in kept}
 
@@ -166,7 +166,7 @@ def _rows(sample: DataFrame, kept: set[str]) -> list[tuple[int, list[str], list[
             texts = pa.array([xxhash.xxh64_intdigest(t or "") >> 1 for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array([" ".join(x) for x in out], pa.string()), pa.array([" ".join(map(str, x.values())) for x in out], pa.string()), pa.array(marked, pa.int64())], names=["label", "text_hash", "features", "counts", "marked"])
 
-    rows = sample.mapInArrow(work, "label int, text_hash long, features string, counts string, marked long").collect()
+    rows = sample.mapInArrow(tidied(work), "label int, text_hash long, features string, counts string, marked long").collect()
     return [(r["label"], r["features"].split(), [int(c) for c in r["counts"].split()], r["marked"]) for r in sorted(rows, key=lambda r: (r["text_hash"], r["label"]))]
 
 
@@ -252,7 +252,7 @@ def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id"
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int32(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return base.mapInArrow(work, schema)
+    return base.mapInArrow(tidied(work), schema)
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
@@ -264,4 +264,4 @@ def drop_toxic(docs: DataFrame, model: SeverityModel, text_col: str = "text", re
         for batch in batches:
             yield batch.filter(pa.array([model.score(t)[1][0] < reject_at for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)

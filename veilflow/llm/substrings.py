@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.llm.scratch import Scratch, small_batches
+from veilflow.llm.scratch import Scratch, small_batches, tidied
 from veilflow.llm.words import pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 #: Words of an anchor, bits of the anchor filter, bytes of text that a task works on at once, suffixes of a group.
 ANCHOR_WORDS = 8
 FILTER_BITS = 27
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 GROUP_SUFFIXES = 400_000
 _EMPTY = np.empty(0, np.int64)
 
@@ -134,7 +134,7 @@ def _anchor_filter(docs: DataFrame, length: int, k: int, n_parts: int) -> tuple[
         bits[_filter_slots(grams[repeated]) - (part << low_bits)] = 1
         return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "windows": pa.array([int(windows)], pa.int64())})
 
-    counted = docs.mapInArrow(count, "part int, grams binary, seen binary, windows binary")
+    counted = docs.mapInArrow(tidied(count), "part int, grams binary, seen binary, windows binary")
     rows = counted.groupBy("part").applyInArrow(merge, "part int, bits binary, windows long").collect()  # FILTER_BITS bits in all
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = 1 << (low_bits - 3)
@@ -240,7 +240,7 @@ def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANC
         return pa.table({"key": data[0], "data": data[1]})
 
     scratch = Scratch(spark)
-    dealt = scratch.cut(docs.mapInArrow(deal, "part int, key long, data binary"), "suffixes")
+    dealt = scratch.cut(docs.mapInArrow(tidied(deal), "part int, key long, data binary"), "suffixes")
     here = dealt.where("part < 0").select("key", "data")
     there = dealt.where("part >= 0").groupBy("part").applyInArrow(grow, "key long, data binary")
     out = scratch.last(here.unionByName(there))
@@ -297,7 +297,7 @@ def removal_digests(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
 
     schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())))])
     schema.fields[0] = T.StructField("doc_id", docs.schema[id_col].dataType)
-    return joined.mapInArrow(work, schema)
+    return joined.mapInArrow(tidied(work), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,4 +334,4 @@ def remove_repeats(docs: DataFrame, length: int = 35, id_col: str = "doc_id", te
                 columns[chars] = pa.array([n if p else o for n, o, p in zip(lengths, old, batch.column(len(names)).to_pylist(), strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(work, docs.schema)
+    return joined.mapInArrow(tidied(work), docs.schema)
