@@ -4,9 +4,10 @@ A change is one row: (op, doc_id, source, lang, tokenizer, n_tokens), op being `
 replaces the count that stands for the same document and tokenizer, so it is the difference that moves the totals; a delete takes the
 standing count away.  Totals are sums of signed rows and thus never recomputed: a batch is folded in by adding what it changes.
 
-State is a folder of Parquet tables.  Each batch is a commit of its own: its signed rows are written to ``batch=<id>`` and become
-visible by one atomic rename; a batch id that is there already is not written again, so delivery may repeat.  Readers sum what is
-committed; compact() replaces many small batches by their sums, again by rename.
+State is a folder of Parquet tables and of numbered manifests, each of which names the tables that count and every batch id that was
+ever committed; the one with the greatest number holds.  A batch is committed by writing its signed rows and then, by one atomic
+rename, the next manifest; a batch id that a manifest names is not taken again, so delivery may repeat, also after compact(), which
+replaces the tables by their sums in the same way.  A crash leaves the last manifest standing, and at most a table that none names.
 
 Defined results: a null source or language is a group of its own; a null or empty text has 0 tokens and counts as a document; of rows
 that repeat a document in one batch the last by ``seq`` holds (the largest count of equals); deletes and revisions of what isn't there
@@ -15,6 +16,8 @@ change nothing but, for a revision, insert; an empty batch is committed and chan
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilflow.llm import sentencepiece_bpe
-from veilflow.llm.scratch import small_batches
+from veilflow.llm.scratch import small_batches, tidied
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -39,14 +42,14 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k", model_file:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", "lang", text.alias("text"), F.when(~other.eqNullSafe(text), F.coalesce(other, F.lit(""))).alias("other"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sentencepiece_bpe.codec(model_file or sentencepiece_bpe.default_model())
-        size = lambda t: sum(len(own.runs[r][0]) for r in own.marked(t or "")) // 4
-        for batch in batches:
-            n = [size(t) for t in batch.column(3).to_pylist()]
-            again = [x if t is None else size(t) for x, t in zip(n, batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(again, pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_revised"])
-
-    counted = base.mapInArrow(work, "doc_id long, source string, lang string, n_tokens long, n_revised long")
+        with sentencepiece_bpe.task_codec(model_file) as own:
+            size = lambda t: sum(len(own.runs[r][0]) for r in own.marked(t or "")) // 4
+            for batch in batches:
+                n = [size(t) for t in batch.column(3).to_pylist()]
+                again = [x if t is None else size(t) for x, t in zip(n, batch.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(again, pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_revised"])
+
+    counted = base.mapInArrow(tidied(work), "doc_id long, source string, lang string, n_tokens long, n_revised long")
     return counted.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), "n_tokens", *([] if revised is None else ["n_revised"]))
 
 
@@ -60,17 +63,38 @@ class Rollups:
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         return path, path(self.folder).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def batches(self) -> list[str]:
+    def _manifest(self) -> tuple[int, list[str], list[str]]:
+        """Number, tables and batch ids of the manifest that holds."""
         path, fs = self._fs()
         if not fs.exists(path(self.folder)):
-            return []
+            return 0, [], []
         names = [s.getPath().getName() for s in fs.listStatus(path(self.folder))]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        version = max((int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-")), default=0)
+        if not version:
+            return 0, [], []
+        text = self.spark.read.text(f"{self.folder}/manifest-{version}", wholetext=True).first()[0]
+        found = json.loads(text)
+        return version, found["tables"], found["batches"]
+
+    def _swap(self, version: int, tables: list[str], batches: list[str]) -> None:
+        """Make the next manifest hold; an error, and no change, if another writer was first."""
+        path, fs = self._fs()
+        staged, final = path(f"{self.folder}/_staged-{uuid.uuid4().hex}"), path(f"{self.folder}/manifest-{version + 1}")
+        out = fs.create(staged, True)
+        out.write(bytearray(json.dumps({"tables": tables, "batches": batches}).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(staged, final):
+            fs.delete(staged, True)
+            raise OSError(f"version {version + 1} was committed by another writer")
+
+    def batches(self) -> list[str]:
+        """Every batch id that was ever committed."""
+        return sorted(self._manifest()[2])
 
     def deltas(self) -> DataFrame:
         """All committed signed rows."""
-        paths = [f"{self.folder}/batch={b}" for b in self.batches()]
-        return self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
+        tables = self._manifest()[1]
+        return self.spark.read.schema(DELTA).parquet(*[f"{self.folder}/{t}" for t in tables]) if tables else self.spark.createDataFrame([], DELTA)
 
     def standing(self) -> DataFrame:
         """What stands for each document and tokenizer."""
@@ -79,44 +103,37 @@ class Rollups:
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Fold in one batch (columns op, doc_id, source, lang, tokenizer, n_tokens and, if there is one, seq); False if it is there already."""
-        if batch_id in self.batches():
+        version, tables, batches = self._manifest()
+        if batch_id in batches:
             return False
         seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
         latest = Window.partitionBy("doc_id", "tokenizer").orderBy(F.col("_seq").desc(), F.col("n_tokens").desc_nulls_last(), "op")
         last = changes.withColumn("n_tokens", F.col("n_tokens").cast("long")).withColumn("_seq", seq).withColumn("_r", F.row_number().over(latest)).where("_r = 1").select("op", "doc_id", *KEYS, "n_tokens")
-        arrived = f"{self.folder}/_arrived-{batch_id}"
+        arrived = f"{self.folder}/_arrived-{uuid.uuid4().hex}"
         last.write.mode("overwrite").parquet(arrived)
         last = self.spark.read.schema(last.schema).parquet(arrived)
         after = last.select("doc_id", *KEYS, F.when(F.col("op") == "delete", 0).otherwise(1).cast("long").alias("docs"), F.when(F.col("op") == "delete", 0).otherwise(F.coalesce("n_tokens", F.lit(0))).cast("long").alias("tokens"))
         touched = last.select("doc_id", "tokenizer")
         before = self.standing().join(touched, ["doc_id", "tokenizer"], "left_semi").select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
         signed = before.unionByName(after).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
-        self._publish(signed, batch_id)
+        name = f"delta-{uuid.uuid4().hex}"
+        signed.write.parquet(f"{self.folder}/{name}")
+        self._swap(version, [*tables, name], [*batches, batch_id])
         path, fs = self._fs()
         fs.delete(path(arrived), True)
         return True
 
-    def _publish(self, signed: DataFrame, batch_id: str) -> None:
-        path, fs = self._fs()
-        staged = f"{self.folder}/_staged-{batch_id}"
-        signed.write.mode("overwrite").parquet(staged)
-        if not fs.rename(path(staged), path(f"{self.folder}/batch={batch_id}")):
-            fs.delete(path(staged), True)
-            raise OSError(f"batch {batch_id} was committed by another writer")
-
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens: a sum of sums, so a hot source is combined before it is shuffled."""
         sums = self.deltas().groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self, batch_id: str) -> None:
-        """Replace all batches by one of what stands; the old ones go after the new one is there under a name that sums skip until then."""
-        old = self.batches()
+    def compact(self) -> None:
+        """Replace all tables by one of what stands; batch ids stay known.  The old tables go once the new manifest holds."""
+        version, tables, batches = self._manifest()
+        name = f"delta-{uuid.uuid4().hex}"
+        self.standing().write.parquet(f"{self.folder}/{name}")
+        self._swap(version, [name], batches)
         path, fs = self._fs()
-        staged = f"{self.folder}/_staged-{batch_id}"
-        self.standing().write.mode("overwrite").parquet(staged)
-        for b in old:
-            fs.rename(path(f"{self.folder}/batch={b}"), path(f"{self.folder}/_old-{b}"))
-        fs.rename(path(staged), path(f"{self.folder}/batch={batch_id}"))
-        for b in old:
-            fs.delete(path(f"{self.folder}/_old-{b}"), True)
+        for t in tables:
+            fs.delete(path(f"{self.folder}/{t}"), True)
