@@ -224,11 +224,14 @@ def test_revisits(spark):
     rows = [
         (1, "response", "http://www.a.org/x/index.html#f", 1.0, h(etag='"1"', content_type="text/html", age="0"), "d1", 200), (2, "response", "https://a.org/x", 2.0, h(etag='"2"'), "d2", 200),
         (3, "revisit", "https://a.org/x?utm_source=z", 3.0, h(etag='W/"1"', age="9", content_length="0"), "d1", 304), (4, "revisit", "https://a.org/x", 3.0, {}, "d2", 304),
+        (8, "response", "https://a.org/y", 1.0, h(last_modified="m1"), "dy", 200), (9, "revisit", "https://a.org/y", 2.0, h(etag='"7"', last_modified="m1"), "other", 304),
+        (10, "response", "https://a.org/z", 1.0, None, "dz", 200), (11, "revisit", "https://a.org/z", 1.0, h(etag='"7"'), "dz", 304), (12, "revisit", "https://a.org/z", 1.0, None, "dz", 304), (12, "revisit", "https://a.org/z", 1.0, None, "dz", 304),
         (5, "revisit", "https://a.org/x", 0.5, h(etag='"1"'), "d1", 304), (6, "revisit", None, 3.0, {}, "d1", 304), (7, "revisit", "https://a.org/x", 3.0, h(etag='"9"'), "d9", 304),
     ]
     records = spark.createDataFrame(rows, "record_id long, kind string, url string, date double, headers map<string,string>, digest string, status int")
     got = {r["record_id"]: r for r in warc.resolve_revisits(records, slices=3).collect()}
-    assert {i: r["refers_to"] for i, r in got.items()} == {3: 1, 4: 2, 5: None, 6: None, 7: None}
+    assert {i: r["refers_to"] for i, r in got.items()} == {3: 1, 4: 2, 5: None, 6: None, 7: None, 9: 8, 11: 10, 12: 10}
+    assert warc.resolve_revisits(records, slices=3).where("record_id = 12").count() == 2
     assert got[3]["headers"] == {"content-type": "text/html", "etag": 'W/"1"', "age": "9"}
     assert warc.resolve_revisits(records.where("false")).count() == 0
 
@@ -243,8 +246,13 @@ def test_rollups(spark):
     assert rollups.commit("3", first.where("false"))
     want = {(None, 1, 7), ("b", 1, 6), ("a", 1, 1)}
     assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals().collect()} == want
-    rollups.compact("4")
-    assert rollups.batches() == ["4"] and {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals().collect()} == want
+    rollups.compact()
+    read = lambda: {(r["source"], r["n_docs"], r["n_tokens"]) for r in rollups.totals().collect()}
+    assert read() == want and rollups.batches() == ["1", "2", "3"]
+    assert not rollups.commit("1", first) and read() == want  # delivered again after compaction
+    assert rollups.commit("4", spark.createDataFrame([("insert", 8, "a", "en", "t", 2)], change)) and ("a", 2, 3) in read()
+    tied = spark.createDataFrame([("revise", 8, "a", "en", "t", 4, 1), ("revise", 8, "a", "en", "t", 9, 2), ("revise", 8, "a", "en", "t", 5, 2), ("insert", 5, None, None, "t", None, 1)], change + ", seq int")
+    assert rollups.commit("5", tied) and ("a", 2, 10) in read()  # the last by seq, the largest of equals
 
 
 def test_pipeline_keeps_what_is_clean(spark):

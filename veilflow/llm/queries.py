@@ -31,26 +31,34 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Two crawls of every page: a full response at time page_id, and an hour later (0.5) an answer that it has not changed.
+    """Every page as a capture of one of a site's addresses, seven captures to an address, and a later answer that it has not changed.
 
-    The second one names an entity tag where the page came by https, else only when it was last modified (told by its length).
+    The body of an address changes with every second capture.  Some records lack a tag, a date or both; some answers stand for the
+    body before the last, some for one that was never captured, and some come before any capture of what they name.
     """
-    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
-    secure = F.col("url").startswith("https")
-    modified = F.length("html").cast("string")
-    full = F.map_from_arrays(F.array(F.lit("etag"), F.lit("last-modified"), F.lit("content-type"), F.lit("age")), F.array(tag, modified, F.lit("text/html"), F.lit("0")))
-    short = F.map_filter(
-        F.map_from_arrays(F.array(F.lit("etag"), F.lit("last-modified"), F.lit("age"), F.lit("content-length")), F.array(F.when(secure, tag), modified, F.lit("3600"), F.lit("0"))),
-        lambda k, v: v.isNotNull(),
+    n = F.col("page_id").cast("long")
+    body = F.floor(n / 2)
+    asked = body - F.when(n % 5 == 0, 1).otherwise(0) + F.when(n % 7 == 6, 1_000_000).otherwise(0)
+    url = lambda more: F.concat(F.lit("https://"), F.when(n % 2 == 0, "www.").otherwise(""), F.lit("site.example/"), F.floor(n / 7).cast("string"), F.lit(more))
+
+    def headers(v, tag, date, **more: str):
+        names = ["etag", "last-modified", *more]
+        values = [F.when(tag, F.concat(F.lit('"'), v.cast("string"), F.lit('"'))), F.when(date, v.cast("string")), *map(F.lit, more.values())]
+        return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)), lambda k, x: x.isNotNull())
+
+    digest = lambda v: F.md5(F.concat(F.floor(n / 7).cast("string"), F.lit("|"), v.cast("string")))
+    first = pages.select(
+        (n * 2).alias("record_id"), F.lit("response").alias("kind"), url("").alias("url"), n.cast("double").alias("date"), headers(body, n % 3 != 0, n % 4 != 0, age="0", server="a").alias("headers"), digest(body).alias("digest"), F.lit(200).alias("status")
+    )
+    again = pages.select(
+        (n * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), url("?utm_source=x#f").alias("url"), (n + 0.5).alias("date"), headers(asked, n % 5 != 1, n % 2 == 0, age="3600", connection="close").alias("headers"), digest(asked).alias("digest"), F.lit(304).alias("status")
     )
-    first = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").cast("double").alias("date"), full.alias("headers"), F.md5("html").alias("digest"), F.lit(200).alias("status"))
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + 0.5).alias("date"), short.alias("headers"), F.md5("html").alias("digest"), F.lit(304).alias("status"))
     return first.unionByName(again)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(capture_log(table(spark, sf_dir, "pages")))
-    return found.select("record_id", "canonical_url", "refers_to", "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["age"].alias("age"), F.col("headers")["content-type"].alias("content_type"), F.size("headers").alias("n_headers"))
+    return found.select("record_id", "canonical_url", "refers_to", "status", F.col("headers")["etag"].alias("etag"), F.col("headers")["age"].alias("age"), F.col("headers")["server"].alias("server"), F.size("headers").alias("n_headers"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +94,7 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("quality = 0 and toxic = 0").select("doc_id")
     rollups.commit("0003", counts.join(low, "doc_id").select(F.lit("revise").alias("op"), "doc_id", *token_rollups.KEYS, F.col("n_revised").alias("n_tokens")))
     rollups.commit("0002", gone)  # delivered twice, counted once
-    return rollups.totals()
+    return scratch.last(rollups.totals())
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,19 +178,20 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 24 // n_rows)::INT A
 
 OP4_SQL = r"""
 WITH p AS (
-  SELECT page_id, url, '"' || substr(md5(html), 1, 16) || '"' AS tag, length(html)::VARCHAR AS modified, regexp_replace(trim(url), '#.*$', '') AS u0 FROM pages
-), c AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u0, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
-    regexp_replace(regexp_replace(regexp_extract(u0, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(index)?\.html?$', ''), '/+$', '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(u0, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|gclid|fbclid)='))) AS q
-  FROM p
-), k AS (
-  SELECT page_id, tag, modified, starts_with(url, 'https') AS secure, CASE WHEN host <> '' THEN 'https://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS cu FROM c
-), m AS (
-  SELECT a.page_id, a.cu, max(b.page_id) AS hit FROM k a JOIN k b ON a.cu = b.cu AND b.page_id <= a.page_id AND CASE WHEN a.secure THEN a.tag = b.tag ELSE a.modified = b.modified END GROUP BY ALL
+  SELECT page_id AS n, page_id // 7 AS a, page_id // 2 AS body, page_id // 2 - (page_id % 5 = 0)::INT + (page_id % 7 = 6)::INT * 1000000 AS asked FROM pages
+), r AS (
+  SELECT n, a, body, CASE WHEN n % 3 <> 0 THEN body END AS e, CASE WHEN n % 4 <> 0 THEN body END AS m FROM p
+), q AS (
+  SELECT n, a, asked, CASE WHEN n % 5 <> 1 THEN asked END AS e, CASE WHEN n % 2 = 0 THEN asked END AS m FROM p
+), hit AS (
+  SELECT q.n, max(r.n) AS h FROM q JOIN r ON r.a = q.a AND r.n <= q.n
+    AND CASE WHEN q.e IS NOT NULL AND r.e IS NOT NULL THEN q.e = r.e WHEN q.m IS NOT NULL AND r.m IS NOT NULL THEN q.m = r.m ELSE q.asked = r.body END
+  GROUP BY q.n
 )
-SELECT m.page_id * 2 + 1 AS record_id, m.cu AS canonical_url, m.hit * 2 AS refers_to, 200 AS status, CASE WHEN k.secure THEN k.tag ELSE h.tag END AS etag, '3600' AS age, 'text/html' AS content_type, 4 AS n_headers
-FROM m JOIN k ON k.page_id = m.page_id JOIN k h ON h.page_id = m.hit
+SELECT q.n * 2 + 1 AS record_id, 'https://site.example/' || q.a AS canonical_url, h.h * 2 AS refers_to, CASE WHEN h.h IS NOT NULL THEN 200 END AS status,
+  CASE WHEN h.h IS NOT NULL THEN '"' || coalesce(q.e, r.e) || '"' END AS etag, CASE WHEN h.h IS NOT NULL THEN '3600' END AS age, CASE WHEN h.h IS NOT NULL THEN 'a' END AS server,
+  CASE WHEN h.h IS NOT NULL THEN 2 + (coalesce(q.e, r.e) IS NOT NULL)::INT + (coalesce(q.m, r.m) IS NOT NULL)::INT END AS n_headers
+FROM q LEFT JOIN hit h ON h.n = q.n LEFT JOIN r ON r.n = h.h
 """
 
 ORACLES: dict[str, str] = {"op1_shard_interleaved": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}

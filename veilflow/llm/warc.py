@@ -1,8 +1,8 @@
 """Resolution of not-modified revisits in web archives.
 
 A revisit record says that a page had not changed: its content is that of the latest earlier full response for the same canonical URL
-whose validators agree (entity tag if both have one, otherwise last-modified date if both have one, otherwise payload digest).  The
-resolved record takes the earlier payload and status, and the earlier headers replaced by those of the revisit that a not-modified
+whose validators agree (entity tag if both have one, otherwise last-modified date if both have one, otherwise payload digest).  What
+decides thus depends on both records: each stands once for each of the four sets of validators that the other may have.  The resolved record takes the earlier payload and status, and the earlier headers replaced by those of the revisit that a not-modified
 answer may carry.
 
 The join is an as-of join by URL.  A hot URL is not dealt to one task: captures of a URL are cut into time slices, each slice hands
@@ -24,10 +24,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, ``www.`` or ``m.`` prefix, fragment, tracking parameters, index page or last slash; http counts as https."""
+    """Lower-case scheme and host, no default port, ``www.`` prefix, fragment, tracking parameters, index page or last slash; http counts as https."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
     scheme_host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(scheme_host, r":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(F.regexp_replace(scheme_host, r":(80|443)$", ""), r"^www\.", "")
     path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(F.regexp_replace(path, r"(index)?\.html?$", ""), r"/+$", "")
     query = F.regexp_extract(u, r"\?(.*)$", 1)
@@ -36,17 +36,24 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", full)
 
 
-def validator(headers: Column, digest: Column) -> Column:
-    """The strongest validator of a record."""
-    etag = F.regexp_replace(headers["etag"], "^W/", "")
-    return F.coalesce(F.concat(F.lit("e:"), etag), F.concat(F.lit("m:"), headers["last-modified"]), F.concat(F.lit("d:"), digest))
+def _kind(has: Column, asks: Column) -> Column:
+    """Which validator decides between a response and a revisit that have these (0 none, 1 a date, 2 a tag, 3 both): tag, date or digest."""
+    both = has.bitwiseAND(asks)
+    return F.when(both >= 2, "e").when(both == 1, "m").otherwise("d")
 
 
-def validators(headers: Column, digest: Column) -> Column:
-    """All validators of a full response, one of which a revisit must name."""
+def validators(headers: Column, digest: Column, response: bool) -> Column:
+    """One key for each kind of record that this one can meet: the validators that either side has, and the value of the one that decides."""
     etag = F.regexp_replace(headers["etag"], "^W/", "")
-    every = F.array(F.concat(F.lit("e:"), etag), F.concat(F.lit("m:"), headers["last-modified"]), F.concat(F.lit("d:"), digest))
-    return F.array_compact(every)
+    own = F.when(etag.isNotNull(), 2).otherwise(0) + F.when(headers["last-modified"].isNotNull(), 1).otherwise(0)
+
+    def key(k: int) -> Column:
+        has, asks = (own, F.lit(k)) if response else (F.lit(k), own)
+        kind = _kind(has, asks)
+        value = F.when(kind == "e", etag).when(kind == "m", headers["last-modified"]).otherwise(digest)
+        return F.concat(has.cast("string"), asks.cast("string"), kind, F.lit(":"), value)
+
+    return F.array(*[key(k) for k in range(4)])
 
 
 def merged_headers(old: Column, new: Column) -> Column:
@@ -66,9 +73,9 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     width = max((hi - lo) / slices, 1e-9) if lo is not None else 1.0
     rows = rows.where("u is not null and at is not null").withColumn("slice", F.least(F.floor((F.col("at") - F.lit(lo or 0.0)) / width), F.lit(slices - 1)).cast("int"))
     given = rows.where("kind = 'response'").select(
-        "u", "at", "slice", "record_id", F.explode(validators(F.col("headers"), F.col("digest"))).alias("v"), F.struct("at", "record_id", "headers", "status").alias("full")
+        "u", "at", "slice", "record_id", F.explode(F.array_compact(validators(F.col("headers"), F.col("digest"), True))).alias("v"), F.struct("at", "record_id", "headers", "status").alias("full")
     )
-    asked = rows.where("kind = 'revisit'").select("u", "at", "slice", "record_id", validator(F.col("headers"), F.col("digest")).alias("v"), F.col("headers").alias("new"))
+    asked = rows.where("kind = 'revisit'").select("u", "at", "slice", "record_id", F.explode(validators(F.col("headers"), F.col("digest"), False)).alias("v"), F.col("headers").alias("new"))
 
     # The last response of each (URL, validator, slice); carried forward, there are at most ``slices`` of them for a URL and validator.
     last = given.groupBy("u", "v", "slice").agg(F.max_by("full", F.struct("at", "record_id")).alias("full"))
@@ -83,6 +90,9 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     inside = inside.unionByName(asked.select("u", "v", "slice", "at", "record_id", F.lit(None).cast(last.schema["full"].dataType).alias("full"), "new", ask.alias("ask")))
     near = inside.withColumn("near", F.last("full", ignorenulls=True).over(within)).where("ask")
     found = near.join(opened.withColumnRenamed("full", "far"), ["u", "v", "slice"], "left").withColumn("hit", F.coalesce("near", "far"))
+    # A revisit stands once for each of the four kinds of responses: the latest of what they give holds, and repeated rows stay repeated.
+    found = found.groupBy("record_id", "u", "at").agg(F.max_by("hit", F.struct("hit.at", "hit.record_id")).alias("hit"), F.first("new").alias("new"), F.count("*").alias("n"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / 4).cast("int"))))
     resolved = found.select(
         "record_id",
         F.col("u").alias("canonical_url"),
