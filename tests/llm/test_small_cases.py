@@ -264,3 +264,13 @@ def test_pipeline_keeps_what_is_clean(spark):
     assert set(out) <= set(docs) and len(out) > 0.6 * len(docs) and all(r["round_trip"] for r in out.values())
     groups = brute_components(docs, 5, 80, 100)
     assert all(groups[i][1] == i or groups[i][1] not in out for i in out)
+
+
+def test_sources_of_one_row_and_rows_without_ids_part(spark):
+    docs = spark.range(4000).selectExpr("CASE WHEN id < 1000 THEN NULL ELSE id END AS doc_id", "concat('t', id) AS text", "CASE WHEN id < 1000 THEN 'hot' ELSE concat('s', id) END AS source")
+    rows = sharding.shard_interleaved(docs, 8).collect()
+    assert max(Counter(int(r["fraction"] * 1024) for r in rows).values()) < 40  # a place of the 1,024: no task sees many
+    hot = Counter(r["shard"] for r in rows if r["source"] == "hot")
+    assert sorted(Counter(r["shard"] for r in rows).values()) == [500] * 8 and all(abs(hot[s] - 125) <= 40 for s in range(8))
+    same = spark.createDataFrame([(1, "a", "s")] * 5 + [(None, None, None)] * 3, "doc_id long, text string, source string")
+    assert sorted((r["shard"], r["slot"]) for r in sharding.shard_interleaved(same, 4).collect()) == [(s, k) for s in range(4) for k in range(2)]

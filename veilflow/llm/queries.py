@@ -164,14 +164,17 @@ OP1_SQL = r"""
 WITH crc AS (
   SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(n)) q
 ), d AS (
-  SELECT doc_id, source, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS stratum, ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS h FROM documents
-), s AS (
-  SELECT doc_id, source, stratum, len(b)::BIGINT + 8 AS size,
-    xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(b, lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8))) AS text_crc32,
-    row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) AS source_rank, count(*) OVER (PARTITION BY stratum) AS n
+  SELECT doc_id, source, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS stratum FROM documents
+), c AS (
+  SELECT doc_id, source, stratum, ('0x' || substr(md5('7|' || stratum), 1, 15))::BIGINT AS tie, len(b)::BIGINT + 8 AS size,
+    xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(b, lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8))) AS text_crc32
   FROM d, crc
+), s AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '-') || '|' || text_crc32), 1, 15))::BIGINT, doc_id, text_crc32, size) AS source_rank,
+    count(*) OVER (PARTITION BY stratum) AS n
+  FROM c
 ), o AS (
-  SELECT *, row_number() OVER (ORDER BY (2 * source_rank - 1)::DOUBLE / (2.0::DOUBLE * n), ('0x' || substr(md5('7|' || stratum), 1, 15))::BIGINT, stratum, source_rank) - 1 AS position, count(*) OVER () AS n_rows FROM s
+  SELECT *, row_number() OVER (ORDER BY (source_rank::DOUBLE - tie::DOUBLE / 1152921504606846976.0::DOUBLE) / n::DOUBLE, tie, stratum, source_rank) - 1 AS position, count(*) OVER () AS n_rows FROM s
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 24 // n_rows)::INT AS shard, position - ((position * 24 // n_rows) * n_rows + 23) // 24 AS slot, NULL::INT AS grown_shard, source, source_rank FROM o
 """

@@ -1,15 +1,18 @@
 """Shards of equal row counts whose mixture of sources is the mixture of the whole table.
 
 Proportional stratified interleaving: rows are shuffled by a seeded hash and ranked within their source; row ``r`` of ``n`` has the
-fractional rank ``(2r - 1) / 2n``; all rows sorted by it are cut into equal runs.  Any run then holds each source in its share of the
-table, give or take one row.
+fractional rank ``(r - u) / n``, ``u`` being a number in [0, 1) that a hash of the source gives; all rows sorted by it are cut into
+equal runs.  The rows of a source lie ``1 / n`` apart, so any stretch of fractional ranks holds each source in its share, give or take
+one row; the start ``u`` keeps sources of one row, of which there may be very many, from meeting at one rank.
 
 Both rankings are global but no task sees a whole source or the whole table: the hash (fractional rank) deals rows evenly into
-buckets, a small table of bucket counts gives each bucket's first rank, and a window ranks rows inside a bucket only.  Text never
-moves; its size and checksum do.
+buckets, a small table of bucket counts gives each bucket's first rank, and a window ranks rows inside a bucket only.  The hash is
+of the id and the text's checksum, so rows without an id, or with one id, part too.  Text never moves; its size and checksum do.
 
-Defined results: a null source is a source of its own; a null text has no bytes and the checksum of an empty one; rows that repeat in
-every column are placed one after the other; an empty table gives an empty result; other columns are ignored, whatever their names.
+Defined results: a null source is a source of its own; a null text has no bytes and the checksum of an empty one; a long text counts
+with all its bytes; a null id is an id like any other; equal fractional ranks stand in the order of their sources' hashes, then names;
+rows that repeat in every column are placed one after the other; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -49,8 +52,9 @@ def shard_interleaved(
         F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("stratum"),
         F.octet_length(text).cast("long").alias("bytes"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        seeded_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).alias("h"),
-    ).withColumn("bucket", F.shiftright("h", HASH_BITS - bucket_bits).cast("int"))
+    )
+    rows = rows.withColumn("h", seeded_hash(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text_crc32").cast("string")))
+    rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - bucket_bits).cast("int"))
 
     per_bucket = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     of_stratum = Window.partitionBy("stratum")
@@ -64,7 +68,8 @@ def shard_interleaved(
     ranked = (
         rows.join(per_bucket, ["stratum", "bucket"])
         .withColumn("source_rank", F.col("before") + F.row_number().over(in_bucket))
-        .withColumn("fraction", (2 * F.col("source_rank") - 1) / (2.0 * F.col("n_source")))
+        .withColumn("tie", seeded_hash(seed, F.col("stratum")))
+        .withColumn("fraction", (F.col("source_rank") - F.col("tie") / float(1 << HASH_BITS)) / F.col("n_source"))
         .withColumn("place", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)).cast("int"))
     )
 
@@ -79,8 +84,7 @@ def shard_interleaved(
             F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_rows"),
         )
     )
-    tie = seeded_hash(seed, F.col("stratum"))
-    in_place = Window.partitionBy("place").orderBy("fraction", tie, "stratum", "source_rank")
+    in_place = Window.partitionBy("place").orderBy("fraction", "tie", "stratum", "source_rank")
     return (
         ranked.join(F.broadcast(per_place), "place")
         .withColumn("position", F.col("first") + F.row_number().over(in_place) - 1)
