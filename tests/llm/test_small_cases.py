@@ -274,3 +274,14 @@ def test_sources_of_one_row_and_rows_without_ids_part(spark):
     assert sorted(Counter(r["shard"] for r in rows).values()) == [500] * 8 and all(abs(hot[s] - 125) <= 40 for s in range(8))
     same = spark.createDataFrame([(1, "a", "s")] * 5 + [(None, None, None)] * 3, "doc_id long, text string, source string")
     assert sorted((r["shard"], r["slot"]) for r in sharding.shard_interleaved(same, 4).collect()) == [(s, k) for s in range(4) for k in range(2)]
+
+
+@pytest.mark.parametrize("bound", [0, 3, 200_000])
+def test_decontamination_with_equal_items_and_repeated_rows(spark, bound):
+    phrase = " ".join(f"q{i}" for i in range(12))
+    items = spark.createDataFrame([(i, phrase if i < 6 else f"{phrase} own{i}") for i in range(9)] + [(9, None), (10, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {phrase} b"), (1, f"a {phrase} b"), (1, "clean"), (None, f"{phrase} own7"), (None, None), (2, f"{phrase} {phrase}".upper())], "doc_id long, text string")
+    rows = decontamination.contamination(docs, items, 10, bound).select("doc_id", "n_words", "n_hit", "items").collect()
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in rows)
+    every = [str(i) for i in range(9)]
+    assert got == [(0, 0, 0, []), (0, 13, 13, every), (1, 1, 0, []), (1, 14, 12, every), (2, 24, 24, every)]

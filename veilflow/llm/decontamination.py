@@ -4,8 +4,10 @@ Both sides are lower-cased (A-Z) and cut into words.  The windows of the test it
 set of 64-bit hashes that every task holds.  A document's windows are hashed in place, so no row is made for a window that is in no
 item; those that are in the set are emitted with their words and joined to the items on the words themselves, which verifies them.
 
-The hash set has a proven bound: its size is counted first, and beyond ``max_broadcast_windows`` windows are matched by a shuffled
-join on the hash instead, with the same rows.
+What is broadcast has a proven bound: distinct windows and their items are counted first.  Beyond ``max_broadcast_windows`` distinct
+windows, document windows are matched by a shuffled join on their hashes instead, and beyond as many items of windows these are joined
+by a shuffle, with the same rows.  Items come in after a document's windows have become a set, so a window of many items is not
+multiplied by its hits.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; equal items all count; rows
 that repeat both ``doc_id`` and text are one document with one row, a ``doc_id`` with two texts is two documents; an empty table on
@@ -71,28 +73,31 @@ def _hashed_in(words: str, length: int, hashes: list[int]):
 
 
 def document_hits(docs: DataFrame, windows: DataFrame, max_broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and verified hit, and one for each document without any: doc_id, t (hash of the text), n_words, item_id, start (from 1), length."""
+    """One row per document and verified hit, and one for each document without any: doc_id, t (hash of the text), n_words, window, start (from 1), length."""
     sets = window_sets(windows, max_broadcast_windows)
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), plain_words(F.col(text_col)).alias("w"))
     none = F.array().cast(_HITS)
+    known = windows.select("window", "length").distinct()
 
-    def cut(length: int, test) -> Column:
-        return F.transform(_starts(F.col("w"), length, test), lambda i: F.struct(i.alias("start"), F.slice("w", i, length).alias("window"))).cast(_HITS)
-
-    def emitted(found: list[Column]) -> DataFrame:
-        hits = words.select("doc_id", "t", F.size("w").alias("n_words"), F.explode_outer(F.concat(*found) if found else none).alias("hit"))
+    def emitted(rows: DataFrame, found: list[Column]) -> DataFrame:
+        hits = rows.select("doc_id", "t", F.size("w").alias("n_words"), F.explode_outer(F.concat(*found) if found else none).alias("hit"))
         return hits.select("doc_id", "t", "n_words", F.col("hit.start").alias("start"), F.col("hit.window").alias("window"))
 
+    def cut(starts: Column, length: Column | int) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("w", i, length).alias("window"))).cast(_HITS)
+
     if sets is not None:
-        hits = emitted([cut(k, _hashed_in("w", k, sets[k][0])) for k in sets])
-        side = F.broadcast(windows.select("item_id", "window", "length"))  # its distinct windows are counted; items that share one add rows of their own
-    else:
-        lengths = sorted(row["length"] for row in windows.select("length").distinct().collect())  # at most the window length
-        every = emitted([cut(k, lambda i: F.lit(True)) for k in lengths]).withColumn("h", F.xxhash64("window"))
-        matched = every.join(windows.select("h").distinct(), "h", "left_semi").drop("h")
-        hits = matched.unionByName(words.select("doc_id", "t", F.size("w").alias("n_words")), allowMissingColumns=True)
-        side = windows.select("item_id", "window", "length")
-    return hits.join(side, "window", "left").select("doc_id", "t", "n_words", "item_id", "start", "length")
+        hits = emitted(words, [cut(_starts(F.col("w"), k, _hashed_in("w", k, sets[k][0])), k) for k in sets])
+        return hits.join(F.broadcast(known), "window", "left")
+    # Only hashes of document windows are shuffled; the words of those that match are cut out of their texts afterwards.
+    lengths = sorted(row["length"] for row in windows.select("length").distinct().collect())  # at most the window length
+    of_text = lambda k: F.transform(_starts(F.col("w"), k, lambda i: F.lit(True)), lambda i: F.struct(i.alias("start"), F.lit(k).alias("length"), F.xxhash64(F.slice("w", i, k)).alias("h")))
+    every = words.select("doc_id", "t", F.explode(F.concat(*map(of_text, lengths))).alias("x")).select("doc_id", "t", "x.*")
+    matched = every.join(windows.select("h").distinct(), "h", "left_semi")
+    found = matched.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("start", "length")).alias("at"))
+    rows = words.join(found, words["doc_id"].eqNullSafe(found["_id"]) & (words["t"] == found["_t"]), "left")
+    at = F.transform(F.coalesce("at", F.array().cast("array<struct<start:int,length:int>>")), lambda x: F.struct(x["start"].alias("start"), F.slice("w", x["start"], x["length"]).alias("window")))
+    return emitted(rows, [at.cast(_HITS)]).join(known, "window", "left")
 
 
 def merge_spans(hits: Column) -> Column:
@@ -109,12 +114,18 @@ def merge_spans(hits: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_windows: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: words, hit words, items with occurring windows, their ids, hit spans (s from 0, e exclusive), ``contaminated``."""
-    hits = document_hits(docs, item_windows(benchmark, n), max_broadcast_windows, id_col, text_col)
-    start = F.col("start") - 1
+    windows = item_windows(benchmark, n)
+    hits = document_hits(docs, windows, max_broadcast_windows, id_col, text_col)
+    start, hit = F.col("start") - 1, F.col("length").isNotNull()
     per_doc = hits.groupBy("doc_id", "t", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct(start.alias("s"), (start + F.col("length")).alias("e"))))).alias("hits"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.array_sort(F.collect_set(F.when(hit, F.struct(start.alias("s"), (start + F.col("length")).alias("e"))))).alias("hits"),
+        F.collect_set(F.when(hit, F.col("window"))).alias("windows"),
     )
+    items = windows.select("item_id", "window")
+    if items.limit(max_broadcast_windows + 1).count() <= max_broadcast_windows:
+        items = F.broadcast(items)
+    per_window = per_doc.select("doc_id", "t", "n_words", "hits", F.explode_outer("windows").alias("window")).join(items, "window", "left")
+    per_doc = per_window.groupBy("doc_id", "t", "n_words").agg(F.first("hits").alias("hits"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return per_doc.select("doc_id", "t", "n_words", "items", merge_spans(F.col("hits")).alias("spans")).select(
         "doc_id",
         "t",
