@@ -122,3 +122,25 @@ def line_pitch(profile: np.ndarray) -> float | None:
     gaps = np.diff(peaks)
     pitch = float(np.sort(gaps)[len(gaps) >> 1])
     return pitch if (np.abs(gaps - pitch) <= max(1.0, 0.2 * pitch)).mean() >= 0.6 else None
+
+
+Rect = tuple[float, float, float, float]
+
+
+def iou(a: Rect, b: Rect) -> float:
+    """Shared area of two rectangles (x, y, w, h) over the area of both."""
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    shared = max(0.0, w) * max(0.0, h)
+    both = a[2] * a[3] + b[2] * b[3] - shared
+    return shared / both if both > 0 else 0.0
+
+
+def tile_places(width: int, height: int, side: int) -> list[tuple[int, int, int]]:
+    """x, y and side of square tiles (64 at least, the shorter side at most) that overlap by a third; the last one ends with the image."""
+    side = max(64, min(side, width, height))
+
+    def along(length: int) -> list[int]:
+        n = 1 if length <= side else 1 + math.ceil((length - side) / (side * 2 / 3))
+        return [math.floor(k * (length - side) / (n - 1) + 0.5) if n > 1 else 0 for k in range(n)]
+
+    return [(x, y, side) for x in along(width) for y in along(height)]
