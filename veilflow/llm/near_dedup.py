@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilflow.llm.components import components
-from veilflow.llm.scratch import Scratch, small_batches, tidied
+from veilflow.llm.scratch import Scratch, give_back, small_batches, tidied
 from veilflow.llm.words import LOWER, mix, pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 COORDS = 128
@@ -233,6 +233,8 @@ def _links_in_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
                     if u != v:
                         parent[u] = v
                         out.append((int(ids[left[i]]), int(ids[right[j]])))
+            del index, seen, shared, point, number, order, both, linked
+            give_back()
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return cells.groupBy("node", "i", "j").applyInArrow(work, "a long, b long")

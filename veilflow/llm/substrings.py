@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilflow.llm.scratch import Scratch, small_batches, tidied
+from veilflow.llm.scratch import Scratch, give_back, small_batches, tidied
 from veilflow.llm.words import pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
 #: Words of an anchor, bits of the anchor filter, bytes of text that a task works on at once, suffixes of a group.
 ANCHOR_WORDS = 8
 FILTER_BITS = 27
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 4 << 20
 GROUP_SUFFIXES = 400_000
 _EMPTY = np.empty(0, np.int64)
 
@@ -237,6 +237,8 @@ def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANC
         order = np.argsort(keys[run[deep]], kind="stable")
         at, place = run[deep][order], (firsts[run] + inside)[deep][order]
         data = _by_document(keys, at, place, sort=False)
+        del words, flags, run, inside, starts, node, deep
+        give_back()
         return pa.table({"key": data[0], "data": data[1]})
 
     scratch = Scratch(spark)
