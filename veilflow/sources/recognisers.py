@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from veilflow.operators.images import Rect, iou, tile_ladder, tile_places
+from veilflow.operators.layout import text_layout, upright
 
 SEEN = "key string, confidence double, x double, y double, w double, h double"
 #: How a text reader takes the page.
@@ -32,7 +33,15 @@ def text_in(read: Callable, image: np.ndarray, mode: str = "auto") -> list[tuple
     return [(text, float(score), *map(float, rect)) for text, score, rect in read(255 - image if luma.mean() < DARK else image, mode)]
 
 
-def joined(faces: list[tuple[float, Rect]], least: float = FACE_OVERLAP) -> list[tuple[float, Rect]]:
+def page_text_in(read: Callable, image: np.ndarray, mode: str = "auto") -> list[tuple]:
+    """As text_in(); a page that lies at a tilt is read once more as one upright block, and those words are placed where they stand in the image."""
+    words = text_in(read, image, mode)
+    layout = text_layout(image)
+    view = upright(image, layout) if layout.rebuild else None
+    return words if view is None else words + [(text, float(score), *view.to_source(rect)) for text, score, rect in read(view.image, "block")]
+
+
+def joined(faces:list[tuple[float, Rect]], least: float = FACE_OVERLAP) -> list[tuple[float, Rect]]:
     """Each face goes to the first earlier one that it overlaps, which grows to hold both and takes the better score."""
     out: list[tuple[float, Rect]] = []
     for score, r in faces:
