@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import decontamination, licenses, near_dedup, neighbours, sentencepiece_bpe, severity, sharding, substrings, token_rollups, warc
+from veilflow.llm import content_sort, decontamination, licenses, near_dedup, neighbours, sentencepiece_bpe, severity, sharding, spelling, substrings, token_rollups, warc, whitening
 from veilflow.llm.scratch import Scratch
 
 
@@ -103,6 +103,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score_severity(docs, model)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -138,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_rollups": op9_token_rollups,
     "op10_toxicity": op10_toxicity,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 OP8_SQL = r"""
@@ -197,4 +212,41 @@ SELECT q.n * 2 + 1 AS record_id, 'https://site.example/' || q.a AS canonical_url
 FROM q LEFT JOIN hit h ON h.n = q.n LEFT JOIN r ON r.n = h.h
 """
 
-ORACLES: dict[str, str] = {"op1_shard_interleaved": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce([n] || range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(n)) q
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY id, run
+), hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(tab[xor(c, x) % 256 + 1], c >> 8))) AS h
+  FROM counted, crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed) q
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM words, unnest(range(length(word))) AS u(i)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS r FROM near
+), known AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1
+), led AS (
+  SELECT word, word AS root, 0 AS steps FROM known
+  UNION ALL SELECT l.word, k.form, l.steps + 1 FROM led l JOIN known k ON k.word = l.root WHERE k.form IS NOT NULL
+)
+SELECT k.word, k.form, (SELECT arg_max(l.root, l.steps) FROM led l WHERE l.word = k.word) AS root, k.n, k.n_near, k.form_n FROM known k
+"""
+
+ORACLES: dict[str, str] = {"op1_shard_interleaved": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op6_decontaminate": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_exact_dedup": OP11_SQL, "op13_spelling_variants": OP13_SQL}
