@@ -16,7 +16,7 @@ from veilflow.detect.rules import CATEGORIES, RULES, SEVERITIES
 from veilflow.functions.dialect import DUCK, SPARK, Dialect
 from veilflow.operators import geometry as G
 from veilflow.plans import scans
-from veilflow.sources.adapters import TABLES
+from veilflow.sources.adapters import TABLES, spread
 
 TEMPLATES: dict[str, Callable[[Dialect], str]] = {}
 
@@ -112,7 +112,8 @@ def _q(name: str, template: Callable[[Dialect], str]) -> None:
 
 # ------------------------------------------------------------------ scalar functions over words of documents and inline values
 
-WORDS = lambda d: f"(SELECT DISTINCT w FROM ({d.explode('w', d.table('documents'), d.split('text', ' '), 'w')}) q WHERE length(w) BETWEEN 1 AND 40 AND {d.like('w', '^[ -~]+$')} UNION SELECT * FROM {values(d, [(x,) for x in _VALUES], 'w')})"
+#: Every word of the documents, cut at white space, and the inline values.
+WORDS = lambda d: f"(SELECT DISTINCT w FROM ({d.explode('w', d.table('documents'), d.split_space('text'), 'w')}) q WHERE w <> '' UNION SELECT * FROM {values(d, [(x,) for x in _VALUES], 'w')})"
 _VALUES = ("4111 1111 1111 1111", "411111111111", "abcd", "aaaa", "your_api_key_here", "testing123456", "true", "12.5", "OPENAI_KEY", "0PENAI_KEY", "snake_case_words_only", "Mixed9Case7Token", "10.0.0.1", "172.20.1.1", "172.32.1.1", "08.8.8.8", "256.1.1.1", "1.2.3", "hunter2", "xxxx1", "no", "undefined", _A, "jane@host.org", "j@h", "+1 415 555 0137")
 for _name, _body in {
     "luhn": lambda d: d.luhn("w"), "entropy": lambda d: f"round({d.entropy('w')}, 6)", "placeholder": lambda d: d.placeholder("w"), "looks_random": lambda d: d.looks_random("w"), "setting": lambda d: d.setting("w"),
@@ -135,8 +136,6 @@ _q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_timecode(
 
 _KEPT = lambda d: d.keep(d.split("line", " "), "w", "w <> ''")
 _q("build_line", lambda d: f"SELECT l.doc_id, l.line_no, {d.join(_KEPT(d), ' ')} AS line, s.word_starts FROM {lines(d)} l JOIN (SELECT doc_id, line_no, {d.sorted('collect_list(start)' if d.spark else 'list(start)')} AS word_starts FROM {G.words_at(d, lines(d), _KEPT(d))} w GROUP BY doc_id, line_no) s ON l.doc_id = s.doc_id AND l.line_no = s.line_no")
-_q("despace", lambda d: f"SELECT doc_id, line_no, {G.despaced(d, 'line')} AS result FROM {lines(d)} l")
-_q("variants", lambda d: f"SELECT doc_id, line_no, 'original' AS kind, line AS text FROM {lines(d)} l UNION ALL SELECT doc_id, line_no, 'despaced' AS kind, {G.despaced(d, 'line')} AS text FROM {lines(d)} l WHERE {G.despaced(d, 'line')} <> line")
 _q("category_filter", lambda d: f"SELECT * FROM {found(d)} f WHERE category IN ('personal', 'financial')")
 _q("ocr_words", lambda d: f"SELECT doc_id, line_no, idx, text, x, y, w, h, confidence FROM {G.ocr_words(d, lines(d))} q")
 _q("ocr_flatten", lambda d: f"SELECT doc_id, line_no, idx, trim(text) AS text, x / 2 AS x, y / 2 AS y, w / 2 AS w, h / 2 AS h, confidence / 100 AS confidence FROM (SELECT doc_id, line_no, idx, text, x * 2 AS x, y * 2 AS y, w * 2 AS w, h * 2 AS h, confidence * 100 AS confidence FROM {G.ocr_words(d, lines(d))} q) r WHERE trim(text) <> ''")
@@ -279,7 +278,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
         text = spark_text(name)
         for t in TABLES:
             if SPARK.table(t) in text:
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(SPARK.table(t))
+                table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                (spread(table) if t == "documents" else table).createOrReplaceTempView(SPARK.table(t))
         return spark.sql(text)
 
     run.__name__ = name

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from veilflow.detect.rules import SEVERITIES, DetectorDef, DetectorRegistry, Needs
 
-#: A whole run of spaces behind or before one of : / . @ = _ - with something on either side.
-_BESIDE_JOINER = re.compile(r"(?<=[:/.@=_-]) +(?=[^ ])|(?<=[^ ]) +(?=[:/.@=_-])")
+#: A whole run of spaces behind or before one of : / . @ = _ - with something on either side; of a run that begins the line the first stays.
+_BESIDE_JOINER = re.compile(r"(?<=[:/.@=_-]) +(?=[^ ])|(?<=[^ ]) +(?=[:/.@=_-])|(?<=\A ) +(?=[:/.@=_-])")
 MATCH = "detector_id string, label string, category string, severity string, value string, masked string, start int, end int"
 
 

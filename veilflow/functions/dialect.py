@@ -76,6 +76,9 @@ class Dialect:
     def split(self, x: str, by: str) -> str:
         return f"split({x}, {self.lit(re.escape(by))})"
 
+    def split_space(self, x: str) -> str:
+        return rf"split({x}, r'[\x09-\x0D ]+')"
+
     def join(self, xs: str, by: str) -> str:
         return f"array_join({xs}, '{by}')"
 
@@ -139,9 +142,13 @@ class Dialect:
     def version_context(self, line: str, v: str) -> str:
         i = f"instr({line}, {v})"
         before = f"lower(substr({line}, greatest({i} - 12, 1), {i} - greatest({i} - 12, 1)))"
-        return f"({i} > 0 AND {self.like(before, r'(?:^|[^A-Za-z0-9_])(?:v|ver|version|node|python|release|build)[ ]*[.]?[ ]*' + chr(92) + 'Z')})"
+        return f"({i} > 0 AND {self.like(before, r'(?:^|[^A-Za-z0-9_])(?:v|ver|version|node|python|release|build)[\x09-\x0D ]*[.]?[\x09-\x0D ]*' + chr(92) + 'Z')})"
 
     def edit_distance(self, a: str, b: str, cap: str) -> str:
+        """The distance, or one more than ``cap`` where it is larger; nothing beyond the cap is computed."""
+        return f"(CASE WHEN abs(length({a}) - length({b})) > {cap} OR levenshtein({a}, {b}, cast({cap} AS INT)) < 0 THEN {cap} + 1 ELSE levenshtein({a}, {b}, cast({cap} AS INT)) END)"
+
+    def _plain_distance(self, a: str, b: str, cap: str) -> str:
         return f"(CASE WHEN abs(length({a}) - length({b})) > {cap} THEN {cap} + 1 ELSE least({self.distance(a, b)}, {cap} + 1) END)"
 
     def same_secret(self, a: str, b: str) -> str:
@@ -270,6 +277,9 @@ class Duck(Dialect):
     def split(self, x: str, by: str) -> str:
         return f"string_split({x}, '{by}')"
 
+    def split_space(self, x: str) -> str:
+        return rf"string_split_regex({x}, '[\x09-\x0D ]+')"
+
     def join(self, xs: str, by: str) -> str:
         return f"array_to_string({xs}, '{by}')"
 
@@ -279,6 +289,9 @@ class Duck(Dialect):
     def sorted(self, xs: str) -> str:
         return f"list_sort({xs})"
 
+    def edit_distance(self, a: str, b: str, cap: str) -> str:
+        return self._plain_distance(a, b, cap)
+
     def luhn(self, s: str) -> str:
         d = self.digits(s)
         x = f"cast(substr({d}, length({d}) - i, 1) AS INT)"

@@ -4,51 +4,89 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.detect import scan
-from veilflow.operators import folds
+from veilflow.detect import native
+from veilflow.operators import assembly, folds
+from veilflow.plans import scan_sql
 from veilflow.sources import adapters
 
 
+#: Names of places in results, as ``end`` is a word of SQL.
+PLACES = {"start": "start_at", "end": "end_at"}
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return adapters.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding in every line of the documents; values themselves stay out of the result."""
-    return scan.scan_lines(adapters.lines_of(_docs(spark, sf_dir))).withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+    return native.find(adapters.lines_of(_docs(spark, sf_dir))).withColumn("value_sha256", F.sha2("value", 256)).drop("value").withColumnsRenamed(PLACES)
 
 
 def findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.scan_lines(adapters.lines_of(_docs(spark, sf_dir)))
+    rows = native.find(adapters.lines_of(_docs(spark, sf_dir)))
     return rows.groupBy("category", "severity", "detector_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def findings_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return scan.scan_lines(adapters.lines_of(pages, "page_id", "html")).select("page_id", "line_no", "detector_id", "masked", "start", "end")
+    pages = adapters.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    return native.find(adapters.lines_of(pages, "page_id", "html")).select("page_id", "line_no", "detector_id", "masked", "start", "end").withColumnsRenamed(PLACES)
 
 
 def fold_confusables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = F.pandas_udf(lambda s: s.map(scan.fold_confusables), "string")
-    return adapters.lines_of(_docs(spark, sf_dir)).select("doc_id", "line_no", folded("line").alias("folded")).withColumn("n", F.length("folded"))
+    return adapters.lines_of(_docs(spark, sf_dir)).select("doc_id", "line_no", F.expr(native.folded("line")).alias("folded")).withColumn("n", F.length("folded"))
+
+
+def despace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.lines_of(_docs(spark, sf_dir)).select("doc_id", "line_no", F.expr(native.despaced("line")).alias("result"))
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views of every line: as read, folded where that differs, despaced where that differs."""
+    lines = adapters.lines_of(_docs(spark, sf_dir)).withColumns({"folded_": F.expr(native.folded("line")), "despaced_": F.expr(native.despaced("line"))})
+    view = F.explode(F.expr(native.views("line"))).alias("v")
+    return lines.select("doc_id", "line_no", view).select("doc_id", "line_no", F.expr("element_at(array('original', 'folded', 'despaced'), v.n + 1)").alias("kind"), "v.text")
+
+
+def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of all views without repeats, before overlaps are resolved."""
+    rows = native.find(adapters.lines_of(_docs(spark, sf_dir)), resolve=False)
+    return rows.select("doc_id", "line_no", "detector_id", "start", "end", F.sha2("value", 256).alias("value_sha256")).withColumnsRenamed(PLACES)
+
+
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many matches of each rule are left of how many, once those that overlap a better one are gone, by document."""
+    lines = adapters.lines_of(_docs(spark, sf_dir))
+    count = lambda rows, name: rows.groupBy("doc_id", "detector_id").agg(F.count("*").alias(name))
+    before, after = count(native.find(lines, resolve=False), "n_before"), count(native.find(lines), "n_after")
+    return before.join(after, ["doc_id", "detector_id"], "left").select("doc_id", "detector_id", "n_before", F.coalesce("n_after", F.lit(0).cast("long")).alias("n_after"))
 
 
 def redacted_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines with the words of findings covered, scanned again: nothing must be found."""
-    return scan.scan_lines(scan.cover_lines(adapters.lines_of(_docs(spark, sf_dir)))).select("doc_id", "line_no", "detector_id")
+    """Findings by rule before and after the words that they touch are covered: afterwards there must be none."""
+    lines = adapters.lines_of(_docs(spark, sf_dir))
+    count = lambda rows, name: rows.groupBy("detector_id").agg(F.count("*").alias(name))
+    before, after = count(native.find(lines), "n_before"), count(native.find(native.cover(lines)), "n_after")
+    return before.join(after, "detector_id", "full").select("detector_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_before", "n_after")))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings as sightings: a key of rule and value, and the characters to cover, over fragments that follow a long value."""
+    """Recognised words to lines, lines to findings, findings to sightings with box and confidence."""
+    lines = assembly.lines_of_words(adapters.words_of(_docs(spark, sf_dir)), ["doc_id", "line_no"])
+    found = assembly.hits_of_lines(lines)
+    return found.select("doc_id", "line_no", F.sha2("key", 256).alias("key_sha256"), "detector_id", "severity", "start", "end", "cover_end", "x", "y", "w", "h", F.round("confidence", 6).alias("confidence")).withColumnsRenamed(PLACES)
+
+
+def extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings whose cover goes on over fragments behind them, and how far."""
     lines = adapters.lines_of(_docs(spark, sf_dir))
-    kept = lines.withColumn("text", F.col("line"))
-    found = scan.scan_lines(kept)
-    end = F.pandas_udf(lambda t, s, e: pd.Series([scan.extended_end(x, a, b) for x, a, b in zip(t, s, e, strict=True)]), "int")
-    return found.select("doc_id", "line_no", F.sha2(F.concat_ws("|", "detector_id", F.lower("value")), 256).alias("key_sha256"), "detector_id", "severity", "start", "end", end("text", "start", "end").alias("cover_end"))
+    rows, rules = native.scanned(lines)
+    rows = rows.withColumn("words_", F.expr(native.words_of("line"))).select("doc_id", "line_no", "words_", F.explode_outer("hits_").alias("hit_")).where("hit_ is not null")
+    end = F.expr(native.extended("words_", "hit_.s", "hit_.e"))
+    return rows.select("doc_id", "line_no", F.expr(native.by_rule(rules, "id", "hit_.rule")).alias("detector_id"), F.col("hit_.s").alias("start_at"), F.col("hit_.e").alias("end_at"), end.alias("cover_end"))
 
 
 def change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +106,8 @@ def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (findings, findings_by_category, findings_in_pages, fold_confusables, redacted_rescan, hits, change_gate, tracks, merge_dups, face_tracks)
+    f.__name__: f
+    for f in (findings, findings_by_category, findings_in_pages, fold_confusables, despace, variants, dedupe, resolve_overlaps, redacted_rescan, hits, extend, change_gate, tracks, merge_dups, face_tracks)
 }
 #: The gate in SQL: a recursive walk over the samples of a video, the last analysed one carried along.
 CHANGE_GATE_SQL = """
@@ -89,4 +128,4 @@ WITH RECURSIVE v AS (
 )
 SELECT video, i, i * 0.5::DOUBLE AS t, changed FROM g
 """
-ORACLES = {"change_gate": CHANGE_GATE_SQL, "redacted_rescan": "SELECT doc_id, 1 AS line_no, '' AS detector_id FROM documents WHERE false"}
+ORACLES = {"change_gate": CHANGE_GATE_SQL} | scan_sql.ORACLES

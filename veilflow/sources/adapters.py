@@ -8,12 +8,39 @@ from pyspark.sql import functions as F
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer pieces than there are cores (a single row group, say) is dealt out; a large one is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores or _few_row_groups(table, cores) else table
+
+
+def _few_row_groups(table: DataFrame, cores: int) -> bool:
+    """Whether the input is so small that its row groups may be fewer than its splits."""
+    limit = int(table.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * limit
+
+
 def lines_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, line_no (from 1) and line of every line that isn't blank."""
     rows = texts.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     return rows.where(F.trim("line") != "").withColumn("line_no", F.col("line_no") + 1)
 
 
+def words_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words of lines as a recogniser reports them, one row each: id, line_no, idx, text, x, y, w, h, confidence.
+
+    The tables hold no recognised text, so boxes follow from places and confidences from ids.
+    """
+    rows = lines_of(texts, id_col, text_col).select(id_col, "line_no", F.expr("transform(split(line, ' '), w -> length(w) + 1)").alias("n"), F.split("line", " ").alias("ws"))
+    step = "(a, i) -> named_struct('at', a.at + n[i], 'out', CASE WHEN ws[i] = '' THEN a.out ELSE concat(a.out, array(named_struct('idx', i + 1, 'text', ws[i], 'start', a.at))) END)"
+    words = f"aggregate(sequence(0, size(ws) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<idx:int,text:string,start:int>>)), {step}, a -> a.out)"
+    each = rows.select(id_col, "line_no", F.explode(F.expr(words)).alias("w"))
+    return each.select(
+        id_col, "line_no", F.col("w.idx").cast("long").alias("idx"), "w.text", F.expr("cast(8 * w.start AS double)").alias("x"), F.expr("cast(18 * line_no AS double)").alias("y"), F.expr("cast(8 * length(w.text) AS double)").alias("w"),
+        F.lit(16.0).alias("h"), F.expr(f"round((abs({id_col} * 31 + w.idx) % 50 + 50) / 100.0, 2)").cast("double").alias("confidence"),
+    )
+
+
 def sightings(events: DataFrame) -> DataFrame:
     """Events as sightings: a user is a video, an event type is a key, one day lasts one second."""
     first = events.groupBy("user_id").agg(F.min("ts").alias("first_ts"))
