@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilflow.detect.rules import CATEGORIES, RULES, SEVERITIES
 from veilflow.functions.dialect import DUCK, SPARK, Dialect
 from veilflow.operators import geometry as G
-from veilflow.plans import scans
+from veilflow.plans import scans, sightings
 from veilflow.sources.adapters import TABLES, spread
 
 TEMPLATES: dict[str, Callable[[Dialect], str]] = {}
@@ -122,12 +122,15 @@ for _name, _body in {
 }.items():
     _q(_name, lambda d, body=_body: f"SELECT w, {body(d)} AS result FROM {WORDS(d)} q")
 _q("ipv4", lambda d: f"SELECT w, {d.valid_ipv4('w')} AS valid, {d.private_ipv4('w')} AS private FROM {WORDS(d)} q")
-_q("mask_url", lambda d: f"SELECT w, {d.mask_url('w')} AS result FROM {values(d, [(x,) for x in ('postgres' + '://u:p@h/x', 'https://a.b/c?d', 'redis' + '://h:6379', 'redis' + '://secret:abc', 'nourl', 'mysql://' + 'h' * 60)], 'w')} q")
-_q("mask_value", lambda d: f"SELECT detector_id, value, CASE " + " ".join(f"WHEN detector_id = '{r.id}' THEN {d.mask_value(r.id, 'value')}" for r in RULES) + f" ELSE {d.keep_ends('value', 3, 3)} END AS masked FROM " + values(d, [(r.id, v) for r in RULES for v in (_A, "ab@cd.org", "sk_live_" + _A)] + [("unknown", _A)], "detector_id, value") + " q")
-_q("version_ctx", lambda d: f"SELECT line, v, {d.version_context('line', 'v')} AS result FROM {values(d, [('version 1.2.3.4', '1.2.3.4'), ('at 1.2.3.4', '1.2.3.4'), ('Node. 1.2.3.4', '1.2.3.4'), ('a long way from v 9.9.9.9', '9.9.9.9'), ('dev 9.9.9.9', '9.9.9.9'), ('v1 1.1.1.1', '1.1.1.1'), ('none', 'x')], 'line, v')} q")
+_q("mask_url", lambda d: f"SELECT w, {d.mask_url('w')} AS result FROM (SELECT DISTINCT url AS w FROM {d.table('pages')} WHERE url IS NOT NULL UNION SELECT * FROM {values(d, [(x,) for x in ('postgres' + '://u:p@h/x', 'https://a.b/c?d', 'redis' + '://h:6379', 'redis' + '://secret:abc', 'nourl', 'mysql://' + 'h' * 60)], 'w')}) q")
+_q("mask_value", lambda d: f"SELECT detector_id, value, CASE " + " ".join(f"WHEN detector_id = '{r.id}' THEN {d.mask_value(r.id, 'value')}" for r in RULES) + f" ELSE {d.keep_ends('value', 3, 3)} END AS masked FROM (SELECT DISTINCT detector_id, value FROM " + found(d) + " f UNION SELECT * FROM " + values(d, [(r.id, v) for r in RULES for v in (_A, "ab@cd.org", "sk_live_" + _A)] + [("unknown", _A)], "detector_id, value") + ") q")
+_DOTTED = lambda d: "(" + d.explode("line, v", f"(SELECT DISTINCT line FROM {lines(d)} l WHERE {d.like('line', '[0-9][.][0-9]')}) p", d.every("line", "([0-9]+(?:[.][0-9]+)+)", 1), "v") + ")"
+_q("version_ctx", lambda d: f"SELECT line, v, {d.version_context('line', 'v')} AS result FROM (SELECT DISTINCT line, v FROM {_DOTTED(d)} x UNION SELECT * FROM {values(d, [('version 1.2.3.4', '1.2.3.4'), ('at 1.2.3.4', '1.2.3.4'), ('Node. 1.2.3.4', '1.2.3.4'), ('a long way from v 9.9.9.9', '9.9.9.9'), ('dev 9.9.9.9', '9.9.9.9'), ('v1 1.1.1.1', '1.1.1.1'), ('none', 'x')], 'line, v')}) q")
 _PAIRS = [("sk_live_abcdef123456", "sk_live_abcdef12345"), ("abcdefgh1234", "abcdefgh1239"), ("10.20.30.41", "10.20.30.42"), ("short", "short"), ("kitten12", "sitting1"), (_A, _A.lower()), (_A, _A[:9]), ("abcdefghij", "zzzzzzzzzz"), ("token-aaaa-1111", "token aaaa 1111")]
 _q("edit_distance", lambda d: f"SELECT a, b, cast({d.edit_distance('a', 'b', '4')} AS INT) AS result FROM {values(d, _PAIRS, 'a, b')} q UNION ALL SELECT a.c_name AS a, b.s_name AS b, cast({d.edit_distance('a.c_name', 'b.s_name', '12')} AS INT) AS result FROM {d.table('customer')} a JOIN {d.table('supplier')} b ON a.c_custkey = b.s_suppkey")
-_q("same_secret", lambda d: f"SELECT a, b, {d.same_secret('a', 'b')} AS result FROM {values(d, _PAIRS, 'a, b')} q")
+#: Values of neighbouring findings of a document, and names that share a key.
+_NEIGHBOURS = lambda d: f"(SELECT a, b FROM (SELECT value AS a, lead(value) OVER (PARTITION BY doc_id ORDER BY line_no, detector_id, value) AS b FROM {found(d)} f) p WHERE b IS NOT NULL UNION ALL SELECT c.c_name AS a, s.s_name AS b FROM {d.table('customer')} c JOIN {d.table('supplier')} s ON c.c_custkey = s.s_suppkey UNION ALL SELECT * FROM {values(d, _PAIRS, 'a, b')})"
+_q("same_secret", lambda d: f"SELECT a, b, {d.same_secret('a', 'b')} AS result FROM {_NEIGHBOURS(d)} q")
 _q("safe_name", lambda d: "SELECT w, coalesce(nullif(" + d.sub(d.sub("w", "[^A-Za-z0-9._-]+", "-"), "^-+|-+$") + ", ''), 'video') AS result FROM " + WORDS(d) + " q")
 _q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_timecode(d, 't')} AS timecode, {G.fmt_range(d, 't', 't + 0.04')} AS span, {G.fmt_bytes(d, 'b')} AS bytes FROM (SELECT cast(event_id AS DOUBLE) * 0.37 AS t, cast(event_id * event_id * 37 AS BIGINT) AS b FROM {d.table('events')}) q")
 
@@ -159,7 +162,7 @@ _q("severity_tally", lambda d: f"SELECT s.severity, count(f.value) AS n FROM {di
 _q("by_category", lambda d: f"SELECT c.category, c.ord, count(*) AS n, count(DISTINCT f.value) AS n_values FROM {dims(d, CATEGORIES, 'category')} c JOIN {found(d)} f ON f.category = c.category GROUP BY c.category, c.ord")
 _RULE_DIM = [(r.id, r.label, r.category, r.severity) for r in RULES] + [("face", "Face", "visual", "medium"), ("qr", "QR code", "visual", "high")]
 _q("detector_dim", lambda d: f"SELECT f.detector_id, r.label, count(*) AS n FROM {found(d)} f JOIN {values(d, _RULE_DIM, 'id, label, category, severity')} r ON f.detector_id = r.id GROUP BY f.detector_id, r.label")
-_q("rule_counts", lambda d: f"SELECT category, count(*) AS n FROM {values(d, _RULE_DIM, 'id, label, category, severity')} r GROUP BY ROLLUP (category)")
+_q("rule_counts", lambda d: f"SELECT r.category, count(*) AS n, coalesce(sum(f.n), 0) AS n_found FROM {values(d, _RULE_DIM, 'id, label, category, severity')} r LEFT JOIN (SELECT detector_id, count(*) AS n FROM {found(d)} x GROUP BY detector_id) f ON f.detector_id = r.id GROUP BY ROLLUP (r.category)")
 _q("review_decisions", lambda d: f"SELECT f.doc_id, f.line_no, f.detector_id, f.masked, coalesce(l.redact, TRUE) AS redact FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("redaction_ratio", lambda d: f"SELECT count(*) AS total, sum(CASE WHEN coalesce(l.redact, TRUE) THEN 1 ELSE 0 END) AS redacted FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("distinct_keys", lambda d: f"SELECT doc_id, count(DISTINCT detector_id || '|' || lower(value)) AS n_keys FROM {found(d)} f GROUP BY doc_id")
@@ -186,7 +189,7 @@ _q("findings_time", lambda d: f"SELECT q.video, k, s, greatest(0.0, min(t) - 0.5
 _q("established", lambda d: f"SELECT video, k, s, max(conf) AS conf FROM {_SESSION(d)} q WHERE conf >= 0.45 GROUP BY video, k, s HAVING max(conf) >= 0.7")
 _q("strongest_hit", lambda d: f"SELECT video, event_id, conf FROM (SELECT *, row_number() OVER (PARTITION BY video, floor(t) ORDER BY conf DESC, event_id) AS r FROM {hits(d)} a) q WHERE r = 1")
 _q("face_stitch", lambda d: f"SELECT video, k, event_id, t, {G.face_match('lx', 'ly', 'lw', 'lh', 'x', 'y', 'w', 'h')} AND lt < t AND t - lt <= 1.25 AS stitches FROM (SELECT *, lag(t) OVER w1 AS lt, lag(x) OVER w1 AS lx, lag(y) OVER w1 AS ly, lag(w) OVER w1 AS lw, lag(h) OVER w1 AS lh FROM {hits(d)} a WINDOW w1 AS (PARTITION BY video, k ORDER BY t, event_id)) q WHERE lt IS NOT NULL")
-_q("reach", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, {CLOSE} <= 3 * greatest(a.w, a.h, b.w, b.h) + 40 AS near, {CLOSE} AS dist FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.k = b.k AND a.event_id < b.event_id AND abs(a.t - b.t) <= 0.2")
+_q("reach", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, {CLOSE} <= 3 * greatest(a.w, a.h, b.w, b.h) + 40 AS near, {CLOSE} AS dist FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.k = b.k AND a.event_id < b.event_id AND abs(a.t - b.t) <= 1.25")
 _q("dup_pairs", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.event_id < b.event_id AND abs(a.t - b.t) <= 1.5 AND {G.overlap('a', 'b')} > 0.3 AND {d.same_secret('a.k', 'b.k')}")
 _q("iou_pairs", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, round({G.iou('a', 'b')}, 6) AS iou FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND a.event_id < b.event_id AND floor(a.t * 2) = floor(b.t * 2) AND {G.iou('a', 'b')} > 0.3")
 _q("box_math", lambda d: f"SELECT a.event_id AS a_id, b.event_id AS b_id, round({CLOSE}, 6) AS dist, round({G.overlap('a', 'b')}, 6) AS ratio, round({G.iou('a', 'b')}, 6) AS iou, {G.moved('a', 'b')} AS moved FROM {hits(d)} a JOIN {hits(d)} b ON a.video = b.video AND b.event_id > a.event_id AND abs(b.t - a.t) <= 1.25")
@@ -247,23 +250,33 @@ _q("dark_frames", lambda d: f"SELECT vec_id, {d.total(d.map('c', 'v', d.num('v')
 _q("sig_diff", lambda d: f"SELECT vec_id, cells, round(mean, 6) AS mean, cells >= 8 OR mean >= 1.0 AS changed FROM (SELECT vec_id, {d.size(d.keep(_DIFF(d), 'v', 'v > 14'))} AS cells, {d.total(d.map(_DIFF(d), 'v', d.num('v')))} / {d.size('c')} AS mean FROM (SELECT vec_id, c, lag(c) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM {_CELLS(d, 255)} q) r WHERE p IS NOT NULL) s")
 _q("luma", lambda d: f"SELECT r, g, b, cast(floor((77 * r + 150 * g + 29 * b) / 256.0) AS INT) AS luma FROM (SELECT cast(event_id % 256 AS INT) AS r, cast(event_id * 7 % 256 AS INT) AS g, cast(event_id * 13 % 256 AS INT) AS b FROM {d.table('events')}) q")
 _q("percentile_idx", lambda d: f"SELECT vec_id, {d.at(d.sorted('c'), f'cast(floor(({d.size(chr(99))} - 1) * 0.95 + 0.5) AS INT) + 1')} AS p95, {d.at(d.sorted('c'), f'cast(floor({d.size(chr(99))} / 2.0) AS INT) + 1')} AS upper_median FROM {_CELLS(d, 255)} q")
-_FRAMES = [(480, 270), (1024, 1024), (1366, 768), (1600, 900), (800, 1280), (2560, 1440), (4096, 2304), (4000, 700)]
-_q("ocr_scale", lambda d: f"SELECT w, h, round(least(2.0, greatest(1.0, least(1600.0 / h, sqrt(2000000.0 / (cast(w AS DOUBLE) * h))))), 6) AS scale FROM {values(d, _FRAMES, 'w, h')} q")
+_SIZES = [(480, 270), (1024, 1024), (1366, 768), (1600, 900), (800, 1280), (2560, 1440), (4096, 2304), (4000, 700)]
+#: Sizes of frames: those that follow from parts, and some that screens have.
+FRAMES = lambda d: f"(SELECT DISTINCT cast(240 + 80 * p_size AS INT) AS w, cast(160 + p_partkey % 2000 AS INT) AS h FROM {d.table('part')} UNION SELECT * FROM {values(d, _SIZES, 'w, h')})"
+_TIMES = lambda d, frames, column, xs: "(" + d.explode(f"w, h, {column}", f"{frames} f", d.array(*map(str, xs)), column) + ")"
+_q("ocr_scale", lambda d: f"SELECT w, h, round(least(2.0, greatest(1.0, least(1600.0 / h, sqrt(2000000.0 / (cast(w AS DOUBLE) * h))))), 6) AS scale FROM {FRAMES(d)} q")
 _q("tile_ladder", lambda d: (
     f"SELECT w, h, m, {d.map(d.keep(d.range('0', '20'), 'i', 'm < enough AND first < shortest AND (i = 0 OR least(shortest, first * pow(2.5, i - 1)) < least(enough, shortest))'), 'i', 'cast(floor(least(shortest, first * pow(2.5, i)) + 0.5) AS BIGINT)')} AS sides"
-    f" FROM (SELECT w, h, m, 22.0 * greatest(w, h) / 128 AS enough, m * 128 / 22.0 AS first, cast(least(w, h) AS DOUBLE) AS shortest FROM {values(d, [(w, h, m) for w, h in _FRAMES for m in (64, 20, 400)], 'w, h, m')} q) r"
+    f" FROM (SELECT w, h, m, 22.0 * greatest(w, h) / 128 AS enough, m * 128 / 22.0 AS first, cast(least(w, h) AS DOUBLE) AS shortest FROM {_TIMES(d, FRAMES(d), 'm', (64, 20, 400))} q) r"
 ))
-_q("tile_rects", lambda d: G.tile_rects(d, values(d, [(w, h, s) for w, h in _FRAMES for s in (372, 931)], "w, h, s")))
-_q("tile_explode", lambda d: f"SELECT w, h, s, x, y, det FROM ({G.tile_rects(d, values(d, [(1280, 720, 372), (1920, 1080, 1080)], 'w, h, s'))}) q, {values(d, [('face',), ('qr',)], 'det')} k")
-_q("mosaic_grid", lambda d: f"SELECT bw, bh, cells, {G.mosaic('bw', 'bh', 'cells')} FROM {values(d, [(w, h, c) for w, h in ((30, 12), (64, 64), (210, 35), (512, 480), (1500, 990)) for c in (1, 3, 6, 9, 15, 40)], 'bw, bh, cells')} q")
-_q("export_params", lambda d: f"SELECT w, h, greatest(2, w - w % 2) AS ew, greatest(2, h - h % 2) AS eh, least(16000000.0, greatest(2000000.0, 0.12 * w * h * 30)) AS bitrate FROM {values(d, [*_FRAMES, (101, 57), (1, 1)], 'w, h')} q")
-_q("scale_pitch", lambda d: f"SELECT pitch, CASE WHEN pitch IS NULL OR pitch <= 0 THEN 2.0 ELSE round(least(6.0, greatest(1.0, 26.0 / (0.48 * pitch))), 6) END AS scale FROM {values(d, [(0.0,), (5.0,), (12.5,), (16.0,), (40.0,), (100.0,), (None,)], 'pitch')} q")
-_q("needs_rebuild", lambda d: f"SELECT density, skew, region, region AND density >= 0.02 AND abs(skew) >= 1.0 AS rebuild FROM {values(d, [(0.02, 1.0, True), (0.019, 3.0, True), (0.3, -2.5, True), (0.3, 0.99, True), (0.3, 5.0, False)], 'density, skew, region')} q")
-_q("strength_label", lambda d: f"SELECT cells, CASE WHEN cells <= 4 THEN 'strongest' WHEN cells <= 6 THEN 'strong' WHEN cells <= 8 THEN 'moderate' WHEN cells <= 13 THEN 'light' ELSE 'weak' END AS label FROM {values(d, [(i,) for i in range(3, 16)], 'cells')} q")
-_q("tick_step", lambda d: f"SELECT dur, coalesce((SELECT min(step) FROM {values(d, [(i,) for i in (1, 2, 5, 10, 15, 30, 60, 120, 300)], 'step')} s WHERE dur / step <= 9), 600) AS step FROM {values(d, [(8.0,), (22.0,), (90.0,), (95.0,), (1000.0,), (2700.0,), (9999.0,)], 'dur')} q")
+_q("tile_rects", lambda d: G.tile_rects(d, _TIMES(d, FRAMES(d), "s", (372, 931))))
+_q("tile_explode", lambda d: f"SELECT w, h, s, x, y, det FROM ({G.tile_rects(d, _TIMES(d, FRAMES(d), 's', (372,)))}) q, {values(d, [('face',), ('qr',)], 'det')} k")
+#: Sides of what is covered: of sightings, grown by their age.
+_BOXES = lambda d: f"(SELECT DISTINCT cast(w + event_id % 500 AS INT) AS w, cast(h + event_id % 300 AS INT) AS h FROM {hits(d)} a)"
+_q("mosaic_grid", lambda d: f"SELECT bw, bh, cells, {G.mosaic('bw', 'bh', 'cells')} FROM (SELECT w AS bw, h AS bh, cells FROM {_TIMES(d, _BOXES(d), 'cells', (1, 3, 6, 9, 15, 40))} b UNION SELECT * FROM {values(d, [(w, h, c) for w, h in ((30, 12), (64, 64), (210, 35), (512, 480), (1500, 990)) for c in (1, 3, 6, 9, 15, 40)], 'bw, bh, cells')}) q")
+_q("export_params", lambda d: f"SELECT w, h, greatest(2, w - w % 2) AS ew, greatest(2, h - h % 2) AS eh, least(16000000.0, greatest(2000000.0, 0.12 * w * h * 30)) AS bitrate FROM (SELECT * FROM {FRAMES(d)} f UNION SELECT * FROM {values(d, [(101, 57), (1, 1)], 'w, h')}) q")
+_q("scale_pitch", lambda d: f"SELECT pitch, CASE WHEN pitch IS NULL OR pitch <= 0 THEN 2.0 ELSE round(least(6.0, greatest(1.0, 26.0 / (0.48 * pitch))), 6) END AS scale FROM (SELECT DISTINCT cast(length(line) AS DOUBLE) / 4 AS pitch FROM {lines(d)} l UNION SELECT * FROM {values(d, [(0.0,), (5.0,), (12.5,), (16.0,), (40.0,), (100.0,), (None,)], 'pitch')}) q")
+_q("needs_rebuild", lambda d: f"SELECT density, skew, region, region AND density >= 0.02 AND abs(skew) >= 1.0 AS rebuild FROM (SELECT conf / 20 AS density, x / 50 - 2 AS skew, strong AS region FROM {hits(d)} h UNION ALL SELECT * FROM {values(d, [(0.02, 1.0, True), (0.019, 3.0, True), (0.3, -2.5, True), (0.3, 0.99, True), (0.3, 5.0, False)], 'density, skew, region')}) q")
+_q("strength_label", lambda d: f"SELECT cells, CASE WHEN cells <= 4 THEN 'strongest' WHEN cells <= 6 THEN 'strong' WHEN cells <= 8 THEN 'moderate' WHEN cells <= 13 THEN 'light' ELSE 'weak' END AS label FROM (SELECT DISTINCT cast(3 + (w + h) % 13 AS INT) AS cells FROM {_BOXES(d)} b) q")
+_DURATIONS = lambda d: f"(SELECT DISTINCT dur FROM (SELECT max(t) AS dur FROM {hits(d)} a GROUP BY video UNION ALL SELECT t * 90 AS dur FROM {hits(d)} b UNION ALL SELECT * FROM {values(d, [(8.0,), (22.0,), (90.0,), (95.0,), (1000.0,), (2700.0,), (9999.0,)], 'dur')}) e)"
+_q("tick_step", lambda d: f"SELECT dur, CASE " + " ".join(f"WHEN dur / {i} <= 9 THEN {i}" for i in (1, 2, 5, 10, 15, 30, 60, 120, 300)) + f" ELSE 600 END AS step FROM {_DURATIONS(d)} q")
 _q("affine_box", lambda d: f"SELECT event_id, {G.affine('f', 0.5, -0.25, 10, 0.25, 2, -5)} FROM {hits(d)} f")
 _CORNERS = [("good", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 100.0, 0.0, 100.0), ("thin", "https://a.io/x", 1, 0.0, 0.0, 100.0, 0.0, 100.0, 20.0, 0.0, 20.0), ("small", "x", 1, 0.0, 0.0, 10.0, 0.0, 10.0, 10.0, 0.0, 10.0), ("skewed", "abcdefghij", 2, 0.0, 0.0, 80.0, 0.0, 110.0, 60.0, 30.0, 60.0), ("unnumbered", "Zażółć gęślą", 0, 0.0, 0.0, 80.0, 0.0, 80.0, 80.0, 0.0, 80.0), ("folded", "abcdefghij", 1, 0.0, 0.0, 0.0, 0.0, 80.0, 80.0, 0.0, 80.0), ("tilted", "https://a.io/x", 1, 0.0, 0.0, 60.0, 0.0, 95.0, 49.0, 35.0, 49.0), ("short", "abc", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("empty", "", 1, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0), ("dense", "abcdefghij", 40, 0.0, 0.0, 90.0, 0.0, 90.0, 90.0, 0.0, 90.0)]
-_QR = lambda d: values(d, _CORNERS, "note, data, version, tlx, tly, trx, try_, brx, bry, blx, bly")
+#: Codes where sightings are, each leaning by what its id says, and hand-made ones.
+_QR = lambda d: (
+    f"(SELECT concat('sighting ', cast(event_id AS VARCHAR(20))) AS note, concat(k, ' ', cast(event_id AS VARCHAR(20))) AS data, cast(event_id % 5 AS INT) AS version, x AS tlx, y AS tly, x + w AS trx, y + event_id % 4 * 6.0 AS try_,"
+    f" x + w - event_id % 3 * 15.0 AS brx, y + w AS bry, x + event_id % 3 * 5.0 AS blx, y + w - event_id % 6 * 9.0 AS bly FROM {hits(d)} a UNION ALL SELECT * FROM {values(d, _CORNERS, 'note, data, version, tlx, tly, trx, try_, brx, bry, blx, bly')})"
+)
 _q("qr_geometry", lambda d: G.qr_geometry(d, _QR(d)))
 _q("judge_qr", lambda d: G.judge_qr(d, _QR(d)))
 
@@ -286,5 +299,5 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name) for name in TEMPLATES} | scans.QUERIES
-ORACLES: dict[str, str] = {name: template(DUCK) for name, template in TEMPLATES.items()} | scans.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name) for name in TEMPLATES} | scans.QUERIES | sightings.QUERIES
+ORACLES: dict[str, str] = {name: template(DUCK) for name, template in TEMPLATES.items()} | scans.ORACLES | sightings.ORACLES
