@@ -236,8 +236,6 @@ _q("active_boxes", lambda d: (
     f"SELECT f.video, f.i, f.k, f.s, f.event_id, {G.dilated('f', 640, 360)} FROM ({boxes_at(d)}) f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON l.doc_id = f.video WHERE coalesce(l.redact, TRUE)"
 ))
 _q("dilate", lambda d: f"SELECT event_id, {G.dilated('f', 320, 200)} FROM {hits(d)} f")
-_q("scan_stats", lambda d: f"SELECT video, count(*) AS sampled, sum(CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END) AS analysed, sum(CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END) AS skipped FROM {GRID(d)} g GROUP BY video")
-_q("rates", lambda d: f"SELECT video, floor(100.0 * sum(CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END) / count(*) + 0.5) AS skip_percent FROM {GRID(d)} g GROUP BY video")
 _q("running_max", lambda d: f"SELECT event_id, max(conf) OVER (PARTITION BY video, k ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS best, min(t) OVER (PARTITION BY video, k ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS first_t FROM {hits(d)} a")
 _q("distinct_times", lambda d: f"SELECT video, {d.size(d.sorted(d.distinct('ts')))} AS n FROM (SELECT video, {'collect_list(t)' if d.spark else 'list(t)'} AS ts FROM {hits(d)} a GROUP BY video) q")
 

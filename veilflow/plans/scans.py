@@ -89,8 +89,22 @@ def extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.expr(native.by_rule(rules, "id", "hit_.rule")).alias("detector_id"), F.col("hit_.s").alias("start_at"), F.col("hit_.e").alias("end_at"), end.alias("cover_end"))
 
 
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples from vectors; every eleventh vector shows a code that a second look must confirm."""
+    samples = adapters.signatures(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return folds.change_gate(samples.withColumn("weak", F.col("vec_id") % 11 == 0))
+
+
 def change_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.change_gate(adapters.signatures(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+    return _gate(spark, sf_dir)
+
+
+def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.scan_statistics(_gate(spark, sf_dir)).drop("skip_percent")
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.scan_statistics(_gate(spark, sf_dir)).select("video", "skip_percent")
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,25 +121,28 @@ def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (findings, findings_by_category, findings_in_pages, fold_confusables, despace, variants, dedupe, resolve_overlaps, redacted_rescan, hits, extend, change_gate, tracks, merge_dups, face_tracks)
+    for f in (findings, findings_by_category, findings_in_pages, fold_confusables, despace, variants, dedupe, resolve_overlaps, redacted_rescan, hits, extend, change_gate, scan_stats, rates, tracks, merge_dups, face_tracks)
 }
 #: The gate in SQL: a recursive walk over the samples of a video, the last analysed one carried along.
-CHANGE_GATE_SQL = """
+_GATE = """
 WITH RECURSIVE v AS (
-  SELECT label::BIGINT AS video, vec_id, [least(255, floor(abs(x::DOUBLE) * 255))::INT FOR x IN embedding] AS c, (1 + vec_id % 12)::BIGINT AS n,
+  SELECT label::BIGINT AS video, vec_id, [least(255, floor(abs(x::DOUBLE) * 255))::INT FOR x IN embedding] AS c, vec_id % 11 = 0 AS weak, (1 + vec_id % 12)::BIGINT AS n,
          coalesce(sum(1 + vec_id % 12) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM embeddings
 ), s AS (
-  SELECT video, first + u.k AS i, c FROM v, unnest(range(0, n)) AS u(k)
+  SELECT video, first + u.k AS i, c, weak FROM v, unnest(range(0, n)) AS u(k)
 ), g AS (
-  SELECT video, i, c, i AS last_i, true AS changed FROM s WHERE i = 0
+  SELECT video, i, c, i AS last_i, true AS changed, weak AS again FROM s WHERE i = 0
   UNION ALL
-  SELECT video, i, CASE WHEN go THEN c ELSE p END AS c, CASE WHEN go THEN i ELSE last_i END AS last_i, go AS changed FROM (
-    SELECT s.video, s.i, s.c, g.c AS p, g.last_i,
-      (s.i - g.last_i) * 0.5 >= 5 OR len(list_filter(list_zip(s.c, g.c), lambda z: abs(z[1] - z[2]) > 14)) >= 8
+  SELECT video, i, CASE WHEN go THEN c ELSE p END AS c, CASE WHEN go THEN i ELSE last_i END AS last_i, go AS changed, go AND weak AS again FROM (
+    SELECT s.video, s.i, s.c, s.weak, g.c AS p, g.last_i,
+      g.again OR (s.i - g.last_i) * 0.5 >= 5 OR len(list_filter(list_zip(s.c, g.c), lambda z: abs(z[1] - z[2]) > 14)) >= 8
       OR list_sum(list_transform(list_zip(s.c, g.c), lambda z: abs(z[1] - z[2])))::DOUBLE / len(s.c) >= 1.0 AS go
     FROM g JOIN s ON s.video = g.video AND s.i = g.i + 1
   ) q
 )
-SELECT video, i, i * 0.5::DOUBLE AS t, changed FROM g
 """
-ORACLES = {"change_gate": CHANGE_GATE_SQL} | scan_sql.ORACLES
+ORACLES = {
+    "change_gate": _GATE + "SELECT video, i, i * 0.5::DOUBLE AS t, changed FROM g",
+    "scan_stats": _GATE + "SELECT video, count(*) AS sampled, sum(changed::INT)::BIGINT AS analysed, sum((NOT changed)::INT)::BIGINT AS skipped FROM g GROUP BY video",
+    "rates": _GATE + "SELECT video, floor(100.0 * sum((NOT changed)::INT) / count(*) + 0.5)::BIGINT AS skip_percent FROM g GROUP BY video",
+} | scan_sql.ORACLES

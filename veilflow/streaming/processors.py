@@ -36,32 +36,12 @@ class GateProcessor(_Folding):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values("t")
         gate = Gate(**self._load())
-        pdf["changed"] = [gate.changed(float(t), [int(x) for x in c]) for t, c in zip(pdf["t"], pdf["cells"], strict=True)]
-        self._store({"cells": gate.cells, "last_t": gate.last_t, "recheck": gate.recheck})
+        weak = pdf["weak"].fillna(False) if "weak" in pdf else [False] * len(pdf)
+        pdf["changed"] = [gate.changed(float(t), c, bool(w)) for t, c, w in zip(pdf["t"], pdf["cells"], weak, strict=True)]
+        self._store({"cells": gate.cells.tolist(), "last_t": gate.last_t, "recheck": gate.recheck})
         yield pdf[["video", "i", "t", "changed"]]
 
 
-class TrackProcessor(_Folding):
-    """Emits a finding once nothing can change it: QR_S + MERGE_S seconds after it was last seen."""
-
-    def __init__(self, source: str = "face", interval: float = 0.5):
-        self.source, self.interval = source, interval
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values(["t", "event_id"])
-        state = self._load()
-        tracker = Tracker(self.interval, [{**t, "box": tuple(t["box"]), "occurrences": [(o[0], tuple(o[1])) for o in t["occurrences"]]} for t in state.get("tracks", [])])
-        now = state.get("now", 0.0)
-        for t, g in pdf.groupby("t", sort=True):
-            tracker.sample(float(t), [{"key": r.key, "source": self.source, "confidence": r.confidence, "box": (r.x, r.y, r.w, r.h)} for r in g.itertuples()])
-            now = float(t)
-        settled = [t for t in tracker.tracks if now - t.last_t > QR_S + MERGE_S]
-        tracker.tracks = [t for t in tracker.tracks if now - t.last_t <= QR_S + MERGE_S]
-        self._store({"tracks": tracker.state(), "now": now})
-        out = findings_of(settled, now, self.interval)
-        yield pd.DataFrame([(int(key[0]), track_id(key[0], t), t.key, t.first_t, t.last_t, t.confidence, len(t.occurrences)) for t in out], columns=[c.split()[0] for c in FINDING.split(", ")])
-
-
 def _apart(tracks: list[Track], reach: float) -> Iterator[list[Track]]:
     """Tracks by first sighting, in runs between which no two can become one: the next begins more than ``reach`` after all before have ended."""
     run: list[Track] = []
@@ -148,14 +128,10 @@ def timed_tracks_stream(hits: DataFrame, source: str = "face", interval: float =
 
 
 def change_gate_stream(samples: DataFrame) -> DataFrame:
-    """``samples`` (video, i, t, cells), in time order per video from batch to batch."""
+    """``samples`` (video, i, t, cells and, where verdicts on codes are known, weak), in time order per video from batch to batch."""
     return samples.groupBy("video").transformWithStateInPandas(GateProcessor(), GATE, "Append", "None")
 
 
-def tracks_stream(hits: DataFrame, source: str = "face", interval: float = 0.5) -> DataFrame:
-    return hits.groupBy("video").transformWithStateInPandas(TrackProcessor(source, interval), FINDING, "Append", "None")
-
-
 def finding_counts(findings: DataFrame, ts_col: str = "ts", window: str = "10 seconds", lateness: str = "30 seconds") -> DataFrame:
     """Findings per category and window; rows later than ``lateness`` are dropped."""
     return findings.withWatermark(ts_col, lateness).groupBy(F.window(ts_col, window), "category").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("n_keys"))
