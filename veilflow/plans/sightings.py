@@ -69,15 +69,20 @@ def sessions(hits: DataFrame) -> DataFrame:
 def spells(observed: DataFrame, pad: float = 0.5) -> DataFrame:
     """For each finding and each two observations that follow each other: lo, hi and the boxes at both; before the first and behind the last, padded, one stands alone.
 
-    ``observed``: video, k, s, event_id, t and a box.  A spell holds its lower end; the last one holds both.
+    ``observed``: video, k, s, event_id, t and a box, and where the finding's own bounds are known start_t and end_t.  A spell holds its lower end; the last
+    one holds both.
     """
     box = F.struct("event_id", *(F.col(c) for c in "xywh"))
-    times = observed.groupBy(*KEY, "t").agg(F.array_sort(F.collect_list(box)).alias("boxes"))  # boxes of one instant
+    own = "start_t" in observed.columns
+    bounds = [F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t")] if own else []
+    times = observed.groupBy(*KEY, "t").agg(F.array_sort(F.collect_list(box)).alias("boxes"), *bounds)  # boxes of one instant
+    if not own:
+        times = times.withColumns({"start_t": F.greatest(F.lit(0.0), F.col("t") - pad), "end_t": F.col("t") + pad})
     along = Window.partitionBy(*KEY).orderBy("t")
     rows = times.select("*", F.lead("t").over(along).alias("next_t"), F.lead("boxes").over(along).alias("next_boxes"), F.lag("t").over(along).isNull().alias("first"))
     # Between two observations, and from the last one on.
-    after = rows.select(*KEY, F.col("t").alias("lo"), F.coalesce("next_t", F.col("t") + pad).alias("hi"), "boxes", F.coalesce("next_boxes", "boxes").alias("more"), F.col("next_t").isNull().alias("closed"))
-    before = rows.where("first").select(*KEY, F.greatest(F.lit(0.0), F.col("t") - pad).alias("lo"), F.col("t").alias("hi"), "boxes", F.col("boxes").alias("more"), F.lit(False).alias("closed"))
+    after = rows.select(*KEY, F.col("t").alias("lo"), F.coalesce("next_t", "end_t").alias("hi"), "boxes", F.coalesce("next_boxes", "boxes").alias("more"), F.col("next_t").isNull().alias("closed"))
+    before = rows.where("first").select(*KEY, F.col("start_t").alias("lo"), F.col("t").alias("hi"), "boxes", F.col("boxes").alias("more"), F.lit(False).alias("closed"))
     return after.unionByName(before)
 
 

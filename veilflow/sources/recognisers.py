@@ -41,7 +41,7 @@ def page_text_in(read: Callable, image: np.ndarray, mode: str = "auto") -> list[
     return words if view is None else words + [(text, float(score), *view.to_source(rect)) for text, score, rect in read(view.image, "block")]
 
 
-def joined(faces:list[tuple[float, Rect]], least: float = FACE_OVERLAP) -> list[tuple[float, Rect]]:
+def joined(faces: list[tuple[float, Rect]], least: float = FACE_OVERLAP) -> list[tuple[float, Rect]]:
     """Each face goes to the first earlier one that it overlaps, which grows to hold both and takes the better score."""
     out: list[tuple[float, Rect]] = []
     for score, r in faces:
@@ -87,8 +87,34 @@ def _sweep(decode: Callable, image: np.ndarray, accept: Callable) -> Iterator[tu
         left[max(0, math.floor(y - margin)) : max(0, math.ceil(y2 + margin)), max(0, math.floor(x - margin)) : max(0, math.ceil(x2 + margin))] = 128
 
 
-def codes_in(decode: Callable, image: np.ndarray, accept: Callable = lambda data, version, corners: True, tiles: bool = True) -> list[tuple]:
-    """Codes by ``decode(image)``, which gives (data, version, four corners) or None, in the whole image and in tiles.
+def judged(data: str, version: int, corners: list[tuple[float, float]]) -> str | None:
+    """How far a decoded code can be believed: ``strong``, ``weak``, or None if it is no code; corners from the top left, clockwise."""
+    points = np.array(corners, float)
+    text = data.strip()
+    if points.shape != (4, 2) or not np.isfinite(points).all() or not text:
+        return None
+    after = np.roll(points, -1, axis=0) - points
+    sides = np.hypot(after[:, 0], after[:, 1])
+    plain = sum(not (ord(c) < 9 or ord(c) in (11, 12) or 14 <= ord(c) < 32 or 127 <= ord(c) < 160) for c in text) / len(text)
+    if plain < 0.75 or sides.min() < 16:
+        return None
+    before = -np.roll(after, 1, axis=0)
+    cosines = (before * after).sum(axis=1) / (np.roll(sides, 1) * sides)
+    angles = np.floor(np.degrees(np.arccos(np.clip(cosines, -1, 1))) * 10 + 0.5) / 10
+    ratio = math.floor(sides.max() / sides.min() * 100 + 0.5) / 100
+    pixels = math.floor((sides[0] + sides[2]) / 2 / (version * 4 + 17 if version > 0 else 21) * 100 + 0.5) / 100
+    if ratio > 2 or angles.min() < 55 or angles.max() > 125 or pixels < 1:
+        return None
+    sure = pixels >= 3 and ratio <= 1.35 and angles.min() >= 75 and angles.max() <= 105 and len(text) >= 8 and plain == 1
+    return "strong" if sure else "weak"
+
+
+def believed(data: str, version: int, corners: list[tuple[float, float]]) -> bool:
+    return judged(data, version, corners) is not None
+
+
+def codes_in(decode: Callable, image: np.ndarray, accept: Callable = believed, tiles: bool = True) -> list[tuple]:
+    """Codes by ``decode(image)``, which gives (data, version, four corners) or None, in the whole image and in tiles; those that ``accept`` refuses are none.
 
     Tiles have the shorter side, or half of it if the image is square; a code that meets an earlier one of the same data is that one.
     """
@@ -106,8 +132,8 @@ def codes_in(decode: Callable, image: np.ndarray, accept: Callable = lambda data
     return [(data, 1.0, *map(float, r)) for data, r in kept]
 
 
-def recognise(frames: DataFrame, load: Callable[[], Callable | None], see: Callable[..., list[tuple]], keys: tuple[str, ...] = ("video", "t"), **options) -> DataFrame:
-    """``keys`` of ``frames`` (with height, width, channels, data) and SEEN, a row for everything that ``see(reader, image)`` finds.
+def recognise(frames: DataFrame, load: Callable[[], Callable | None], see: Callable[..., list[tuple]], keys: tuple[str, ...] = ("video", "t"), seen: str = SEEN, **options) -> DataFrame:
+    """``keys`` of ``frames`` (with height, width, channels, data) and ``seen``, a row for everything that ``see(reader, image)`` finds.
 
     Images stay where they are: nothing is shuffled.
     """
@@ -123,6 +149,44 @@ def recognise(frames: DataFrame, load: Callable[[], Callable | None], see: Calla
             for r in pdf.itertuples(index=False):
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
                 rows += [(*r[: len(keys)], *found) for found in see(reader, image, **options)]
-            yield pd.DataFrame(rows, columns=[*keys, "key", "confidence", "x", "y", "w", "h"])
+            yield pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in seen.split(", "))])
+
+    return wanted.mapInPandas(work, f"{types}, {seen}")
+
+
+WORD = "line_no int, idx int, text string, confidence double, x double, y double, w double, h double"
+CODE = "key string, strong boolean, confidence double, x double, y double, w double, h double"
+
+
+def in_lines(words: list[tuple]) -> list[tuple]:
+    """(line, idx, text, confidence, x, y, w, h) of words (text, confidence, x, y, w, h): one belongs to the line whose last word's height holds its middle."""
+    lines: list[list[tuple]] = []
+    for word in sorted(words, key=lambda w: (w[2], w[3])):  # from left to right, as a line is read
+        middle = word[3] + word[5] / 2
+        line = next((x for x in lines if x[-1][3] <= middle <= x[-1][3] + x[-1][5]), None)
+        if line is None:
+            lines.append([word])
+        else:
+            line.append(word)
+    lines.sort(key=lambda x: (x[0][3], x[0][2]))
+    return [(n, i, *word) for n, line in enumerate(lines) for i, word in enumerate(line)]
+
+
+def words_in(read: Callable, image: np.ndarray, mode: str = "auto") -> list[tuple]:
+    """Words in lines; what a second, upright reading gives are lines of their own."""
+    flat = text_in(read, image, mode)
+    out = in_lines(flat)
+    more = in_lines(page_text_in(read, image, mode)[len(flat) :])
+    return out + [(n + 1_000_000, *rest) for n, *rest in more]
+
+
+def strong_codes_in(decode: Callable, image: np.ndarray) -> list[tuple]:
+    """Codes that can be believed, with whether they are strong."""
+    known: dict[str, bool] = {}
+
+    def accept(data: str, version: int, corners: list) -> bool:
+        verdict = judged(data, version, corners)
+        known[data.strip()] = known.get(data.strip(), False) or verdict == "strong"
+        return verdict is not None
 
-    return wanted.mapInPandas(work, f"{types}, {SEEN}")
+    return [(data, known[data], *rest) for data, *rest in codes_in(decode, image, accept)]
