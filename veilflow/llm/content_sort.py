@@ -131,7 +131,8 @@ def _edges(rows: DataFrame) -> DataFrame:
     place = borders.groupBy("pid").agg(F.count("*").alias("c")).select("pid", F.row_number().over(Window.orderBy("pid")).alias("i"))
     placed = borders.join(place, "pid")
     before = placed.where("edge <> 1").select((F.col("i") + 1).alias("i"), F.col("border").alias("other"))
-    joined = placed.where("edge <> 2").select("i", "border").join(before, "i").where(F.col("border") == F.col("other")).select("i", F.lit(True).alias("goes_on"))
+    # Texts are shuffled, never broadcast: there are few of them, but nothing bounds their length.
+    joined = placed.where("edge <> 2").select("i", "border").join(before.hint("merge"), "i").where(F.col("border") == F.col("other")).select("i", F.lit(True).alias("goes_on"))
     runs = placed.select("pid", "edge", "i", "n", "keep_id").join(joined, "i", "left")
     along = Window.orderBy("i", "edge")
     begins = F.when((F.col("edge") != 2) & F.col("goes_on").isNotNull(), 0).otherwise(1)
