@@ -2,19 +2,20 @@
 
 Start: a few rounds deal the vectors into cells by random projections, each cell halved about its own median, so that dense clusters
 are divided as finely as they are full; inside a cell every vector keeps its best ``degree`` others.  Only what medians cannot divide
-(more than two cells of vectors equal in 16 bits, or what a bounded sample misses) is split by a hash of the id.  Descent: for each
+(more than two cells of vectors equal in 32 bits, or what a bounded sample misses) is split by a hash of the id.  Descent: for each
 vertex its neighbours, and as many vertices that name it, meet in one row by Spark joins and are compared with each other; a pair
 becomes a candidate where it beats the worst neighbour that a vertex has; this is repeated until fewer than a share ``delta`` of all
 edges are new.  Search: a query walks from its own vertex, expands the best unexpanded vertices, scores their neighbours, and keeps the
 best, until none of the best is unexpanded; the last list is scored in double precision on the original vectors.
 
 Equal vectors are one vertex with its ``k + 1`` least ids, which is all that any answer can name.  Nothing is broadcast but the random
-projections and their medians (from a bounded sample).  Sizes of joined rows are bounded by ``degree``; vectors travel as 16-bit
-floats until the final scores.
+projections and their medians (from a bounded sample).  Sizes of joined rows are bounded by ``degree``; vectors travel as 32-bit
+floats, divided by one power of two that brings the largest component of all to 1 at most, until the final scores; so lengths of vectors
+may differ by a factor of about 10^18 before the shorter ones' products with each other vanish.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, as candidates or as queries;
-vectors of another dimension than most are compared with their own kind only by being left out; ties go to the smaller id; rows that
-repeat an id and vector are one; with fewer candidates than ``k`` all are returned; an empty table gives an empty result.
+vectors of another dimension than the most frequent one (of ties, the least) are left out; ties go to the smaller id; rows that repeat an
+id and vector are one; an id with two vectors asks with both and is not its own neighbour; other columns are ignored, whatever their names; with fewer candidates than ``k`` all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,24 +137,25 @@ def _merged_anew(old: DataFrame, found: DataFrame, n: int, k: int) -> DataFrame:
 def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds: int = 12, delta: float = 0.001, cell: int = 5000, seed: int = 3) -> DataFrame:
     """``id``, its best ``degree`` others (packed longs, best first) and their scores (packed 32-bit floats).
 
-    ``vertices``: unique ``id`` and ``v``, a vector of 16-bit floats as bytes.
+    ``vertices``: unique ``id`` and ``v``, a vector of 32-bit floats as bytes.
     """
     total = vertices.count()
     first = vertices.select("v").first()
     if first is None or total < 2:
         return scratch.spark.createDataFrame([], GRAPH)
-    dim = len(first["v"]) // 2
+    dim = len(first["v"]) // 4
     bits = _halvings(total, cell)
+    rounds = rounds if bits else 1  # one cell is the same in every round
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((rounds, bits, dim)).astype(np.float32)
     room = min(max(4000, 32 << bits), max(4000, (64 << 20) // (4 * dim)))  # a few vectors of each last cell, 64 MB at most
-    sample = [np.frombuffer(r["v"], np.float16).astype(np.float32) for r in vertices.orderBy(F.xxhash64(F.lit(seed), "id")).limit(room).select("v").collect()]
+    sample = [np.frombuffer(r["v"], np.float32) for r in vertices.orderBy(F.xxhash64(F.lit(seed), "id")).limit(room).select("v").collect()]
     sample = np.stack(sample)
     medians = [_medians(sample @ planes[r].T) for r in range(rounds)]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dim)
             for r in range(rounds):
                 leaf = _leaves(x @ planes[r].T, medians[r])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaf * rounds + r), batch.column(1)], names=["id", "cell", "v"])
@@ -164,7 +166,7 @@ def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds:
 
     def best_in_cell(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        x = _unpack(table.column("v"), np.float16, dim).astype(np.float32)
+        x = _unpack(table.column("v"), np.float32, dim)
         k = min(degree, len(ids) - 1)
         out = []
         for a in range(0, len(ids) if k > 0 else 0, 512):
@@ -194,7 +196,7 @@ def build_graph(vertices: DataFrame, scratch: Scratch, degree: int = 24, rounds:
     def local_join(table: pa.Table) -> pa.Table:
         at, ids = table.column("at").to_numpy(), table.column("id").to_numpy()
         worst = table.column("worst").to_numpy()
-        x = _unpack(table.column("v"), np.float16, dim).astype(np.float32)
+        x = _unpack(table.column("v"), np.float32, dim)
         order = np.argsort(at, kind="stable")
         cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
         out = []
@@ -256,13 +258,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24,
     same = parts.groupBy("x").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k + 1).alias("members"))
     vertices = same.select(F.element_at("members", 1).alias("id"), "members", "x")
 
-    def half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    largest = rows.agg(F.max(F.aggregate("x", F.lit(0.0), lambda a, c: F.greatest(a, F.abs(c))))).first()[0]
+    down = -int(np.frexp(largest or 1.0)[1])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims["d"])
-            x = np.clip(x, -6e4, 6e4).astype(np.float16)
+            x = np.ldexp(x, down).astype(np.float32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "members", "x", "v"])
 
-    vertices = scratch.cut(vertices.mapInArrow(half, "id long, members array<long>, x array<double>, v binary"), "vertices")
+    vertices = scratch.cut(vertices.mapInArrow(packed, "id long, members array<long>, x array<double>, v binary"), "vertices")
     graph = build_graph(vertices, scratch, degree, rounds, delta, cell)
     width += 16 * _halvings(vertices.count(), cell)  # the more vectors, the more lists a query has to walk through
 
@@ -286,7 +291,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, degree: int = 24,
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32) for i in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.float32).reshape(-1, dim) for i in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(1).astype(np.float64))], names=["h", "id", "s"])
 
         return with_vectors.mapInArrow(work, "h long, id long, s double")
