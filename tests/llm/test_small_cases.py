@@ -176,13 +176,27 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e6, 1e150])
+def test_neighbours_at_any_scale_with_odd_rows(spark, scale):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((600, 16)) * scale
+    rows = [(i, v.tolist(), "clash", [1.0]) for i, v in enumerate(x)] + [(700, x[0].tolist(), "clash", [1.0]), (0, x[0].tolist(), "clash", [1.0]), (800, [1.0, 2.0], "c", [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, v array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0, k=10).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    known = {i: np.array(v) / scale for i, v, *_ in rows if len(v) == 16}
+    hits = sum(len(got[q] & {i for _, i in sorted((-float(known[q] @ v), i) for i, v in known.items() if i != q)[:10]}) for q in got)
+    assert set(got) == {i for i in known if i % 20 == 0} and hits >= 0.97 * 10 * len(got)
+
+
 def test_neighbours_of_a_dense_cluster_in_many_cells(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([5 + 0.2 * rng.standard_normal((1600, 24)), rng.standard_normal((200, 24))])
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     vertices = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, v binary").cache()
     graph = neighbours.build_graph(vertices, Scratch(spark), degree=20, rounds=2, cell=40).collect()
-    scores = x.astype(np.float32) @ x.astype(np.float32).T
+    scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
     worst = np.sort(scores, axis=1)[:, -20]
     hits = sum((scores[r["id"]][np.frombuffer(r["ids"], np.int64)] >= worst[r["id"]] - 1e-6).sum() for r in graph)
@@ -236,6 +250,21 @@ def test_revisits(spark):
     assert warc.resolve_revisits(records.where("false")).count() == 0
 
 
+def test_canonical_addresses_and_bursts(spark):
+    pairs = [
+        ("HTTP://www.A.org:80/x/index.html?b=2&a=1&utm_source=q#top", "https://a.org/x?a=1&b=2"), ("https://a.org:443/", "https://a.org"), ("https://a.org:80/", "https://a.org:80"), ("http://a.org:443/x", "https://a.org:443/x"),
+        ("https://a.org/about.html", "https://a.org/about.html"), ("https://a.org/about", "https://a.org/about"), ("https://a.org/xindex.html", "https://a.org/xindex.html"), ("https://a.org/?ref=main", "https://a.org?ref=main"),
+        ("https://a.org/?ref=dev", "https://a.org?ref=dev"), ("ftp://a.org/x/", "ftp://a.org/x"), ("https://a.org/d/index.htm", "https://a.org/d"), ("no address", None), (None, None),
+    ]
+    got = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(pairs)], "k int, u string").select("k", warc.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r["k"]: r["c"] for r in got} == {k: c for k, (_, c) in enumerate(pairs)}
+    # A burst: most captures of one address within one second of a long log, each answer meant for the body before it.
+    rows = [(2 * i, "response", "https://a.org/x", 1e6 + i / 1000, {"etag": f'"{i // 3}"'}, "d", 200, "clash") for i in range(400)] + [(2 * i + 1, "revisit", "https://a.org/x", 1e6 + i / 1000, {"etag": f'"{i // 3}"'}, "d", 304, "clash") for i in range(400)]
+    rows += [(9000 + i, "response", "https://a.org/y", i * 1e5, {}, "e", 200, "clash") for i in range(30)]
+    records = spark.createDataFrame(rows, "record_id long, kind string, url string, date double, headers map<string,string>, digest string, status int, slice string")
+    assert all(r["refers_to"] == r["record_id"] - 1 for r in warc.resolve_revisits(records, slices=16).collect())
+
+
 def test_rollups(spark):
     change = "op string, doc_id long, source string, lang string, tokenizer string, n_tokens long"
     rollups = token_rollups.Rollups(spark, Scratch(spark).path("r"))

@@ -31,29 +31,40 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_log(pages: DataFrame) -> DataFrame:
-    """Every page as a capture of one of a site's addresses, seven captures to an address, and a later answer that it has not changed.
+    """Every page as captures of its address and of its site's front page, and later answers that these have not changed.
 
-    The body of an address changes with every second capture.  Some records lack a tag, a date or both; some answers stand for the
-    body before the last, some for one that was never captured, and some come before any capture of what they name.
+    Captures of a page: as it is, and a little later with another body, under another spelling of its address.  The answers, one for the page and one for
+    the front page, name the first body, the second, or one that was never captured; some come before any capture; some records lack a tag, a date
+    or both.  A front page changes with every capture, and has as many of them as its site has pages.
     """
     n = F.col("page_id").cast("long")
-    body = F.floor(n / 2)
-    asked = body - F.when(n % 5 == 0, 1).otherwise(0) + F.when(n % 7 == 6, 1_000_000).otherwise(0)
-    url = lambda more: F.concat(F.lit("https://"), F.when(n % 2 == 0, "www.").otherwise(""), F.lit("site.example/"), F.floor(n / 7).cast("string"), F.lit(more))
+    body = F.md5(F.coalesce("html", F.lit("")))
+    other = F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit("2")))
+    front = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/index.html"))
+    spelled = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit("utm_medium=mail#x"))
 
     def headers(v, tag, date, **more: str):
         names = ["etag", "last-modified", *more]
-        values = [F.when(tag, F.concat(F.lit('"'), v.cast("string"), F.lit('"'))), F.when(date, v.cast("string")), *map(F.lit, more.values())]
+        values = [F.when(tag, F.concat(F.lit('"'), F.substring(v, 1, 12), F.lit('"'))), F.when(date, F.substring(v, 13, 12)), *map(F.lit, more.values())]
         return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)), lambda k, x: x.isNotNull())
 
-    digest = lambda v: F.md5(F.concat(F.floor(n / 7).cast("string"), F.lit("|"), v.cast("string")))
-    first = pages.select(
-        (n * 2).alias("record_id"), F.lit("response").alias("kind"), url("").alias("url"), n.cast("double").alias("date"), headers(body, n % 3 != 0, n % 4 != 0, age="0", server="a").alias("headers"), digest(body).alias("digest"), F.lit(200).alias("status")
-    )
-    again = pages.select(
-        (n * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), url("?utm_source=x#f").alias("url"), (n + 0.5).alias("date"), headers(asked, n % 5 != 1, n % 2 == 0, age="3600", connection="close").alias("headers"), digest(asked).alias("digest"), F.lit(304).alias("status")
-    )
-    return first.unionByName(again)
+    def record(k: int, kind: str, url, at: float, v, tag, date, status: int, **more: str) -> DataFrame:
+        return pages.select(
+            (n * 5 + k).alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), (n + at).cast("double").alias("date"), headers(v, tag, date, **more).alias("headers"), v.alias("digest"), F.lit(status).alias("status")
+        )
+
+    named = F.when(n % 7 == 6, F.md5(F.lit("never"))).when(n % 3 == 0, other).otherwise(body)
+    records = [
+        record(0, "response", F.col("url"), 0.0, body, n % 3 != 0, n % 4 != 0, 200, age="0", server="a"),
+        record(1, "response", spelled, 0.25, other, n % 5 != 0, n % 2 != 0, 200, age="1", server="b"),
+        record(2, "response", front, 0.5, body, n % 3 != 1, n % 4 != 1, 200, age="2", server="c"),
+        record(3, "revisit", F.col("url"), F.when(n % 11 == 0, -0.5).otherwise(0.75), named, n % 5 != 1, n % 2 == 0, 304, age="3600", connection="close"),
+        record(4, "revisit", front, 0.875, F.when(n % 2 == 0, body).otherwise(F.md5(F.lit("never"))), n % 3 != 2, n % 5 != 2, 304, age="7200"),
+    ]
+    out = records[0]
+    for r in records[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,20 +207,28 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, (position * 24 // n_rows)::INT A
 
 OP4_SQL = r"""
 WITH p AS (
-  SELECT page_id AS n, page_id // 7 AS a, page_id // 2 AS body, page_id // 2 - (page_id % 5 = 0)::INT + (page_id % 7 = 6)::INT * 1000000 AS asked FROM pages
-), r AS (
-  SELECT n, a, body, CASE WHEN n % 3 <> 0 THEN body END AS e, CASE WHEN n % 4 <> 0 THEN body END AS m FROM p
-), q AS (
-  SELECT n, a, asked, CASE WHEN n % 5 <> 1 THEN asked END AS e, CASE WHEN n % 2 = 0 THEN asked END AS m FROM p
+  SELECT page_id AS n, url, md5(coalesce(html, '')) AS b, md5(coalesce(html, '') || '2') AS o, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' AS front FROM pages
+), a AS (
+  SELECT n * 5 AS id, 'response' AS kind, url, n::DOUBLE AS date_, b AS v, n % 3 <> 0 AS tag, n % 4 <> 0 AS dated, 'a' AS server, '0' AS age FROM p
+  UNION ALL SELECT n * 5 + 1, 'response', url, n + 0.25, o, n % 5 <> 0, n % 2 <> 0, 'b', '1' FROM p
+  UNION ALL SELECT n * 5 + 2, 'response', front, n + 0.5, b, n % 3 <> 1, n % 4 <> 1, 'c', '2' FROM p
+  UNION ALL SELECT n * 5 + 3, 'revisit', url, CASE WHEN n % 11 = 0 THEN n - 0.5 ELSE n + 0.75 END, CASE WHEN n % 7 = 6 THEN md5('never') WHEN n % 3 = 0 THEN o ELSE b END, n % 5 <> 1, n % 2 = 0, NULL, '3600' FROM p
+  UNION ALL SELECT n * 5 + 4, 'revisit', front, n + 0.875, CASE WHEN n % 2 = 0 THEN b ELSE md5('never') END, n % 3 <> 2, n % 5 <> 2, NULL, '7200' FROM p
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(url, '^http:', 'https:'), '^https://www\.', 'https://') AS w,
+    list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|gclid|fbclid)='))) AS q FROM a
+), l AS (
+  SELECT id, kind, date_, v, server, age, CASE WHEN tag THEN substr(v, 1, 12) END AS e, CASE WHEN dated THEN substr(v, 13, 12) END AS m,
+    regexp_replace(regexp_replace(regexp_extract(w, '^[^?#]*'), '/index\.html?$', '/'), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS u FROM c
 ), hit AS (
-  SELECT q.n, max(r.n) AS h FROM q JOIN r ON r.a = q.a AND r.n <= q.n
-    AND CASE WHEN q.e IS NOT NULL AND r.e IS NOT NULL THEN q.e = r.e WHEN q.m IS NOT NULL AND r.m IS NOT NULL THEN q.m = r.m ELSE q.asked = r.body END
-  GROUP BY q.n
+  SELECT x.id, arg_max(r.id, (r.date_, r.id)) AS h FROM l x JOIN l r ON x.kind = 'revisit' AND r.kind = 'response' AND r.u = x.u AND (r.date_ < x.date_ OR (r.date_ = x.date_ AND r.id < x.id))
+    AND CASE WHEN x.e IS NOT NULL AND r.e IS NOT NULL THEN x.e = r.e WHEN x.m IS NOT NULL AND r.m IS NOT NULL THEN x.m = r.m ELSE x.v = r.v END
+  GROUP BY x.id
 )
-SELECT q.n * 2 + 1 AS record_id, 'https://site.example/' || q.a AS canonical_url, h.h * 2 AS refers_to, CASE WHEN h.h IS NOT NULL THEN 200 END AS status,
-  CASE WHEN h.h IS NOT NULL THEN '"' || coalesce(q.e, r.e) || '"' END AS etag, CASE WHEN h.h IS NOT NULL THEN '3600' END AS age, CASE WHEN h.h IS NOT NULL THEN 'a' END AS server,
-  CASE WHEN h.h IS NOT NULL THEN 2 + (coalesce(q.e, r.e) IS NOT NULL)::INT + (coalesce(q.m, r.m) IS NOT NULL)::INT END AS n_headers
-FROM q LEFT JOIN hit h ON h.n = q.n LEFT JOIN r ON r.n = h.h
+SELECT x.id AS record_id, x.u AS canonical_url, h.h AS refers_to, CASE WHEN h.h IS NOT NULL THEN 200 END AS status,
+  CASE WHEN h.h IS NOT NULL THEN '"' || coalesce(x.e, r.e) || '"' END AS etag, CASE WHEN h.h IS NOT NULL THEN x.age END AS age, CASE WHEN h.h IS NOT NULL THEN r.server END AS server,
+  CASE WHEN h.h IS NOT NULL THEN 2 + (coalesce(x.e, r.e) IS NOT NULL)::INT + (coalesce(x.m, r.m) IS NOT NULL)::INT END AS n_headers
+FROM l x LEFT JOIN hit h ON h.id = x.id LEFT JOIN l r ON r.id = h.h WHERE x.kind = 'revisit'
 """
 
 OP11_SQL = """

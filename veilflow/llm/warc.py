@@ -5,7 +5,7 @@ whose validators agree (entity tag if both have one, otherwise last-modified dat
 decides thus depends on both records: each stands once for each of the four sets of validators that the other may have.  The resolved record takes the earlier payload and status, and the earlier headers replaced by those of the revisit that a not-modified
 answer may carry.
 
-The join is an as-of join by URL.  A hot URL is not dealt to one task: captures of a URL are cut into time slices, each slice hands
+The join is an as-of join by URL.  A hot URL is not dealt to one task: captures are cut into time slices of about equal counts, each slice hands
 its last full response for each validator on, and these few rows are carried forward over the slices; inside a slice a window finds
 the rest.
 
@@ -23,16 +23,23 @@ from pyspark.sql import functions as F
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "server", "warning")
 
 
+#: Parameters that only say where a visitor came from.
+TRACKING = "utm_[a-z]+|gclid|fbclid"
+
+
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, ``www.`` prefix, fragment, tracking parameters, index page or last slash; http counts as https."""
+    """Lower-case scheme and host without ``www.`` and the scheme's own port; no fragment, tracking parameters, index page or last slash; http counts as https."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
-    scheme_host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    host = F.regexp_replace(F.regexp_replace(scheme_host, r":(80|443)$", ""), r"^www\.", "")
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    place = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"^www\.", "")
+    own = F.when(scheme == "http", r":80$").when(scheme == "https", r":443$").otherwise(r":$")
+    host = F.regexp_replace(place, own, F.lit(""))
     path = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(path, r"(index)?\.html?$", ""), r"/+$", "")
+    path = F.regexp_replace(F.regexp_replace(path, r"/index\.html?$", "/"), r"/+$", "")
     query = F.regexp_extract(u, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|ref|gclid|fbclid)=")))
-    full = F.concat(F.lit("https://"), host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(rf"^(?:{TRACKING})=")))
+    kept = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit(""))
+    full = F.concat(F.when(scheme == "http", F.lit("https")).otherwise(scheme), F.lit("://"), host, path, kept)
     return F.when(host != "", full)
 
 
@@ -68,10 +75,10 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     digest, and status.  Payloads aren't moved: ``refers_to`` names the record that holds them.
     """
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("u"), F.col("date").cast("double").alias("at"), "headers", "digest", "status")
-    bounds = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = max((hi - lo) / slices, 1e-9) if lo is not None else 1.0
-    rows = rows.where("u is not null and at is not null").withColumn("slice", F.least(F.floor((F.col("at") - F.lit(lo or 0.0)) / width), F.lit(slices - 1)).cast("int"))
+    # Slices of equal counts: a burst of captures is cut as finely as it is full.
+    cuts = rows.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10_000).alias("cuts")).first()["cuts"] or []
+    cuts = F.array(*[F.lit(float(c)) for c in dict.fromkeys(cuts)]).cast("array<double>")
+    rows = rows.where("u is not null and at is not null").withColumn("slice", F.size(F.filter(cuts, lambda c: c <= F.col("at"))))
     given = rows.where("kind = 'response'").select(
         "u", "at", "slice", "record_id", F.explode(F.array_compact(validators(F.col("headers"), F.col("digest"), True))).alias("v"), F.struct("at", "record_id", "headers", "status").alias("full")
     )
