@@ -37,9 +37,10 @@ def capture_log(pages: DataFrame) -> DataFrame:
     the front page, name the first body, the second, or one that was never captured; some come before any capture; some records lack a tag, a date
     or both.  A front page changes with every capture, and has as many of them as its site has pages.
     """
-    n = F.col("page_id").cast("long")
-    body = F.md5(F.coalesce("html", F.lit("")))
-    other = F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit("2")))
+    # Bodies are read and hashed once; what follows holds ids, addresses and hashes.
+    rows = pages.select(F.col("page_id").cast("long").alias("n"), "url", F.md5(F.coalesce("html", F.lit(""))).alias("body"), F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit("2"))).alias("other"))
+    rows = rows.withColumn("never", F.md5(F.lit("never")))
+    n, body, other, never = (F.col(c) for c in ("n", "body", "other", "never"))
     front = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/index.html"))
     spelled = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.instr("url", "?") > 0, "&").otherwise("?"), F.lit("utm_medium=mail#x"))
 
@@ -48,23 +49,20 @@ def capture_log(pages: DataFrame) -> DataFrame:
         values = [F.when(tag, F.concat(F.lit('"'), F.substring(v, 1, 12), F.lit('"'))), F.when(date, F.substring(v, 13, 12)), *map(F.lit, more.values())]
         return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)), lambda k, x: x.isNotNull())
 
-    def record(k: int, kind: str, url, at: float, v, tag, date, status: int, **more: str) -> DataFrame:
-        return pages.select(
+    def record(k: int, kind: str, url, at, v, tag, date, status: int, **more: str):
+        return F.struct(
             (n * 5 + k).alias("record_id"), F.lit(kind).alias("kind"), url.alias("url"), (n + at).cast("double").alias("date"), headers(v, tag, date, **more).alias("headers"), v.alias("digest"), F.lit(status).alias("status")
         )
 
-    named = F.when(n % 7 == 6, F.md5(F.lit("never"))).when(n % 3 == 0, other).otherwise(body)
-    records = [
+    named = F.when(n % 7 == 6, never).when(n % 3 == 0, other).otherwise(body)
+    records = F.array(
         record(0, "response", F.col("url"), 0.0, body, n % 3 != 0, n % 4 != 0, 200, age="0", server="a"),
         record(1, "response", spelled, 0.25, other, n % 5 != 0, n % 2 != 0, 200, age="1", server="b"),
         record(2, "response", front, 0.5, body, n % 3 != 1, n % 4 != 1, 200, age="2", server="c"),
         record(3, "revisit", F.col("url"), F.when(n % 11 == 0, -0.5).otherwise(0.75), named, n % 5 != 1, n % 2 == 0, 304, age="3600", connection="close"),
-        record(4, "revisit", front, 0.875, F.when(n % 2 == 0, body).otherwise(F.md5(F.lit("never"))), n % 3 != 2, n % 5 != 2, 304, age="7200"),
-    ]
-    out = records[0]
-    for r in records[1:]:
-        out = out.unionByName(r)
-    return out
+        record(4, "revisit", front, 0.875, F.when(n % 2 == 0, body).otherwise(never), n % 3 != 2, n % 5 != 2, 304, age="7200"),
+    )
+    return rows.select(F.explode(records).alias("r")).select("r.*")
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilflow.llm.scratch import Scratch
+
 #: Header fields that a not-modified answer may update (RFC 9110, section 15.4.5, and RFC 9111, section 3.2), as fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "age", "server", "warning")
 
@@ -75,6 +77,10 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     digest, and status.  Payloads aren't moved: ``refers_to`` names the record that holds them.
     """
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("u"), F.col("date").cast("double").alias("at"), "headers", "digest", "status")
+    # Addresses are told apart once, though several branches read them.
+    scratch = Scratch(records.sparkSession)
+    rows = scratch.cut(rows, "records")
+    every = rows
     # Slices of equal counts: a burst of captures is cut as finely as it is full.
     cuts = rows.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10_000).alias("cuts")).first()["cuts"] or []
     cuts = F.array(*[F.lit(float(c)) for c in dict.fromkeys(cuts)]).cast("array<double>")
@@ -107,6 +113,5 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
         F.col("hit.status").alias("status"),
         F.when(F.col("hit").isNotNull(), merged_headers(F.coalesce(F.col("hit.headers"), F.create_map().cast("map<string,string>")), F.coalesce("new", F.create_map().cast("map<string,string>")))).alias("headers"),
     )
-    lost = records.where("kind = 'revisit'").select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("date").cast("double").alias("at"))
-    lost = lost.where("canonical_url is null or at is null").drop("at")
-    return resolved.unionByName(lost, allowMissingColumns=True)
+    lost = every.where("kind = 'revisit' AND (u is null OR at is null)").select("record_id", F.col("u").alias("canonical_url"))
+    return scratch.last(resolved.unionByName(lost, allowMissingColumns=True))
