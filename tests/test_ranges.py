@@ -139,3 +139,11 @@ def test_greedy_merges_follow_the_box_that_grows(spark):
     assert got == {(1, 1): (0.0, 19.0, 0.9, 3), (1, 2): (100.0, 5.0, 0.6, 1), (2, 1): (0.0, 10.0, 0.6, 1)}
     chain = spark.createDataFrame([(1, "p", i, 8.0 * i, 0.0, 10.0, 10.0) for i in range(3)] + [(1, "q", 9, 0.0, 0.0, 10.0, 10.0)], "image long, k string, id long, x double, y double, w double, h double")
     assert sorted(r["id"] for r in sightings.deduplicated_codes(chain, ["image", "k"], "id").collect()) == [0, 2, 9]  # the third overlaps only one that went
+
+
+def test_rows_are_numbered_over_all_ranges(spark):
+    rows = [(i % 3, 10**15 if i == 7 else i // 2, i) for i in range(400)]  # one id far from all others, and ties
+    frame = spark.createDataFrame(rows, "rank int, id long, n long").repartition(5)
+    got = {r["place"]: (r["rank"], r["id"], r["n"]) for r in ranges.numbered(frame, ["rank", "id", "n"], "place").collect()}
+    assert [got[k + 1] for k in range(len(rows))] == sorted(rows)
+    assert ranges.numbered(frame.where("false"), ["rank"], "place").count() == 0

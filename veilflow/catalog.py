@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veilflow.detect.rules import CATEGORIES, RULES, SEVERITIES
 from veilflow.functions.dialect import DUCK, SPARK, Dialect
 from veilflow.operators import geometry as G
+from veilflow.operators.ranges import numbered
 from veilflow.plans import scans, sightings
 from veilflow.sources.adapters import TABLES, spread
 
@@ -166,13 +167,7 @@ _q("rule_counts", lambda d: f"SELECT r.category, count(*) AS n, coalesce(sum(f.n
 _q("review_decisions", lambda d: f"SELECT f.doc_id, f.line_no, f.detector_id, f.masked, coalesce(l.redact, TRUE) AS redact FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("redaction_ratio", lambda d: f"SELECT count(*) AS total, sum(CASE WHEN coalesce(l.redact, TRUE) THEN 1 ELSE 0 END) AS redacted FROM {found(d)} f LEFT JOIN (SELECT doc_id, min(toxic) = 0 AS redact FROM {d.table('labels')} GROUP BY doc_id) l ON f.doc_id = l.doc_id")
 _q("distinct_keys", lambda d: f"SELECT doc_id, count(DISTINCT detector_id || '|' || lower(value)) AS n_keys FROM {found(d)} f GROUP BY doc_id")
-#: Ranks are counted in up to 4,096 ranges of documents for each severity, so that no task orders all findings.
-_q("ordered_findings", lambda d: (
-    f"WITH f AS (SELECT {RANK} AS rank, doc_id, line_no, detector_id, value, masked FROM {found(d)} x), hi AS (SELECT floor(max(doc_id) / 4096) + 1 AS width FROM {d.table('documents')}),"
-    " b AS (SELECT f.*, floor(doc_id / width) AS bucket FROM f, hi), c AS (SELECT rank, bucket, count(*) AS n FROM b GROUP BY rank, bucket),"
-    " o AS (SELECT rank, bucket, sum(n) OVER (ORDER BY rank, bucket ROWS UNBOUNDED PRECEDING) - n AS before FROM c)"
-    " SELECT b.doc_id, b.line_no, b.masked, cast(o.before + row_number() OVER (PARTITION BY b.rank, b.bucket ORDER BY b.doc_id, b.line_no, b.detector_id, b.value) AS BIGINT) AS place FROM b JOIN o ON o.rank = b.rank AND o.bucket = b.bucket"
-))
+_q("ordered_findings", lambda d: f"SELECT doc_id, line_no, masked, row_number() OVER (ORDER BY {RANK}, doc_id, line_no, detector_id, value) AS place FROM {found(d)} x")
 _q("top_finding", lambda d: f"SELECT doc_id, masked FROM (SELECT doc_id, masked, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, line_no, detector_id, value) AS r FROM {found(d)} f) q WHERE r = 1")
 _q("best_identity", lambda d: f"SELECT doc_id, detector_id, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {RANK}, CASE WHEN detector_id IN ('labeled-secret', 'secret-assignment', 'bearer-token', 'password-assignment') THEN 1 ELSE 0 END, -length(value), line_no, detector_id, value) AS r FROM {found(d)} f) q WHERE r = 1")
 _q("union_hits", lambda d: f"SELECT doc_id AS id, detector_id || '|' || lower(value) AS k, 'ocr' AS source FROM {found(d)} f UNION ALL SELECT event_id AS id, k, 'qr' AS source FROM {hits(d)} h WHERE strong")
@@ -297,5 +292,12 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name) for name in TEMPLATES} | scans.QUERIES | sightings.QUERIES
-ORACLES: dict[str, str] = {name: template(DUCK) for name, template in TEMPLATES.items()} | scans.ORACLES | sightings.ORACLES
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings by severity, then place: numbered in sampled ranges, so that no task orders all of them, however ids are spread."""
+    rows = _run("ordered_findings_rows")(spark, sf_dir)
+    return numbered(rows, ["rank", "doc_id", "line_no", "detector_id", "value"], "place").select("doc_id", "line_no", "masked", "place")
+
+
+TEMPLATES["ordered_findings_rows"] = lambda d: f"SELECT {RANK} AS rank, doc_id, line_no, detector_id, value, masked FROM {found(d)} x"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _run(name) for name in TEMPLATES if name != "ordered_findings_rows"} | {"ordered_findings": ordered_findings} | scans.QUERIES | sightings.QUERIES
+ORACLES: dict[str, str] = {name: template(DUCK) for name, template in TEMPLATES.items() if name != "ordered_findings_rows"} | scans.ORACLES | sightings.ORACLES

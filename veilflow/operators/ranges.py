@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilflow.sources.kept import Kept
+
 Span = tuple[str, str]
 #: Bins reach this much further than the interval, as sums and differences of times are rounded; the exact condition decides.
 SLACK = 1e-6
@@ -95,3 +97,16 @@ def segments(rows: DataFrame, on: list[str], at: str, reach: float, width: float
     cut = F.when(F.col("_before").isNull() | ((F.col(at) - F.col("_before") > reach) & (F.col("_may") == 1)), F.col(at))
     marked = carried(before.withColumn("_cut", cut), on, at, "_cut", width).select(*on, at, F.col("carried").alias("segment"))
     return rows.join(marked, [*on, at])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number (from 1) in the order of all of them.
+
+    Sampled ranges of the order are sorted apart, after a written table has fixed them; only their sizes meet in one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = Kept(rows.sparkSession)(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, place.cast("long")).join(before, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
