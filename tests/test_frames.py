@@ -40,12 +40,12 @@ def test_faces_join_and_are_padded_within_the_image():
 
 
 def codes(x):
-    """A toy decoder: the first spot of 255 in the last channel is a code of 20 pixels named by the channel before."""
+    """A toy decoder: the first spot of 255 in the last channel is a code of 30 pixels named by the channel before."""
     at = np.argwhere(x[..., 2] == 255)
     if not len(at):
         return None
     y, left = at[0].tolist()
-    return f" c{x[y, left, 1]} ", 1, [(left, y), (left + 20, y), (left + 20, y + 20), (left, y + 20)]
+    return f" c{x[y, left, 1]} ", 1, [(left, y), (left + 30, y), (left + 30, y + 30), (left, y + 30)]
 
 
 def test_codes_are_found_one_behind_the_other():
