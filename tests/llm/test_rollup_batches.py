@@ -97,3 +97,13 @@ def test_query_against_the_library(spark):
         standing[r["doc_id"], "piece_bpe_32k"] = (r["source"], r["lang"], len(library.encode(text)))
     rows = queries.op9_token_rollups(spark, folder).collect()
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rows} == sums(standing)
+
+
+def test_the_encoder_forgets_and_stays_right(monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "_TASK_CACHE", 7)
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model())
+    codec, rng = sentencepiece_bpe.PieceCodec(sentencepiece_bpe.default_model()), random.Random(3)
+    for _ in range(300):
+        text = " ".join(rng.choice(["the", "of", "running", "é漢字", "x" * 90, "\n", "12,5", f"w{rng.randrange(500)}"]) for _ in range(30))
+        assert codec.encode(text) == library.encode(text) and codec.count(text) == len(library.encode(text))
+        assert len(codec.runs) + len(codec.runs.old) <= 14 and len(codec.counts) + len(codec.counts.old) <= 14

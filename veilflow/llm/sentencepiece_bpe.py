@@ -8,7 +8,7 @@ good; a bitfield remembers it and keeps the walk linear.
 
 No piece has a space mark after another character, none holds a line feed, and none mixes letters with other characters, so texts
 fall apart into runs of letters or of others, each with the space marks before it, and single line feeds; runs that repeat are encoded
-once per worker.  These facts are checked when a model is loaded; a text is split less, or not at all, where they don't hold.
+once per worker or task, as long as they are remembered.  These facts are checked when a model is loaded; a text is split less, or not at all, where they don't hold.
 """
 
 from __future__ import annotations
@@ -29,26 +29,51 @@ from pyspark.sql import types as T
 from veilflow.llm.scratch import small_batches, tidied
 
 MARK = "▁"
-_WHOLE_CACHE = 100_000
+#: Runs of a generation that a worker remembers: for one task, or over tasks.
+_TASK_CACHE, _KEPT_CACHE = 50_000, 250_000
 _LONGEST_CACHED = 64
 
 
-class _Runs(dict):
-    """Encodings of short runs by run: (ids as little-endian 32-bit integers, what they decode to)."""
+class _Known(dict):
+    """What is known of short runs, in two generations: one that is full becomes the old one, from which runs that come again are taken over."""
 
     def __init__(self, owner: "PieceCodec"):
         super().__init__()
-        self.owner = owner
+        self.owner, self.most, self.old = owner, _TASK_CACHE, {}
 
-    def __missing__(self, text: str) -> tuple[bytes, str]:
-        ids = self.owner.ids_of_run(text)
-        value = array("I", ids).tobytes(), self.owner._plain(ids)
+    def work_out(self, text: str):
+        raise NotImplementedError
+
+    def __missing__(self, text: str):
+        value = self.old.get(text)
+        if value is None:
+            value = self.work_out(text)
         if len(text) <= _LONGEST_CACHED:
-            if len(self) >= _WHOLE_CACHE:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[text] = value
         return value
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
+class _Runs(_Known):
+    """Encodings of runs: (ids as little-endian 32-bit integers, what they decode to)."""
+
+    def work_out(self, text: str) -> tuple[bytes, str]:
+        ids = self.owner.ids_of_run(text)
+        return array("I", ids).tobytes(), self.owner._plain(ids)
+
+
+class _Counts(_Known):
+    """Numbers of ids of runs."""
+
+    def work_out(self, text: str) -> int:
+        return len(self.owner.ids_of_run(text))
+
 
 class PieceCodec:
     """Encodes and decodes as the sentencepiece library does with the same BPE model (identity normalisation, byte fallback)."""
@@ -78,6 +103,7 @@ class PieceCodec:
         self.split = re.compile(self._borders()).findall
         self.fits: dict[int, bool] = {}
         self.runs = _Runs(self)
+        self.counts = _Counts(self)
 
     def _borders(self) -> str:
         """A pattern for runs between which no piece reaches, as far as the vocabulary shows."""
@@ -189,6 +215,10 @@ class PieceCodec:
     def marked(self, text: str) -> list[str]:
         return self.split(MARK + text.replace(" ", MARK)) if text else []
 
+    def count(self, text: str) -> int:
+        """Number of ids without begin and end."""
+        return sum(map(self.counts.__getitem__, self.marked(text)))
+
     def encode(self, text: str, bos: bool = False, eos: bool = False) -> list[int]:
         raw = b"".join(self.run(r)[0] for r in self.marked(text))
         ids = list(memoryview(raw).cast("I")) if raw else []
@@ -254,14 +284,17 @@ _codecs: dict[str, PieceCodec] = {}
 
 
 @contextlib.contextmanager
-def task_codec(model_file: str | None) -> Iterator[PieceCodec]:
-    """The codec of this worker for one task; what it remembers of the task's texts goes with the task."""
+def task_codec(model_file: str | None, keep: bool = False) -> Iterator[PieceCodec]:
+    """The codec of this worker for one task; what it remembers of the task's texts goes with the task, unless later tasks are to ``keep`` it."""
     own = codec(model_file or default_model())
+    own.runs.most = own.counts.most = _KEPT_CACHE if keep else _TASK_CACHE
     try:
         yield own
     finally:
-        own.runs.clear()
-        own.fits.clear()
+        if not keep:
+            own.runs.forget()
+            own.counts.forget()
+            own.fits.clear()
 
 
 def codec(model_file: str) -> PieceCodec:
@@ -341,7 +374,7 @@ def round_trip_digests(docs: DataFrame, model_file: str | None = None, id_col: s
     schema = T.StructType([base.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with task_codec(model_file) as own:
+        with task_codec(model_file, keep=True) as own:
             for batch, texts in _texts(batches, "text"):
                 rows = [own.digest(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(

@@ -60,11 +60,10 @@ def count_tokens(docs: DataFrame, tokenizer: str = "piece_bpe_32k", model_file:
     base = docs.select(F.col(id_col).cast(_id_type(docs, id_col)).alias("doc_id"), "source", "lang", text.alias("text"), F.when(~other.eqNullSafe(text), F.coalesce(other, F.lit(""))).alias("other"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with sentencepiece_bpe.task_codec(model_file) as own:
-            size = lambda t: sum(len(own.runs[r][0]) for r in own.marked(t or "")) // 4
+        with sentencepiece_bpe.task_codec(model_file, keep=True) as own:
             for batch in batches:
-                n = [size(t) for t in batch.column(3).to_pylist()]
-                again = [x if t is None else size(t) for x, t in zip(n, batch.column(4).to_pylist(), strict=True)]
+                n = [own.count(t or "") for t in batch.column(3).to_pylist()]
+                again = [x if t is None else own.count(t) for x, t in zip(n, batch.column(4).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(again, pa.int64())], names=["doc_id", "source", "lang", "n_tokens", "n_revised"])
 
     counted = base.mapInArrow(tidied(work), f"doc_id {_id_type(docs, id_col)}, source string, lang string, n_tokens long, n_revised long")
