@@ -10,8 +10,10 @@ Three passes, none of which holds more than a bounded piece of the corpus in one
    that stand once in the corpus cannot lie in a repeated window.  The others set bits in a filter of fixed size, which is the only
    thing broadcast; if it fills up, more suffixes travel and the result stays the same.
 2. Suffixes.  Suffixes that start at windows with a marked anchor are dealt into groups by that anchor, as runs of 32-bit words, and
-   the number of groups follows from the counted suffixes, so that a group fits in memory.  Within a batch equal windows are found at
-   once and sent once, so a window that a third of the corpus shares adds one suffix per batch to its group, not one per copy.
+   the number of groups follows from the counted suffixes, so that a group fits in memory.  An anchor that begins more than
+   ``hot_windows`` suffixes (counted in pass 1, kept in a second filter of fixed size) is too short a prefix to deal by: its suffixes go
+   by all their ``length`` words, so that a phrase in very many contexts is spread over the groups.  Within a batch equal windows are found
+   at once and sent once, so a window that a third of the corpus shares adds one suffix per batch to its group, not one per copy.
 3. Subtrees.  Each group orders its suffixes by doubling ranks (1, 2, 4, ... words), which is its suffix tree level by level down to
    ``length`` words; inner nodes that deep are the repeats.  Their leaves go back to the documents.
 
@@ -34,11 +36,14 @@ from pyspark.sql import types as T
 from veilflow.llm.scratch import Scratch, give_back, small_batches, tidied
 from veilflow.llm.words import pieces, text_buffers, window_hashes, word_bounds, word_hashes
 
-#: Words of an anchor, bits of the anchor filter, bytes of text that a task works on at once, suffixes of a group.
+#: Words of an anchor, bits of the anchor filter and of that of hot anchors, bytes of text that a task works on at once, suffixes of a
+#: group, and suffixes beyond which an anchor is hot.
 ANCHOR_WORDS = 8
 FILTER_BITS = 27
+HOT_BITS = 22
 BATCH_BYTES = 4 << 20
 GROUP_SUFFIXES = 400_000
+HOT_WINDOWS = GROUP_SUFFIXES // 4
 _EMPTY = np.empty(0, np.int64)
 
 
@@ -89,18 +94,20 @@ def _window_anchors(hashes: np.ndarray, offsets: np.ndarray, length: int, k: int
     return starts, docs, best[starts]
 
 
-def _filter_slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_slots(grams: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
+    return (grams >> np.uint64(64 - size)).astype(np.int64)
 
 
-def _marked(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    slots = _filter_slots(grams)
+def _marked(bits: np.ndarray, grams: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
+    slots = _filter_slots(grams, size)
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _anchor_filter(docs: DataFrame, length: int, k: int, n_parts: int) -> tuple[np.ndarray, int]:
-    """A bit for each anchor that stands twice or more (and for some others, where slots collide), and how many suffixes may have it."""
-    low_bits = FILTER_BITS - (n_parts - 1).bit_length()
+def _anchor_filter(docs: DataFrame, length: int, k: int, n_parts: int, hot_windows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A bit for each anchor that stands twice or more (and for some others, where slots collide), a bit for each that begins more than
+    ``hot_windows`` suffixes, and how many suffixes the repeated ones begin."""
+    part_bits = (n_parts - 1).bit_length()
+    low_bits, hot_bits = FILTER_BITS - part_bits, HOT_BITS - part_bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, hashes, offsets in _batches(batches, "text"):
@@ -128,19 +135,22 @@ def _anchor_filter(docs: DataFrame, length: int, k: int, n_parts: int) -> tuple[
         join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         grams, index = np.unique(join("grams", np.uint64), return_inverse=True)
         repeated = np.bincount(index, join("seen", np.uint8), len(grams)) >= 2
-        windows = np.bincount(index, join("windows", np.int32), len(grams))[repeated].sum()
+        windows = np.bincount(index, join("windows", np.int32), len(grams))
         part = table.column("part")[0].as_py()
-        bits = np.zeros(1 << low_bits, np.uint8)
+        bits, hot = np.zeros(1 << low_bits, np.uint8), np.zeros(1 << hot_bits, np.uint8)
         bits[_filter_slots(grams[repeated]) - (part << low_bits)] = 1
-        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()), "windows": pa.array([int(windows)], pa.int64())})
+        hot[_filter_slots(grams[windows > hot_windows], HOT_BITS) - (part << hot_bits)] = 1
+        packed = [pa.array([np.packbits(x).tobytes()], pa.binary()) for x in (bits, hot)]
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": packed[0], "hot": packed[1], "windows": pa.array([int(windows[repeated].sum())], pa.int64())})
 
     counted = docs.mapInArrow(tidied(count), "part int, grams binary, seen binary, windows binary")
-    rows = counted.groupBy("part").applyInArrow(merge, "part int, bits binary, windows long").collect()  # FILTER_BITS bits in all
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = 1 << (low_bits - 3)
+    # 2 ** FILTER_BITS and 2 ** HOT_BITS bits in all.
+    rows = counted.groupBy("part").applyInArrow(merge, "part int, bits binary, hot binary, windows long").collect()
+    bits, hot = np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.zeros(1 << (HOT_BITS - 3), np.uint8)
     for r in rows:
-        bits[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return bits, sum(r["windows"] for r in rows)
+        for whole, size, piece in ((bits, 1 << (low_bits - 3), r["bits"]), (hot, 1 << (hot_bits - 3), r["hot"])):
+            whole[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(piece, np.uint8)
+    return bits, hot, sum(r["windows"] for r in rows)
 
 
 def subtree_repeats(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -159,7 +169,7 @@ def subtree_repeats(words: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     return node
 
 
-def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANCHOR_WORDS) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANCHOR_WORDS, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """``key`` and ``starts`` (32-bit word positions, packed): the starts of repeated windows, in one or more rows per document.
 
     ``docs`` has a long ``key``, the same only for rows with the same text, and ``text``.
@@ -171,12 +181,12 @@ def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANC
     docs = docs.select(F.col(key).alias("key"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_parts = 1 << max(4, min(12, (2 * parts).bit_length()))
-    bits, suffixes = _anchor_filter(docs, length, k, n_parts)
-    shared = spark.sparkContext.broadcast(bits)
+    bits, hot, suffixes = _anchor_filter(docs, length, k, n_parts, hot_windows)
+    shared = spark.sparkContext.broadcast((bits, hot))
     n_groups = max(2 * parts, suffixes // GROUP_SUFFIXES + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, hot = shared.value
         for rows, hashes, offsets in _batches(batches, "text"):
             keys = rows.column("key").to_numpy()
             starts, doc, anchor = _window_anchors(hashes, offsets, length, k)
@@ -193,7 +203,9 @@ def repeated_starts(docs: DataFrame, length: int, key: str = "row", k: int = ANC
             out = _by_document(keys, doc[again], starts[again] - offsets[doc[again]])
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(out[0]), pa.int32()), out[0], out[1]], names=["part", "key", "data"])
             one = np.sort(first)  # one suffix for each window of this batch, in order of place
-            starts, doc, group, twice = starts[one], doc[one], (grams[anchor[one]] % np.uint64(n_groups)).astype(np.int64), n[index[one]] > 1
+            prefix = grams[anchor[one]]
+            prefix = np.where(_marked(hot, prefix, HOT_BITS), whole[one], prefix)
+            starts, doc, group, twice = starts[one], doc[one], (prefix % np.uint64(n_groups)).astype(np.int64), n[index[one]] > 1
             cut = np.flatnonzero(np.diff(starts, prepend=-9) != 1)
             cut = np.union1d(cut, np.flatnonzero(np.diff(group, prepend=-1)))
             cut = np.union1d(cut, np.flatnonzero(np.diff(doc, prepend=-1)))
