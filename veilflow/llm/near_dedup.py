@@ -412,7 +412,15 @@ def near_duplicates(
     else:
         of_point = of_point.select("n", "s1", "s2", F.col("id").alias("component"))
     out = sketches.select("doc_id", "n", "s1", "s2").distinct().join(of_point, ["n", "s1", "s2"], "left")
-    return scratch.last(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+    out = scratch.cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "groups")
+    # An id with several texts ties the groups that its texts are in.
+    lows = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    lows = scratch.step(lows, "lows")
+    if lows.limit(1).count():
+        tied = components(out.join(lows, "doc_id").select(F.col("component_id").alias("a"), F.col("lo").alias("b")).distinct(), scratch)
+        out = out.join(tied.select(F.col("id").alias("component_id"), "component"), "component_id", "left")
+        out = out.select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return scratch.last(out)
 
 
 def _cells(rows: DataFrame, block_points: int, block_shingles: int) -> DataFrame:
