@@ -4,7 +4,8 @@ P(grade <= k) = sigmoid(theta_k - w.x) with one weight vector ``w`` for all thre
 document is its expected grade.  Features are log(1 + count) of lower-cased words and of their beginnings (3 to 7 letters, written
 with a ``*``), since insults in inflected languages are stems.  The fit uses a bounded sample of labelled rows (``max_rows``,
 documented and constant whatever the corpus holds): executors count features, those that stand in toxic rows far above chance stay,
-an L1-penalised pass by accelerated proximal gradient selects among them, and a second pass without shrinkage fits the selected ones.
+an L1-penalised pass by accelerated proximal gradient selects among them, and a second pass without shrinkage fits the selected ones,
+again without those whose weight turns out not to be positive, until all are.
 Scoring touches every document with the few weights that remain, so what is sent to tasks is bounded by the sample.
 
 Defined results: null and empty texts have no features and get the base rate; texts are read whole whatever their length; rows are
@@ -62,13 +63,12 @@ class _Known(dict):
 
 #: A toxic row is graded by its number of words that mark toxic rows: fewer than 2, fewer than 5, or more.
 GRADE_STEPS = (2, 5)
-_MOST_FEATURES = 20_000
 
 
 @dataclass
 class SeverityModel:
     weights: dict[str, float] = field(default_factory=dict)
-    thresholds: tuple[float, ...] = (50.0,)
+    thresholds: tuple[float, ...] = (float("inf"),)
 
     def __post_init__(self):
         self.known = _Known(self.weights)
@@ -83,7 +83,7 @@ class SeverityModel:
         """Expected grade, and P(grade >= k) for k = 1, 2, ..."""
         counts = Counter(f for found in map(self.known.__getitem__, _find_words((text or "").lower())) if found for f in found)
         z = sum(self.weights[f] * float(np.log1p(c)) for f, c in sorted(counts.items()))
-        above = [1.0 / (1.0 + float(np.exp(np.clip(t - z, -50, 50)))) for t in self.thresholds]
+        above = [0.0 if t == float("inf") else 1.0 / (1.0 + float(np.exp(np.clip(t - z, -50, 50)))) for t in self.thresholds]
         return sum(above), above
 
 
@@ -152,7 +152,7 @@ def _document_counts(sample: DataFrame, min_df: int, least_z: float) -> tuple[in
     rate = n_toxic / n
     z = (F.col("df_toxic") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
     counts = sample.mapInArrow(tidied(work), "feature string, df long, df_toxic long").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("df_toxic").alias("df_toxic"))
-    kept = counts.where((F.col("df_toxic") >= max(min_df, n_toxic // 100)) & (z >= least_z)).orderBy(F.desc("df_toxic"), "feature").limit(_MOST_FEATURES).collect()
+    kept = counts.where((F.col("df_toxic") >= max(min_df, n_toxic // 100)) & (z >= least_z)).select("feature").collect()  # of the bounded sample
     return n, n_toxic, {r["feature"] for r in kept}
 
 
@@ -227,13 +227,15 @@ def fit_severity(sample: DataFrame, graded: bool = False, min_df: int = 5, least
     l1 = 0.5 * (2 * np.log(max(len(vocabulary), 2)) * rate * (1 - rate) / n) ** 0.5
     w, _ = fit_ordinal(where, cols, values, y, len(vocabulary), l1, 0.0, 400)
     chosen = np.flatnonzero(w > 1e-3)
-    if not len(chosen):
-        return SeverityModel()
-    renumber = np.full(len(vocabulary), -1)
-    renumber[chosen] = np.arange(len(chosen))
-    use = renumber[cols] >= 0
-    w, theta = fit_ordinal(where[use], renumber[cols[use]], values[use], y, len(chosen), 0.0, 1e-5, 3000)
-    return SeverityModel({vocabulary[k]: round(float(x), 6) for k, x in zip(chosen, w, strict=True) if x > 0}, tuple(round(float(t), 6) for t in theta))
+    while len(chosen):
+        renumber = np.full(len(vocabulary), -1)
+        renumber[chosen] = np.arange(len(chosen))
+        use = renumber[cols] >= 0
+        w, theta = fit_ordinal(where[use], renumber[cols[use]], values[use], y, len(chosen), 0.0, 1e-5, 3000)
+        if (w > 0).all():
+            return SeverityModel({vocabulary[k]: round(float(x), 6) for k, x in zip(chosen, w, strict=True)}, tuple(round(float(t), 6) for t in theta))
+        chosen = chosen[w > 0]  # weights and thresholds of what stays are fitted together
+    return SeverityModel()
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
