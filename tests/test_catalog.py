@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from veilflow import catalog
+from veilflow.detect import scan
 from veilflow.sources.adapters import TABLES
 
 from .conftest import SMALL
@@ -57,6 +58,16 @@ def test_sightings_pair_by_time_and_no_sample_is_lost(spark, tmp_path):
     assert len(frames) == len(run("sample_grid")) and frames[0] == (0.0, True) and frames[30] == (0.0, False) and frames[50] == (40.0, False)
 
 
+def test_despace_takes_the_inline_lines_too(spark, duck):
+    inline = {(doc, n): line for doc, n, line in catalog.FIXTURE_LINES}
+    ours = {(r["doc_id"], r["line_no"]): r["result"] for r in catalog.QUERIES["despace"](spark, SMALL).where("doc_id < 0").collect()}
+    theirs = {(doc, n): text for doc, n, text in duck.execute(f"SELECT doc_id, line_no, result FROM ({catalog.ORACLES['despace']}) q WHERE doc_id < 0").fetchall()}
+    assert ours == theirs and ours.keys() == inline.keys()
+    assert all(scan.despace(line) == (None if ours[at] == line else (ours[at], scan.despace(line)[1])) for at, line in inline.items())
+    n = sum(len([s for s in r["text"].split("\n") if s.strip(" ")]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect())
+    assert catalog.QUERIES["despace"](spark, SMALL).count() == n + len(inline)
+
+
 def test_words_of_long_lines(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("text IS NOT NULL").collect()
     lines = [(r["doc_id"], n, s) for r in docs for n, s in enumerate(r["text"].split("\n"), 1) if s.strip(" ")] + list(catalog.FIXTURE_LINES)

@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilflow.detect import native
 from veilflow.detect.rules import CATEGORIES, RULES, SEVERITIES
 from veilflow.functions.dialect import DUCK, SPARK, Dialect
 from veilflow.operators import geometry as G
 from veilflow.operators.ranges import numbered
-from veilflow.plans import scans, sightings
+from veilflow.plans import scan_sql, scans, sightings
 from veilflow.sources.adapters import TABLES, spread
 
 TEMPLATES: dict[str, Callable[[Dialect], str]] = {}
@@ -140,6 +141,7 @@ _q("fmt", lambda d: f"SELECT t, {G.fmt_time(d, 't')} AS result, {G.fmt_timecode(
 
 _KEPT = lambda d: d.keep(d.split("line", " "), "w", "w <> ''")
 _q("build_line", lambda d: f"SELECT l.doc_id, l.line_no, {d.join(_KEPT(d), ' ')} AS line, s.word_starts FROM {lines(d)} l JOIN (SELECT doc_id, line_no, {d.sorted('collect_list(start)' if d.spark else 'list(start)')} AS word_starts FROM {G.words_at(d, lines(d), _KEPT(d))} w GROUP BY doc_id, line_no) s ON l.doc_id = s.doc_id AND l.line_no = s.line_no")
+_q("despace", lambda d: f"SELECT doc_id, line_no, {native.despaced('line')} AS result FROM {lines(d)} l" if d.spark else f"WITH l AS (SELECT doc_id AS id, line_no, line FROM {lines(d)} q), {scan_sql.DESPACED}")
 _q("category_filter", lambda d: f"SELECT * FROM {found(d)} f WHERE category IN ('personal', 'financial')")
 _q("ocr_words", lambda d: f"SELECT doc_id, line_no, idx, text, x, y, w, h, confidence FROM {G.ocr_words(d, lines(d))} q")
 _q("ocr_flatten", lambda d: f"SELECT doc_id, line_no, idx, trim(text) AS text, x / 2 AS x, y / 2 AS y, w / 2 AS w, h / 2 AS h, confidence / 100 AS confidence FROM (SELECT doc_id, line_no, idx, text, x * 2 AS x, y * 2 AS y, w * 2 AS w, h * 2 AS h, confidence * 100 AS confidence FROM {G.ocr_words(d, lines(d))} q) r WHERE trim(text) <> ''")
