@@ -92,7 +92,7 @@ def test_covered_lines_have_no_findings_left(spark):
     assert rows and all(r["n_before"] > 0 and r["n_after"] == 0 for r in rows)
 
 
-@pytest.mark.parametrize(("name", "exchanges"), [("resolve_overlaps", 2), ("redacted_rescan", 2)])
+@pytest.mark.parametrize(("name", "exchanges"), [("hits", 1), ("resolve_overlaps", 2), ("redacted_rescan", 2)])
 def test_scans_read_and_scan_lines_once(spark, name, exchanges):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and plan.count("Exchange ") <= exchanges and "collect_list" not in plan and "Join" not in plan

@@ -26,19 +26,32 @@ def lines_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.where(F.trim("line") != "").withColumn("line_no", F.col("line_no") + 1)
 
 
-def words_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words of lines as a recogniser reports them, one row each: id, line_no, idx, text, x, y, w, h, confidence.
+def read_lines_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines as a recogniser reports them: id, line_no, ``line`` (words joined by single spaces) and ``raw``, from which ``with_words`` makes the words."""
+    joined = F.expr("array_join(filter(split(line, ' '), w -> w <> ''), ' ')").alias("line")
+    return lines_of(texts, id_col, text_col).select(id_col, "line_no", joined, F.col("line").alias("raw"))
+
+
+def with_words(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``read_lines_of`` with ``ws``, an array of words with idx, text, x, y, w, h, confidence, in place of ``raw``.
 
     The tables hold no recognised text, so boxes follow from places and confidences from ids.
     """
-    rows = lines_of(texts, id_col, text_col).select(id_col, "line_no", F.expr("transform(split(line, ' '), w -> length(w) + 1)").alias("n"), F.split("line", " ").alias("ws"))
-    step = "(a, i) -> named_struct('at', a.at + n[i], 'out', CASE WHEN ws[i] = '' THEN a.out ELSE concat(a.out, array(named_struct('idx', i + 1, 'text', ws[i], 'start', a.at))) END)"
-    words = f"aggregate(sequence(0, size(ws) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<idx:int,text:string,start:int>>)), {step}, a -> a.out)"
-    each = rows.select(id_col, "line_no", F.explode(F.expr(words)).alias("w"))
-    return each.select(
-        id_col, "line_no", F.col("w.idx").cast("long").alias("idx"), "w.text", F.expr("cast(8 * w.start AS double)").alias("x"), F.expr("cast(18 * line_no AS double)").alias("y"), F.expr("cast(8 * length(w.text) AS double)").alias("w"),
-        F.lit(16.0).alias("h"), F.expr(f"round((abs({id_col} * 31 + w.idx) % 50 + 50) / 100.0, 2)").cast("double").alias("confidence"),
-    )
+    rows = rows.withColumns({"_n": F.expr("transform(split(raw, ' '), w -> length(w) + 1)"), "_ws": F.split("raw", " ")})
+    step = "(a, i) -> named_struct('at', a.at + _n[i], 'out', CASE WHEN _ws[i] = '' THEN a.out ELSE concat(a.out, array(named_struct('idx', i + 1, 'text', _ws[i], 'start', a.at))) END)"
+    words = f"aggregate(sequence(0, size(_ws) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<idx:int,text:string,start:int>>)), {step}, a -> a.out)"
+    fields = {
+        "idx": "cast(w.idx AS bigint)", "text": "w.text", "x": "cast(8 * w.start AS double)", "y": "cast(18 * line_no AS double)", "w": "cast(8 * length(w.text) AS double)", "h": "16D",
+        "confidence": f"cast(round((abs({id_col} * 31 + w.idx) % 50 + 50) / 100.0, 2) AS double)",
+    }
+    each = F.expr(f"transform({words}, w -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {e}' for k, e in fields.items())}))")
+    # By a generator, so that no expression above makes the words again.
+    return rows.withColumn("ws", F.explode(F.array(each))).drop("raw", "_n", "_ws")
+
+
+def words_of(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words of lines, one row each: id, line_no, idx, text, x, y, w, h, confidence."""
+    return with_words(read_lines_of(texts, id_col, text_col), id_col).select(id_col, "line_no", F.explode("ws").alias("w")).select(id_col, "line_no", "w.*")
 
 
 def sightings(events: DataFrame) -> DataFrame:
