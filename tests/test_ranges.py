@@ -160,6 +160,16 @@ def test_greedy_merges_follow_the_box_that_grows(spark):
     assert sorted(r["id"] for r in sightings.deduplicated_codes(chain, ["image", "k"], "id").collect()) == [0, 2, 9]  # the third overlaps only one that went
 
 
+def test_sessions_are_dealt_out_by_the_size_of_what_is_read(spark, monkeypatch):
+    hits = sightings.seen(spark, "/root/testdata/sf0.001")
+    want = sorted((r["event_id"], r["s"]) for r in sightings.sessions(hits).collect())
+    monkeypatch.setattr(ranges, "DEALT", 1_000)
+    rows = sightings.sessions(hits)
+    assert sorted((r["event_id"], r["s"]) for r in rows.collect()) == want
+    assert rows.rdd.getNumPartitions() >= 20  # 26 KB of events; before, as many as the session sets
+    assert ranges.dealt(spark.createDataFrame([(1, 2)], "video long, k long"), ["video"]).rdd.getNumPartitions() == 4
+
+
 def test_rows_are_numbered_over_all_ranges(spark):
     rows = [(i % 3, 10**15 if i == 7 else i // 2, i) for i in range(400)]  # one id far from all others, and ties
     frame = spark.createDataFrame(rows, "rank int, id long, n long").repartition(5)

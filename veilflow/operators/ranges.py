@@ -15,6 +15,17 @@ from veilflow.sources.kept import Kept
 Span = tuple[str, str]
 #: Bins reach this much further than the interval, as sums and differences of times are rounded; the exact condition decides.
 SLACK = 1e-6
+#: Bytes of the largest table read for which ``dealt`` makes a partition: some ten thousand sightings.
+DEALT = 1 << 20
+
+
+def dealt(rows: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` dealt out by ``on`` into partitions whose number grows with the tables read, so that what a task sorts does not grow with them."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    largest = max((int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())), default=0)
+    # Rows of an RDD have no size that is known.
+    known = largest // DEALT if largest < 1 << 50 else 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, known), *on)
 
 
 def _bin(at: Column, width: float) -> Column:

@@ -63,7 +63,7 @@ def sessions(hits: DataFrame) -> DataFrame:
     """Sightings with ``s``, the number of their session: one ends once its key is out of sight for 1.25 s."""
     along = Window.partitionBy("video", "k").orderBy("t", "event_id")
     fresh = F.when(F.col("t") - F.lag("t").over(along) <= 1.25, 0).otherwise(1)
-    return hits.withColumn("fresh", fresh).withColumn("s", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranges.dealt(hits, ["video", "k"]).withColumn("fresh", fresh).withColumn("s", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def spells(observed: DataFrame, pad: float = 0.5) -> DataFrame:
