@@ -9,6 +9,8 @@ import pytest
 
 from tests.llm.test_small_cases import awkward, brute_components, empty, words
 from veilflow.llm import licenses, near_dedup, sentencepiece_bpe, severity, substrings
+from veilflow.llm.components import components
+from veilflow.llm.scratch import Scratch
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -54,6 +56,51 @@ def test_near_duplicates_of_repeated_rows_and_rows_without_ids(spark):
         near_dedup.near_duplicates(spark.createDataFrame([("x", a)], "doc_id string, text string"))
 
 
+@pytest.mark.parametrize("block,most", [(7, None), (10**6, None), (10**6, 10**6), (7, 10**6)])
+def test_components_of_blocks_of_links(spark, block, most):
+    rng = np.random.default_rng(3)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 150, (110, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2030)] + [(5, 5), (2001, 2000)]
+    parent = {}
+
+    def root(x):
+        return x if parent.setdefault(x, x) == x else root(parent[x])
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: root(x) for x in list(parent) if root(x) != x}
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(3), Scratch(spark), most=most, block=block).collect()
+    assert len(got) == len(want) and {r["id"]: r["component"] for r in got} == want
+
+
+def test_near_duplicates_over_many_partitions(spark):
+    """Few documents dealt over many partitions: a step has few tasks, and the groups are the same."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"v{i}" for i in range(120)], []
+    for i in range(60):
+        w = list(base)
+        for p in rng.choice(120, rng.integers(1, 9), replace=False):
+            w[p] = f"n{rng.integers(0, 40)}"
+        rows.append((i, " ".join(w)))
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {c: spark.conf.get(c) for c in conf}
+    sc = spark.sparkContext
+    sc.setJobGroup("many", "")
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85, den=100, leaf=8).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    assert got == brute_components(dict(rows), 3, 85, 100)
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("many") for s in track.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := track.getStageInfo(s)))
+    assert 0 < tasks < 1600  # 900 or so; 2784 when each step had all partitions
+
+
 def test_severity_of_odd_labels_and_without_any(spark):
     rows = [(i, f"n{i} word{i % 7} plain text " + ("vilebad " * (1 + i % 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

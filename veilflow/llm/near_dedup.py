@@ -44,6 +44,8 @@ from veilflow.llm.words import LOWER, mix, pieces, text_buffers, window_hashes,
 COORDS = 128
 #: A large node with so few points outside its largest component holds all points against each of these.
 MOST_PIVOTS = 24
+#: Tables between steps are written by no more tasks than one for so many documents, as a task takes longer to begin than to handle few.
+TASK_ROWS = 2000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
@@ -129,8 +131,9 @@ def _struct_list(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
 
 
 def _within(groups: DataFrame, num: int, den: int, least: float, points: bool = False) -> DataFrame:
-    """What small nodes hold (``points``: a list of structs), by sketches: the likeliest pairs ``a``, ``b`` that join the components of a node,
-    one less than there are components at most; or, for ``points``, ``node`` and ``id`` of all points with a likely partner in another component."""
+    """What small nodes hold (``points``: a list of structs), by sketches: ``a`` (the node) and ``b`` for all points with a likely partner in
+    another component; and, but for ``points``, with ``pair`` the likeliest pairs that join the components of a node, one less than there are
+    components at most."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,15 +152,15 @@ def _within(groups: DataFrame, num: int, den: int, least: float, points: bool =
                     left, right = left[ok], right[ok]
                     near = (x["sketch"][left] == x["sketch"][right]).mean(axis=1)
                     left, right, near = left[near >= least], right[near >= least], near[near >= least]
+                    at = np.unique(np.concatenate([left, right]))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[np.searchsorted(begin, at, side="right") - 1]), pa.array(x["id"][at]), pa.array(np.zeros(len(at), bool))], names=["a", "b", "pair"])
                     if points:
-                        at = np.unique(np.concatenate([left, right]))
-                        yield pa.RecordBatch.from_arrays([pa.array(nodes[np.searchsorted(begin, at, side="right") - 1]), pa.array(x["id"][at])], names=["node", "id"])
                         continue
                     left, right = _likeliest(left, right, near, x["comp"], begin)
                     u, v = x["id"][left], x["id"][right]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.ones(len(u), bool))], names=["a", "b", "pair"])
 
-    return groups.select("node", "points").mapInArrow(tidied(work), "node long, id long" if points else "a long, b long")
+    return groups.select("node", "points").mapInArrow(tidied(work), "a long, b long, pair boolean")
 
 
 def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFrame:
@@ -258,6 +261,12 @@ class _Join:
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         return rows.join(sizes.select("node", "size"), "node")
 
+    def listed(self, rows: DataFrame) -> DataFrame:
+        """The ``points`` of each small node of rows (node, id, comp) that holds several components."""
+        point = F.struct("id", "comp", "n", "sketch")
+        lists = rows.join(self.sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return lists.where("lo < hi").select("node", "points")
+
     def confirm(self, pairs: DataFrame) -> None:
         """Add the pairs (``a``, ``b``, ``salts``) whose full sets reach the threshold.
 
@@ -268,7 +277,7 @@ class _Join:
             return
         pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
         left = pairs.select("a", "b", "salt").join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        hubs = pairs.select("b", "salt").distinct().join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        hubs = pairs.groupBy("b").agg(F.collect_set("salt").alias("salt")).join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").withColumn("salt", F.explode("salt"))
         reaches = (self.den + self.num) * F.size(F.array_intersect("x", "y")) >= self.num * (F.size("x") + F.size("y"))
         self.add(left.join(hubs, ["b", "salt"]).where(reaches).select("a", "b"))
 
@@ -276,15 +285,16 @@ class _Join:
         """Join the components that new links connect; only links between components are looked at."""
         scratch = self.scratch
         found = scratch.step(found, "links")
-        if not found.limit(1).count():
+        most = found.count()
+        if not most:
             return
         if self.comps is None:
-            self.comps = scratch.step(components(found, scratch), "comps")
+            self.comps = scratch.step(components(found, scratch, most=most), "comps")
             return
         comps = self.comps
         of_a = found.join(comps.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
         of_b = of_a.join(comps.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        merged = components(of_b.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch)
+        merged = components(of_b.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch, most=most)
         moved = comps.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
         self.comps = scratch.step(moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(merged), "comps")
 
@@ -298,6 +308,15 @@ def _pairs_of(near: DataFrame) -> DataFrame:
     return near.where("pair").groupBy("a", "b").agg(F.max("salts").alias("salts"))
 
 
+def _sized(rows: DataFrame, leaf: int) -> DataFrame:
+    """Rows (node, id, comp) of the nodes that hold several components, with the ``size`` of the node and, if that is above ``leaf``, its
+    largest component ``top`` and the number of its points (``most``)."""
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node")
+    sizes = sizes.agg(F.count("*").alias("several"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most")).where("several > 1")
+    large = lambda c: F.when(F.col("size") > leaf, F.col(c)).alias(c)
+    return rows.join(sizes.select("node", "size", large("top"), large("most")), "node")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -323,15 +342,19 @@ def near_duplicates(
     least = num / den - 6 * spread
 
     sketches = scratch.cut(_sketch(base, k, trees), "sketches")
+    scratch.tasks = max(2 * spark.sparkContext.defaultParallelism, sketches.count() // TASK_ROWS)
     named = sketches.where("n > 0 and doc_id is not null")
     members = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     points = scratch.cut(members.select("id", "n", "s1", "s2", "sketch", "roots"), "points")
 
-    frontier = points.select(F.explode("roots").alias("node"), "id")
-    shared = frontier.groupBy("node").count().where("count > 1").select("node")
-    frontier = scratch.step(frontier.join(shared, "node"), "frontier")
-    live = frontier.select("id").distinct()
-    sketch = scratch.cut(points.select("id", "n", "sketch").join(live, "id", "left_semi"), "live")
+    # Each point is a component of its own yet.
+    frontier = points.select(F.explode("roots").alias("node"), "id", F.col("id").alias("comp"))
+    shared = frontier.groupBy("node").agg(F.count("*").alias("size"), F.max("id").alias("top")).where("size > 1")
+    above = F.col("size") > leaf
+    shared = shared.select("node", "size", F.when(above, F.col("top")).alias("top"), F.when(above, F.lit(1).cast("long")).alias("most"))
+    rows = scratch.step(frontier.join(shared, "node"), "open")
+    sketch = scratch.cut(points.select("id", "n", "sketch").join(rows.select("id"), "id", "left_semi"), "live")
+    live = sketch.select("id")
     of_point = points.select("id", "n", "s1", "s2")
 
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,29 +368,21 @@ def near_duplicates(
     sets = scratch.bucketed(mine.mapInArrow(tidied(to_set), "id long, set array<long>"), "sets", buckets, "id")
     scratch.release()
     run = _Join(scratch, sketch, sets, num, den)
-    point = F.struct("id", "comp", "n", "sketch")
     level = 0
-
-    def in_leaves(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col("size") <= leaf).join(sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"))
-
     while True:
-        rows = scratch.step(run.open(frontier), "open")
-        small = _within(in_leaves(rows), num, den, least).distinct().withColumn("salts", F.lit(1).cast("long"))
-        large = rows.where(F.col("size") > leaf)
-        pairs, near = small, None
+        small = scratch.step(_within(run.listed(rows.where(F.col("size") <= leaf)), num, den, least), "small")
+        large = rows.where(F.col("size") > leaf).withColumn("every", F.col("size") - F.col("most") <= MOST_PIVOTS).withColumn("salts", F.ceil(F.col("size") / 256))
+        likely, near = small.select("a", "b", "pair", F.lit(1).cast("long").alias("salts")), None
         if large.limit(1).count():
-            top = large.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most"))
-            large = large.join(top, "node").withColumn("every", F.col("size") - F.col("most") <= MOST_PIVOTS).withColumn("salts", F.ceil(F.col("size") / 256))
-            large = scratch.step(large, "large")
             outside = large.where("every and comp <> top").select("node", "id", "comp")
             seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias(f"p{s}") for s in range(4)]
             drawn = large.where("not every").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{s}.id").alias("id"), F.col(f"p{s}.comp").alias("comp")) for s in range(4)]))).alias("p"))
             near = run.against(large, outside.unionByName(drawn.select("node", "p.id", "p.comp")), least)
-            pairs = small.unionByName(_pairs_of(near)).groupBy("a", "b").agg(F.max("salts").alias("salts"))
-        run.confirm(scratch.step(pairs, "pairs"))
+            likely = likely.unionByName(near.select("a", "b", "pair", "salts"))
+        run.confirm(scratch.step(_pairs_of(likely), "pairs"))
         # What the likeliest pairs of small nodes have not joined is decided on full sets, if a sketch leaves it open at all.
-        doubtful = _within(in_leaves(run.open(rows.where(F.col("size") <= leaf).select("node", "id"))), num, den, least, points=True).distinct()
+        doubtful = run.with_components(small.where("not pair").select(F.col("a").alias("node"), F.col("b").alias("id")))
+        doubtful = _within(run.listed(doubtful), num, den, least, points=True).select(F.col("a").alias("node"), F.col("b").alias("id"))
         sparse = None
         if near is not None:
             # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last
@@ -390,21 +405,20 @@ def near_duplicates(
         waves = 2 if level == 0 else 1  # the same points share several nodes at first: what one gives spares the others work
         for wave in range(waves):
             mine = doubtful.where(F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(waves)) == wave)
-            cells = scratch.step(run.open(mine).join(sketch.select("id", "n"), "id"), "cells")
+            cells = scratch.step(_blocks(run.with_components(mine).join(sketch.select("id", "n"), "id"), block_points, block_shingles), "cells")
             if cells.limit(1).count():
-                run.add(_links_in_cells(_cells(cells, block_points, block_shingles).join(sets, "id"), num, den).distinct())
+                run.add(_links_in_cells(_cells(cells).join(sets, "id"), num, den))
         scratch.release()
-        if sparse is None:
+        if sparse is None or not sparse.limit(1).count():
             break
         byte = lambda c: F.substring("sketch", c + 1, 1)
         first = F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.lit(COORDS)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64(F.lit(2), F.col("node")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
         child = F.explode(F.array(*[F.xxhash64("node", c, byte(c)) for c in (first, second)]))
-        children = run.open(sparse).select("node", "id").join(sketch, "id").select(child.alias("node"), "id")
+        children = run.with_components(sparse).join(sketch, "id").select(child.alias("node"), "id", "comp")
         frontier = scratch.step(children, "frontier")
         scratch.sweep(frontier, run.comps)
-        if not frontier.limit(1).count():
-            break
+        rows = scratch.step(_sized(frontier, leaf), "open")
         level += 1
 
     if run.comps is not None:
@@ -423,14 +437,19 @@ def near_duplicates(
     return scratch.last(out)
 
 
-def _cells(rows: DataFrame, block_points: int, block_shingles: int) -> DataFrame:
-    """node, i, j, id, comp, rest: each block of the points outside a node's largest component beside each block of all its points."""
+def _blocks(rows: DataFrame, block_points: int, block_shingles: int) -> DataFrame:
+    """Rows (node, id, comp) of the nodes that hold several components, with the largest one (``top``) and the numbers of blocks: ``ni`` of
+    the points outside it, ``nj`` of all points."""
     top = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("node")
-    top = top.agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("c"), F.sum("c").alias("all_c"), (F.sum("s") - F.max_by("s", F.struct("c", "comp"))).alias("s"), F.sum("s").alias("all_s"))
+    top = top.agg(F.count("*").alias("several"), F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("c"), F.sum("c").alias("all_c"), (F.sum("s") - F.max_by("s", F.struct("c", "comp"))).alias("s"), F.sum("s").alias("all_s"))
     blocks = lambda c, s: F.ceil(F.greatest(F.col(c) / block_points, F.col(s) / block_shingles)).cast("int")
-    top = top.select("node", "top", blocks("c", "s").alias("ni"), blocks("all_c", "all_s").alias("nj"))
+    top = top.where("several > 1").select("node", "top", blocks("c", "s").alias("ni"), blocks("all_c", "all_s").alias("nj"))
+    return rows.select("node", "id", "comp").join(top, "node")
+
+
+def _cells(each: DataFrame) -> DataFrame:
+    """node, i, j, id, comp, rest: each block of the points outside a node's largest component beside each block of all its points."""
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(n)).cast("int")
-    each = rows.join(top, "node")
     every = each.select("node", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), block(9, "nj").alias("j"), "id", "comp", F.lit(False).alias("rest"))
     rest = each.where("comp <> top").select("node", block(10, "ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"), "id", "comp", F.lit(True).alias("rest"))
     return every.unionByName(rest)

@@ -31,6 +31,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/veilflow-{uuid.uuid4().hex}"
+        #: Tasks that write a table, if not as many as its last shuffle has partitions: for small tables dealt over very many.
+        self.tasks: int | None = None
         self._n = 0
         self._tables: list[str] = []
         self._steps: list[tuple[str, DataFrame]] = []
@@ -40,6 +42,8 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and go on from the written table."""
+        if self.tasks:
+            df = df.coalesce(self.tasks)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
