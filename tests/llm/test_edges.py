@@ -101,6 +101,57 @@ def test_near_duplicates_over_many_partitions(spark):
     assert 0 < tasks < 1600  # 900 or so; 2784 when each step had all partitions
 
 
+def test_near_duplicates_of_sparse_groups_over_many_partitions(spark):
+    """Documents that share a passage but are less than half alike: few levels, and the groups are the same."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*passage, *(f"o{i}-{j}" for j in range(30 + i % 5))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + f" last{i}") for i in range(0, 60, 7)]
+    lone = [(1000 + i, " ".join(f"x{i}-{j}" for j in range(4))) for i in range(6000)]
+    conf = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {c: spark.conf.get(c) for c in conf}
+    sc = spark.sparkContext
+    sc.setJobGroup("sparse", "")
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        docs = spark.createDataFrame([(*row,) for row in [*rows, *lone]], "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, k=3, num=85, den=100, leaf=4, block_points=8).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    assert got == brute_components(dict(rows), 3, 85, 100) | {i: (2, i) for i, _ in lone}
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("sparse") for s in track.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := track.getStageInfo(s)))
+    assert 0 < tasks < 850  # 567; 1131 when each inner step had all partitions and sparse groups were branched
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_links_of_one_cell(seed):
+    """The links of a cell join what all its pairs at the threshold join."""
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 400, 60) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0.0, 0.03, 0.1, 0.5]), rng.integers(0, 3000, 60), base[i % 4])) for i in range(90)] + [np.empty(0, np.int64)]
+    comps = rng.integers(0, 40, len(sets)) * 3
+    where = [(i, True) for i in range(len(sets)) if comps[i] > 30] + [(i, False) for i in range(len(sets))]
+    at, rest = np.array([i for i, _ in where]), np.array([r for _, r in where])
+
+    def joined(links):
+        label = {int(c): int(c) for c in comps}
+        for i, j in links:
+            a, b = label[int(comps[i])], label[int(comps[j])]
+            label = {k: a if v == b else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    alike = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])) > 0
+    want = [(i, j) for i in at[rest] for j in range(len(sets)) if comps[i] != comps[j] and alike(i, j)]
+    got = near_dedup._cell_links(at, comps[at], rest, np.array([len(sets[i]) for i in at]), np.concatenate([sets[i] for i in at]), 85, 100)
+    assert want and all(alike(i, j) for i, j in got)
+    assert joined(got) == joined(want) and len(got) == len(joined([])) - len(joined(want))
+
+
 def test_severity_of_odd_labels_and_without_any(spark):
     rows = [(i, f"n{i} word{i % 7} plain text " + ("vilebad " * (1 + i % 3) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -12,7 +12,7 @@ MOST_PIVOTS points outside its largest component compares those with all others
 two children would hold more of them than the node itself (mean similarity of one half or more) would not shrink by branching.  It is
 tied once more, to the points that are most like the others, and what then stands outside its largest component is compared with all
 of its points, in cells of two blocks and on full sets; so are nodes that fit into one cell from the second level on, and what still
-stands after ``max_level`` levels.  No pair is lost to a cap,
+stands after ``max_level`` levels, or any level if its cells hold no more rows than half the table.  No pair is lost to a cap,
 and a task emits links that join components, never all pairs.
 
 A pair of similarity s survives a level with probability 1 - (1 - s p)**2, p being its chance below; for s = 0.8 that tends to 0.94,
@@ -45,7 +45,7 @@ COORDS = 128
 #: A large node with so few points outside its largest component holds all points against each of these.
 MOST_PIVOTS = 24
 #: Tables between steps are written by no more tasks than one for so many documents, as a task takes longer to begin than to handle few.
-TASK_ROWS = 2000
+TASK_ROWS = 4000
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
@@ -196,51 +196,91 @@ def _against_pivots(rows: DataFrame, num: int, den: int, least: float) -> DataFr
     return rows.select("node", "id", "comp", "n", "sketch", "every", "salts", "pivots").mapInArrow(tidied(work), "node long, a long, b long, salts long, near double, pair boolean")
 
 
-def _links_in_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
+def _cell_links(ids: np.ndarray, comps: np.ndarray, rest: np.ndarray, n: np.ndarray, tokens: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join the components of one cell: between a point of its block of ``rest`` and one of the other.
+
+    A link shares ``num / den`` of each of its sets at least, and only tokens that stand in both blocks and in several components can be
+    shared by one.  Points that have too few of them are left out, with their tokens, until none is; the others are counted pair by pair.
+    """
+    point = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    comp = np.unique(comps, return_inverse=True)[1].astype(np.int32)
+    order = np.argsort(tokens, kind="stable")
+    tokens, point = tokens[order], point[order]
+    del order
+    left = 0
+    while len(tokens):
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        of_comp, of_rest = comp[point], rest[point]
+        useful = (np.minimum.reduceat(of_comp, starts) < np.maximum.reduceat(of_comp, starts)) & np.logical_or.reduceat(of_rest, starts) & ~np.logical_and.reduceat(of_rest, starts)
+        keep = np.repeat(useful, np.diff(starts, append=len(tokens)))
+        held = np.bincount(point[keep], minlength=len(n))
+        alive = (held * den >= num * n) & (n > 0)
+        keep &= alive[point]
+        tokens, point = tokens[keep], point[keep]
+        if int(alive.sum()) == left:
+            break
+        left = int(alive.sum())
+    if not len(tokens):
+        return []
+    row = np.unique(point)
+    a, b = row[rest[row]], row[~rest[row]]
+    place = np.zeros(len(n), np.int32)
+    place[row] = np.arange(len(row))
+    number = np.cumsum(np.concatenate([[0], tokens[1:] != tokens[:-1]]))
+    at_a, at_b = place[a], place[b]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, int(number[-1]) + 1, 1024):
+        lo, hi = np.searchsorted(number, [first, first + 1024])
+        dense = np.zeros((len(row), min(1024, int(number[-1]) + 1 - first)), np.float32)
+        dense[place[point[lo:hi]], number[lo:hi] - first] = 1
+        both += dense[at_a] @ dense[at_b].T
+    label, out = np.arange(int(comp.max()) + 1), []
+    for i in range(len(a)):
+        linked = np.flatnonzero((den + num) * both[i].astype(np.int64) >= num * (n[a[i]] + n[b]))
+        of, first = np.unique(label[comp[b[linked]]], return_index=True)
+        mine = label[comp[a[i]]]
+        for c, j in zip(of.tolist(), linked[first].tolist(), strict=True):
+            if c != mine:
+                label[label == c] = mine
+                out.append((int(ids[a[i]]), int(ids[b[j]])))
+    return out
+
+
+def _links_in_cells(cells: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``a``, ``b``: links between components, of each cell as many as it takes to join them, decided on full sets.
 
-    A cell holds one block of the points outside the largest component of a node (``rest``) and one block of all its points.
+    A cell holds one block of the points outside the largest component of a node (``rest``) and one block of all its points.  Cells are
+    dealt out by their number, not by bytes, and a task takes its cells one after another.
     """
 
-    def work(table: pa.Table) -> pa.Table:
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
         ids, comps, rest = (table.column(c).to_numpy() for c in ("id", "comp", "rest"))
         column = table.column("set").combine_chunks()
         n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            _, index, seen = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
-            number = np.cumsum(seen > 1) - 1
-            shared = seen[index] > 1
-            point, number = np.repeat(np.arange(len(n), dtype=np.int32), n)[shared], number[index[shared]].astype(np.int32)
-            order = np.argsort(number, kind="stable")
-            point, number = point[order], number[order]
-            both = np.zeros((len(left), len(right)), np.float32)
-            for first in range(0, int(number[-1]) + 1 if len(number) else 0, 1024):
-                a, b = np.searchsorted(number, [first, first + 1024])
-                dense = np.zeros((len(n), int(number[b - 1]) - first + 1), np.float32)
-                dense[point[a:b], number[a:b] - first] = 1
-                both += dense[left] @ dense[right].T
-            linked = (den + num) * both.astype(np.int64) >= num * (n[left][:, None] + n[right][None, :])
-            linked &= comps[left][:, None] != comps[right][None, :]
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while parent.setdefault(c, c) != c:
-                    parent[c] = c = parent[parent[c]]
-                return c
-
-            for i in np.flatnonzero(linked.any(axis=1)).tolist():
-                for j in np.flatnonzero(linked[i]).tolist():
-                    u, v = root(int(comps[left[i]])), root(int(comps[right[j]]))
-                    if u != v:
-                        parent[u] = v
-                        out.append((int(ids[left[i]]), int(ids[right[j]])))
-            del index, seen, shared, point, number, order, both, linked
-            give_back()
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
-
-    return cells.groupBy("node", "i", "j").applyInArrow(work, "a long, b long")
+        out = _cell_links(ids, comps, rest, n, column.flatten().to_numpy(), num, den) if rest.any() and not rest.all() else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in ("node", "i", "j")])
+            starts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+            for begin, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if held and tuple(key[:, begin]) != last:
+                    yield links(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = tuple(key[:, begin])
+        if held:
+            yield links(held)
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.few(cells).select("node", "i", "j", "id", "comp", "rest", "set")  # without the select Spark drops the few before a repartition
+    return scratch.few(rows.repartition(n, "node", "i", "j")).sortWithinPartitions("node", "i", "j").mapInArrow(tidied(work), "a long, b long")
 
 
 class _Join:
@@ -257,15 +297,15 @@ class _Join:
 
     def open(self, rows: DataFrame) -> DataFrame:
         """Rows (node, id, comp) of the nodes that hold several components, with the size of the node."""
-        rows = self.with_components(rows)
+        rows = self.scratch.few(self.with_components(rows))
         sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return rows.join(sizes.select("node", "size"), "node")
+        return rows.join(self.scratch.few(sizes.select("node", "size")), "node")
 
     def listed(self, rows: DataFrame) -> DataFrame:
         """The ``points`` of each small node of rows (node, id, comp) that holds several components."""
         point = F.struct("id", "comp", "n", "sketch")
-        lists = rows.join(self.sketch, "id").groupBy("node").agg(F.collect_list(point).alias("points"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        return lists.where("lo < hi").select("node", "points")
+        lists = self.scratch.few(rows.join(self.sketch, "id")).groupBy("node").agg(F.collect_list(point).alias("points"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        return self.scratch.few(lists.where("lo < hi").select("node", "points"))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Add the pairs (``a``, ``b``, ``salts``) whose full sets reach the threshold.
@@ -276,10 +316,11 @@ class _Join:
         if not pairs.limit(1).count():
             return
         pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+        few = self.scratch.few
         left = pairs.select("a", "b", "salt").join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
-        hubs = pairs.groupBy("b").agg(F.collect_set("salt").alias("salt")).join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").withColumn("salt", F.explode("salt"))
+        hubs = few(pairs.groupBy("b").agg(F.collect_set("salt").alias("salt"))).join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").withColumn("salt", F.explode("salt"))
         reaches = (self.den + self.num) * F.size(F.array_intersect("x", "y")) >= self.num * (F.size("x") + F.size("y"))
-        self.add(left.join(hubs, ["b", "salt"]).where(reaches).select("a", "b"))
+        self.add(few(left).join(few(hubs), ["b", "salt"]).where(reaches).select("a", "b"))
 
     def add(self, found: DataFrame) -> None:
         """Join the components that new links connect; only links between components are looked at."""
@@ -300,21 +341,22 @@ class _Join:
 
     def against(self, large: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
         """Rows of large nodes (node, id, comp, every, salts) held against the pivots (node, id, comp) of their nodes."""
-        lists = pivots.join(self.sketch, "id").groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("pivots"))
-        return self.scratch.step(_against_pivots(large.join(self.sketch, "id").join(lists, "node"), self.num, self.den, least), "near")
+        few = self.scratch.few
+        lists = few(few(pivots.join(self.sketch, "id")).groupBy("node").agg(F.collect_list(F.struct("id", "comp", "n", "sketch")).alias("pivots")))
+        return self.scratch.step(_against_pivots(few(few(large.join(self.sketch, "id")).join(lists, "node")), self.num, self.den, least), "near")
 
 
 def _pairs_of(near: DataFrame) -> DataFrame:
     return near.where("pair").groupBy("a", "b").agg(F.max("salts").alias("salts"))
 
 
-def _sized(rows: DataFrame, leaf: int) -> DataFrame:
+def _sized(rows: DataFrame, leaf: int, scratch: Scratch) -> DataFrame:
     """Rows (node, id, comp) of the nodes that hold several components, with the ``size`` of the node and, if that is above ``leaf``, its
     largest component ``top`` and the number of its points (``most``)."""
-    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node")
+    sizes = scratch.few(rows.groupBy("node", "comp").agg(F.count("*").alias("c"))).groupBy("node")
     sizes = sizes.agg(F.count("*").alias("several"), F.sum("c").alias("size"), F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("most")).where("several > 1")
     large = lambda c: F.when(F.col("size") > leaf, F.col(c)).alias(c)
-    return rows.join(sizes.select("node", "size", large("top"), large("most")), "node")
+    return rows.join(scratch.few(sizes.select("node", "size", large("top"), large("most"))), "node")
 
 
 def near_duplicates(
@@ -342,7 +384,8 @@ def near_duplicates(
     least = num / den - 6 * spread
 
     sketches = scratch.cut(_sketch(base, k, trees), "sketches")
-    scratch.tasks = max(2 * spark.sparkContext.defaultParallelism, sketches.count() // TASK_ROWS)
+    count = sketches.count()
+    scratch.tasks = max(2 * spark.sparkContext.defaultParallelism, count // TASK_ROWS)
     named = sketches.where("n > 0 and doc_id is not null")
     members = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     points = scratch.cut(members.select("id", "n", "s1", "s2", "sketch", "roots"), "points")
@@ -365,7 +408,7 @@ def near_duplicates(
     total = sketch.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_shingles + 1)
     mine = base.repartition(buckets, "doc_id").join(live.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.bucketed(mine.mapInArrow(tidied(to_set), "id long, set array<long>"), "sets", buckets, "id")
+    sets = scratch.bucketed(scratch.few(mine).mapInArrow(tidied(to_set), "id long, set array<long>"), "sets", buckets, "id")
     scratch.release()
     run = _Join(scratch, sketch, sets, num, den)
     level = 0
@@ -377,7 +420,7 @@ def near_duplicates(
             outside = large.where("every and comp <> top").select("node", "id", "comp")
             seeds = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("id")).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias(f"p{s}") for s in range(4)]
             drawn = large.where("not every").groupBy("node").agg(*seeds).select("node", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"p{s}.id").alias("id"), F.col(f"p{s}.comp").alias("comp")) for s in range(4)]))).alias("p"))
-            near = run.against(large, outside.unionByName(drawn.select("node", "p.id", "p.comp")), least)
+            near = run.against(large, outside.unionByName(scratch.few(drawn.select("node", "p.id", "p.comp"))), least)
             likely = likely.unionByName(near.select("a", "b", "pair", "salts"))
         run.confirm(scratch.step(_pairs_of(likely), "pairs"))
         # What the likeliest pairs of small nodes have not joined is decided on full sets, if a sketch leaves it open at all.
@@ -388,26 +431,31 @@ def near_duplicates(
             # A node of mean similarity of one half or more would not shrink by branching; neither would what is still there after the last
             # level; and from the second level on, one cell holds the node.
             dense = near.where("not pair").groupBy("node").agg(((F.avg("near") >= 0.5) | F.lit(level >= max_level) | ((F.count("*") <= block_points) & F.lit(level > 0))).alias("dense"))
-            left = scratch.step(run.open(large.where("not every").select("node", "id")).join(dense, "node"), "left")
+            left = scratch.step(run.open(large.where("not every").select("node", "id")).join(scratch.few(dense), "node"), "left")
             sparse = left.where("not dense").select("node", "id")
             heavy = left.where("dense")
-            doubtful = doubtful.unionByName(heavy.select("node", "id"))
+            # A level costs the same for few rows as for many: sparse nodes whose cells would hold few rows beside the table are done at once.
+            blocks = 2 * F.ceil(F.col("size") / block_points)
+            if 0 < (left.where("not dense").agg(F.sum(blocks)).first()[0] or 0) <= count // 2:
+                sparse, doubtful = None, doubtful.unionByName(left.select("node", "id"))
+            else:
+                doubtful = doubtful.unionByName(heavy.select("node", "id"))
             heavy = heavy.where(F.col("size") > block_points)
             if heavy.limit(1).count():
                 # The points that are most like others are those that others are linked to: as pivots they join nearly all that can be joined.
                 seen = near.where("not pair").select("node", F.struct("near", F.col("a").alias("id")).alias("c"))
                 quarter = F.pmod(F.xxhash64(F.lit(5), F.col("c.id")), F.lit(4))
                 best = seen.groupBy("node").agg(F.array_compact(F.array(*[F.max(F.when(quarter == q, F.col("c"))) for q in range(4)])).alias("best"))
-                pivots = heavy.select("node", "id", "comp").join(best.select("node", F.explode("best.id").alias("id")), ["node", "id"], "left_semi")
+                pivots = heavy.select("node", "id", "comp").join(scratch.few(best.select("node", F.explode("best.id").alias("id"))), ["node", "id"], "left_semi")
                 again = heavy.select("node", "id", "comp", F.lit(True).alias("every"), F.ceil(F.col("size") / 256).alias("salts"))
                 run.confirm(scratch.step(_pairs_of(run.against(again, pivots, least)), "pairs"))
         doubtful = scratch.step(doubtful, "doubtful")
         waves = 2 if level == 0 else 1  # the same points share several nodes at first: what one gives spares the others work
         for wave in range(waves):
             mine = doubtful.where(F.pmod(F.xxhash64(F.lit(7), F.col("node")), F.lit(waves)) == wave)
-            cells = scratch.step(_blocks(run.with_components(mine).join(sketch.select("id", "n"), "id"), block_points, block_shingles), "cells")
+            cells = scratch.step(_blocks(scratch.few(run.with_components(mine).join(sketch.select("id", "n"), "id")), block_points, block_shingles, scratch), "cells")
             if cells.limit(1).count():
-                run.add(_links_in_cells(_cells(cells).join(sets, "id"), num, den))
+                run.add(_links_in_cells(_cells(cells).join(sets, "id"), num, den, scratch))
         scratch.release()
         if sparse is None or not sparse.limit(1).count():
             break
@@ -418,7 +466,7 @@ def near_duplicates(
         children = run.with_components(sparse).join(sketch, "id").select(child.alias("node"), "id", "comp")
         frontier = scratch.step(children, "frontier")
         scratch.sweep(frontier, run.comps)
-        rows = scratch.step(_sized(frontier, leaf), "open")
+        rows = scratch.step(_sized(frontier, leaf, scratch), "open")
         level += 1
 
     if run.comps is not None:
@@ -437,14 +485,14 @@ def near_duplicates(
     return scratch.last(out)
 
 
-def _blocks(rows: DataFrame, block_points: int, block_shingles: int) -> DataFrame:
+def _blocks(rows: DataFrame, block_points: int, block_shingles: int, scratch: Scratch) -> DataFrame:
     """Rows (node, id, comp) of the nodes that hold several components, with the largest one (``top``) and the numbers of blocks: ``ni`` of
     the points outside it, ``nj`` of all points."""
-    top = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("node")
+    top = scratch.few(rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))).groupBy("node")
     top = top.agg(F.count("*").alias("several"), F.max_by("comp", F.struct("c", "comp")).alias("top"), (F.sum("c") - F.max("c")).alias("c"), F.sum("c").alias("all_c"), (F.sum("s") - F.max_by("s", F.struct("c", "comp"))).alias("s"), F.sum("s").alias("all_s"))
     blocks = lambda c, s: F.ceil(F.greatest(F.col(c) / block_points, F.col(s) / block_shingles)).cast("int")
     top = top.where("several > 1").select("node", "top", blocks("c", "s").alias("ni"), blocks("all_c", "all_s").alias("nj"))
-    return rows.select("node", "id", "comp").join(top, "node")
+    return rows.select("node", "id", "comp").join(scratch.few(top), "node")
 
 
 def _cells(each: DataFrame) -> DataFrame:

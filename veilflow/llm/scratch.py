@@ -31,7 +31,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/veilflow-{uuid.uuid4().hex}"
-        #: Tasks that write a table, if not as many as its last shuffle has partitions: for small tables dealt over very many.
+        #: Tasks of a step, if not as many as its last shuffle has partitions: for small tables dealt over very many.
         self.tasks: int | None = None
         self._n = 0
         self._tables: list[str] = []
@@ -40,11 +40,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    def few(self, df: DataFrame) -> DataFrame:
+        """``df`` in no more partitions than ``tasks``, before it goes to Python workers or is shuffled by another key; nothing is moved."""
+        return df.coalesce(self.tasks) if self.tasks else df
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and go on from the written table."""
-        if self.tasks:
-            df = df.coalesce(self.tasks)
-        df.write.mode("overwrite").parquet(self.path(name))
+        self.few(df).write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def step(self, df: DataFrame, name: str) -> DataFrame:
